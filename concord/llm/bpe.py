@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from concord.llm.common import byte_texts, sized, text_of
 
 #: White space as the tokenizer's patterns see it; str.split() would also split at U+001C to U+001F.
-_BLANK = "\t-\r \x85\xa0  -     　"
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = regex.compile(f"[^{_BLANK}]+")
 _ODD = regex.compile("[\x1c-\x1f]")
 
@@ -50,6 +50,10 @@ def byte_characters() -> list[str]:
     return out
 
 
+_SHOWN = byte_characters()
+_BYTE_OF = {c: b for b, c in enumerate(_SHOWN)}
+
+
 def sufficient_lookahead(merges: list[tuple[str, str]], length) -> int:
     """Symbols after a boundary that make it final, for merges in rank order.
 
@@ -88,7 +92,8 @@ class Model:
     pattern: str
     tokens: list[str]
     ids: dict[str, int]
-    merges: dict[tuple[int, int], tuple[int, int]]
+    ranks: dict[tuple[int, int], int]
+    made: list[int]
     suffix: str
     added: dict[str, int]
     lookahead: int
@@ -108,30 +113,22 @@ class Model:
         for token, i in {**ids, **added}.items():
             tokens[i] = token
         far = sufficient_lookahead(pairs, lambda t: len(t.removesuffix(suffix)))
-        merges = {(ids[u], ids[v]): (rank, ids[u + v]) for rank, (u, v) in enumerate(pairs)}
-        return cls(split["pattern"]["Regex"], tokens, ids, merges, suffix, added, far)
+        ranks = {(ids[u], ids[v]): rank for rank, (u, v) in enumerate(pairs)}
+        return cls(split["pattern"]["Regex"], tokens, ids, ranks, [ids[u + v] for u, v in pairs], suffix, added, far)
 
 
-def merged(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merged(ids: list[int], ranks: dict[tuple[int, int], int], token: list[int]) -> list[int]:
     """All merges applied to a list of symbols, lowest rank first and from the left."""
-    none = (1 << 60, 0)
-    get = merges.get
-    while len(ids) > 1:
-        found = [get(p, none) for p in zip(ids, ids[1:])]
-        best = min(found)
-        if best is none or best == none:
-            break
-        out, k, last = [], 0, len(ids) - 1
-        while k < last:
-            if found[k] == best:
-                out.append(best[1])
-                k += 2
-            else:
-                out.append(ids[k])
-                k += 1
-        if k == last:
-            out.append(ids[k])
-        ids = out
+    none, get = len(token), ranks.get
+    pairs = [get(p, none) for p in zip(ids, ids[1:])]
+    while pairs and (best := min(pairs)) < none:
+        k = pairs.index(best)
+        ids[k] = token[best]
+        del ids[k + 1], pairs[k]
+        if k < len(pairs):
+            pairs[k] = get((ids[k], ids[k + 1]), none)
+        if k:
+            pairs[k - 1] = get((ids[k - 1], ids[k]), none)
     return ids
 
 
@@ -153,7 +150,7 @@ class Transducer:
 
     def _stable(self) -> Iterator[int]:
         end, at = len(self.held) - self.model.lookahead, 0
-        for token in merged(self.held, self.model.merges):
+        for token in merged(self.held.copy(), self.model.ranks, self.model.made):
             if at + self.width[token] > end:
                 break
             at += self.width[token]
@@ -163,36 +160,47 @@ class Transducer:
     def finish(self) -> Iterator[int]:
         """The word is over: its last symbol has been fed in its end-of-word form."""
         held, self.held = self.held, []
-        yield from merged(held, self.model.merges)
+        yield from merged(held, self.model.ranks, self.model.made)
+
+    def word(self, symbols: list[int]) -> list[int]:
+        """A whole word, which the window may hold at once."""
+        if len(symbols) < self.window:
+            return merged(symbols, self.model.ranks, self.model.made)
+        return [*self.feed(symbols), *self.finish()]
 
 
 class Decoder:
     """Token ids to text, a token at a time; state is the bytes of an unfinished character.
 
     ``spaced`` joins the vocabulary's own strings by one blank, as a tokenizer without a decoder
-    does.  Otherwise the tokens' bytes become text and an end of word becomes a blank.
+    does; each is whole text, so the state is only whether a blank is due.  Otherwise the tokens'
+    bytes become text, where a character may span tokens, and an end of word becomes a blank.
     """
 
     def __init__(self, model: Model, spaced: bool = True):
-        self.model, self.spaced, self.first = model, spaced, True
-        self.state = codecs.getincrementaldecoder("utf-8")("replace")
-        self.of = {c: b for b, c in enumerate(byte_characters())}
-        self.special = set(model.added.values())
+        self.model, self.spaced, self.due = model, spaced, ""
+        self.state = None if spaced else codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, token: int) -> str:
-        text, out = self.model.tokens[token], ""
+        text = self.model.tokens[token]
         if self.spaced:
-            out = self.state.decode((b"" if self.first else b" ") + text.encode())
-        elif token in self.special:
-            out = self.state.decode(b"", True) + text
-        else:
-            body = text.removesuffix(self.model.suffix)
-            out = self.state.decode(bytes(self.of[c] for c in body) + (b" " if body != text else b""))
-        self.first = False
-        return out
+            due, self.due = self.due, " "
+            return due + text
+        if text in self.model.added:
+            return self.state.decode(b"", True) + text
+        body = text.removesuffix(self.model.suffix)
+        return self.state.decode(bytes(_BYTE_OF[c] for c in body) + (b" " if body != text else b""))
 
     def finish(self) -> str:
-        return self.state.decode(b"", True)
+        return self.state.decode(b"", True) if self.state else ""
+
+    def run(self, ids: Iterable[int]) -> str:
+        """All tokens at once: the same text as feeding them one by one."""
+        if self.spaced:
+            text = " ".join(map(self.model.tokens.__getitem__, ids))
+            due, self.due = self.due if text else "", " " if text else self.due
+            return due + text
+        return "".join([*map(self.feed, ids), self.finish()])
 
 
 class Codec:
@@ -202,20 +210,18 @@ class Codec:
         self.model, self.keep, self.chunk = model, keep, chunk
         self.split = regex.compile(model.pattern.replace(r"\s", _BLANK))
         self.specials = regex.compile("|".join(map(regex.escape, model.added)) or r"(?!)")
-        shown = byte_characters()
-        self.inner = [model.ids[c] for c in shown]
-        self.last = [model.ids[c + model.suffix] for c in shown]
+        self.inner = [model.ids[c] for c in _SHOWN]
+        self.last = [model.ids[c + model.suffix] for c in _SHOWN]
+        self.names = list(map(str, range(len(model.tokens))))
         self.transducer = Transducer(model)
         self.words: dict[str, tuple[str, str]] = _Recent(self._word)
         self.pieces: dict[str, list[int]] = _Recent(self._piece)
 
     def _piece(self, piece: str) -> list[int]:
-        raw, t = piece.encode(), self.transducer
-        inner = self.inner
-        out = list(t.feed(inner[b] for b in memoryview(raw)[:-1]))
-        t.held.append(self.last[raw[-1]])
-        out.extend(t.finish())
-        return out
+        raw = piece.encode()
+        symbols = list(map(self.inner.__getitem__, raw))
+        symbols[-1] = self.last[raw[-1]]
+        return self.transducer.word(symbols)
 
     def _word(self, word: str) -> tuple[str, str]:
         pieces = self.split.findall(word)
@@ -223,8 +229,7 @@ class Codec:
         return self._shown(ids)
 
     def _shown(self, ids: list[int]) -> tuple[str, str]:
-        decoder = Decoder(self.model)
-        return " ".join(map(str, ids)), "".join([*map(decoder.feed, ids), decoder.finish()])
+        return " ".join(map(self.names.__getitem__, ids)), Decoder(self.model).run(ids)
 
     def _clean(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -252,8 +257,7 @@ class Codec:
 
     def decode(self, ids: Iterable[int], spaced: bool = True) -> str:
         """Text of token ids."""
-        decoder = Decoder(self.model, spaced)
-        return "".join([*map(decoder.feed, ids), decoder.finish()])
+        return Decoder(self.model, spaced).run(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, and SHA-256 of the ids and of the decoded text, without holding either."""

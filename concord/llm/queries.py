@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import simhash
+from concord.llm import bpe, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE: every document's token ids and their decoding, as digests."""
+    out = bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates: every document with its fingerprint and component."""
     out = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -21,6 +28,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": op5_bpe,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
