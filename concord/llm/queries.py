@@ -8,19 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, simhash
+from concord.llm import bpe, linededup, mixing, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixing: the words that the mix takes of every document, beside its source's target."""
+    out = mixing.mix(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE: every document's token ids and their decoding, as digests."""
     out = bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup: how many lines every document loses to repeated windows, and a digest of the rest."""
+    out = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.col("cut.lines").alias("n_lines"), F.col("cut.removed").alias("n_removed"), linededup.digest_of(F.col("cut.text")).alias("kept_sha256")
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates: every document with its fingerprint and component."""
     out = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -28,7 +42,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
+    "op9_linededup": op9_linededup,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_linededup": r"""
+        WITH line AS (
+            SELECT doc_id, pos, s FROM (
+                SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS pos
+                FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+        ), worded AS (
+            SELECT *, row_number() OVER w - 1 AS n, lead(s) OVER w AS s2, lead(s, 2) OVER w AS s3
+            FROM line WHERE regexp_matches(s, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+        ), repeated AS (
+            SELECT doc_id, n FROM (
+                SELECT doc_id, n, row_number() OVER (PARTITION BY s, s2, s3 ORDER BY doc_id, n) AS k FROM worded WHERE s3 IS NOT NULL)
+            WHERE k > 1
+        ), gone AS (
+            SELECT DISTINCT w.doc_id, w.pos FROM worded w JOIN repeated r ON w.doc_id = r.doc_id AND w.n BETWEEN r.n AND r.n + 2
+        )
+        SELECT line.doc_id, count(*)::BIGINT AS n_lines, count(gone.pos)::BIGINT AS n_removed,
+               sha256(coalesce(string_agg(s, chr(10) ORDER BY line.pos) FILTER (WHERE gone.pos IS NULL), '')) AS kept_sha256
+        FROM line LEFT JOIN gone ON line.doc_id = gone.doc_id AND line.pos = gone.pos GROUP BY line.doc_id
+    """,
+}
