@@ -9,6 +9,7 @@ target by less than one document.
 Documents are dealt into buckets of about ``bucket`` rows by a hash; each bucket leaves at most one
 fractional document, and these meet again in a tree of ``fan`` buckets to one until one is left.  No
 task sees more than a bucket's rows, however large a source is, and each holds only one at a time.
+Within a bucket the longest come first, so that what is left over at the end is a short document.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def mix(
     buckets = math.ceil((goal.df.agg(F.max("docs")).first()[0] or 1) / bucket)
     done = []
     for level in range(math.ceil(math.log(buckets, fan) - 1e-9) + 1):
-        dealt = rows.repartition("place", "bucket").sortWithinPartitions("place", "bucket", F.xxhash64("id", "tie", F.lit(seed + level)), "id", "tie")
+        dealt = rows.repartition("place", "bucket").sortWithinPartitions("place", "bucket", F.desc("size"), F.xxhash64("id", "tie", F.lit(seed + level)), "id", "tie")
         table = Table(dealt.mapInArrow(_round(level, seed), dealt.schema), "rounded")
         done.append(table.df.where("done"))
         rows = table.df.where("NOT done").withColumn("bucket", F.floor(F.col("bucket") / fan))
