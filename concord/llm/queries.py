@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, linededup, mixing, simhash
+from concord.llm import bpe, linededup, mixing, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring dedup: what every document keeps once 13-word windows of earlier documents are gone."""
+    out = substring.dedup_substrings(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup: how many lines every document loses to repeated windows, and a digest of the rest."""
     out = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
@@ -44,10 +50,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
+    "op6_substring": op6_substring,
     "op9_linededup": op9_linededup,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_substring": r"""
+        WITH word AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), win AS (
+            SELECT doc_id, n, array_to_string(w[n:n + 12], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS n FROM word WHERE len(w) >= 13)
+        ), first AS (
+            SELECT s, min(doc_id) AS low FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)
+        ), gone AS (
+            SELECT doc_id, list_distinct(flatten(list(range(n, n + 13)))) AS pos FROM win JOIN first USING (s) WHERE doc_id > low GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, w, len(coalesce(pos, [])) AS removed,
+                   CASE WHEN pos IS NULL THEN w WHEN len(pos) = len(w) THEN [] ELSE
+                   (SELECT list(x.v ORDER BY x.k) FROM (SELECT unnest(w) AS v, unnest(range(1, len(w) + 1)) AS k) x WHERE NOT list_contains(pos, x.k)) END AS rest
+            FROM word LEFT JOIN gone USING (doc_id)
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, removed::BIGINT AS n_removed, sha256(array_to_string(coalesce(rest, []), ' ')) AS kept_sha256 FROM kept
+    """,
     "op9_linededup": r"""
         WITH line AS (
             SELECT doc_id, pos, s FROM (
