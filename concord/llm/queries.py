@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, linededup, mixing, simhash, substring
+from concord.llm import bpe, licences, linededup, minhash, mixing, rules, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules: counts and verdict for every document."""
+    out = rules.measured(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE: every document's token ids and their decoding, as digests."""
     out = bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -33,6 +39,20 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence scans: the licences that every document states."""
+    return licences.scanned(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they look."""
+    out = minhash.fingerprinted(_read(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup: how many lines every document loses to repeated windows, and a digest of the rest."""
     out = linededup.dedup_lines(_read(spark, sf_dir, "documents"))
@@ -49,12 +69,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op4_rules": op4_rules,
     "op5_bpe": op5_bpe,
     "op6_substring": op6_substring,
+    "op7_licences": op7_licences,
+    "op8_minhash": op8_minhash,
     "op9_linededup": op9_linededup,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_rules": rules.rules_sql(),
+    "op7_licences": licences.scan_sql(),
     "op6_substring": r"""
         WITH word AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
