@@ -3,9 +3,10 @@
 Every five-word shingle is hashed once.  The hash's top bits choose one of ``BINS`` bins and each
 bin keeps its least hash.  An empty bin copies a full one: bin i probes the bins ``c[i] + a[i] * t``
 for t = 0, 1, ... (modulo BINS, a odd, so that all are reached) and takes the first full one, which
-chooses alike in every document and independently per bin.  The four low bits of each bin's hash
-are packed as one hexadecimal digit.  Digits agree by chance once in 16, so a share m of agreeing
-digits estimates the likeness (m - 1/16) / (1 - 1/16).
+chooses alike in every document and independently per bin.  Each bin keeps the four low bits of its
+hash, mixed with the bin's number so that copies of one hash do not agree by chance together, packed
+as one hexadecimal digit.  Digits agree by chance once in 16, so a share m of agreeing digits
+estimates the likeness (m - 1/16) / (1 - 1/16).
 
 All of it is expressions over one row: the bins' largest values are added to the hashes and sorted
 with them, so the first value of each bin is its minimum, or that mark if the bin is empty.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from concord.llm.common import text_of
 from concord.llm.rules import words_of
 
-SHINGLE, LOG_BINS, BITS, PROBES = 5, 9, 4, 24
+SHINGLE, LOG_BINS, BITS, PROBES, KEPT = 5, 9, 4, 24, 40
 BINS = 1 << LOG_BINS
 _LOW = (1 << (64 - LOG_BINS)) - 1
 
@@ -53,14 +54,16 @@ def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE)
     bin_of = lambda x: F.shiftrightunsigned(x, 64 - LOG_BINS)
     step = df.withColumn(w, words_of(F.col(text))).withColumn(h, F.sort_array(F.concat(hashes, marks)))
     least = F.filter(h, lambda x, k: (k == 0) | (bin_of(x) != bin_of(F.get(F.col(h), k - 1))))
-    # A full bin's entry holds its place above its four bits.
-    entry = F.transform(least, lambda x, k: F.when(x.bitwiseAND(F.lit(_LOW)) != _LOW, k * 16 + x.bitwiseAND(F.lit(15)).cast("int")))
+    # A full bin's entry holds its place above its hash's low bits.
+    low = F.lit((1 << KEPT) - 1)
+    entry = F.transform(least, lambda x, k: F.when(x.bitwiseAND(F.lit(_LOW)) != _LOW, F.shiftleft(k.cast("long"), KEPT) + x.bitwiseAND(low)))
     step = step.withColumn(v, entry).withColumn(full, F.array_compact(v))
     probe = lambda i, t: F.get(F.col(v), (F.get(c, i) + F.get(a, i) * t).bitwiseAND(F.lit(BINS - 1)))
     # Where many probes have failed few bins are full, and the first of them in probing order is found directly.
-    turn = lambda q, i: ((F.floor(q / 16).cast("int") - F.get(c, i)) * F.get(inverse, i)).bitwiseAND(F.lit(BINS - 1))
-    first = lambda i: F.array_min(F.transform(full, lambda q: turn(q, i) * (16 * BINS) + q))
-    filled = F.transform(v, lambda x, i: F.coalesce(x, *[probe(i, t) for t in range(PROBES)], first(i)).bitwiseAND(F.lit(15)))
+    turn = lambda q, i: ((F.shiftright(q, KEPT).cast("int") - F.get(c, i)) * F.get(inverse, i)).bitwiseAND(F.lit(BINS - 1))
+    first = lambda i: F.array_min(F.transform(full, lambda q: F.shiftleft(turn(q, i).cast("long"), KEPT + LOG_BINS) + q))
+    filled = F.transform(v, lambda x, i: F.coalesce(x, *[probe(i, t) for t in range(PROBES)], first(i)).bitwiseAND(low))
+    filled = F.transform(filled, lambda x, i: F.xxhash64(x, i).bitwiseAND(F.lit(15)).cast("int"))
     step = step.withColumn(d, filled)
     digits = F.array_join(F.transform(d, lambda x: F.substring(F.lit("0123456789abcdef"), x + 1, F.lit(1))), "")
     return step.withColumn(out, F.when(n > 0, digits).otherwise(F.lit(""))).drop(w, h, v, d, full)
