@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, licences, linededup, minhash, mixing, rules, simhash, substring
+from concord.llm import bpe, licences, linededup, minhash, mixing, quality, rules, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality classifier: every document's score by the field fitted to the labels not held out."""
+    out = quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "judged.held_out", "judged.score", "judged.predicted")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing: the words that the mix takes of every document, beside its source's target."""
     out = mixing.mix(_read(spark, sf_dir, "documents"))
@@ -68,6 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
     "op4_rules": op4_rules,
     "op5_bpe": op5_bpe,
