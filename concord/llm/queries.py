@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, licences, linededup, minhash, mixing, quality, rules, simhash, substring
+from concord.llm import bpe, extract, licences, linededup, minhash, mixing, quality, rules, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "judged.held_out", "judged.score", "judged.predicted")
 
 
+def op2_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTML extraction: the main text of every page."""
+    out = extract.extracted(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing: the words that the mix takes of every document, beside its source's target."""
     out = mixing.mix(_read(spark, sf_dir, "documents"))
@@ -75,6 +81,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_extract": op2_extract,
     "op3_mixing": op3_mixing,
     "op4_rules": op4_rules,
     "op5_bpe": op5_bpe,

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.common import Table, byte_texts, sized, text_of
@@ -49,15 +49,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` of every row; fp is the fingerprint's 64 bits as a signed integer."""
+    """``(id, tag, fp)`` of every row: a hash of the text and the fingerprint's 64 bits, as signed integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches):
             fps = np.array([fingerprint(t) for t in byte_texts(b, "t")], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps)], names=["id", "tag", "fp"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.select("id", F.xxhash64("t").alias("tag"), "t").mapInArrow(run, "id long, tag long, fp long")
 
 
 def shared_bytes(x: Column) -> Column:
@@ -105,7 +105,7 @@ def links(distinct: DataFrame, long_list: int = 256) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 256) -> DataFrame:
-    """One row per input row: ``id``, ``fp`` and ``component_id``, the least id reachable by links.
+    """One row per input row: ``id, tag, fp`` and ``component_id``, the least id reachable by links.
 
     Texts are lower-cased (A-Z), cut into words at ASCII white space and shingled by three words;
     texts without a word have fingerprint 0 and link like any other.  Rows with equal fingerprints
@@ -119,4 +119,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.join(least, "root").select("fp", "component_id")
     # The side with one row per fingerprint is small beside the documents but grows with them: no broadcast hint.
-    return prints.df.join(by_print, "fp").select("id", "fp", "component_id")
+    return prints.df.join(by_print, "fp").select("id", "tag", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 256) -> DataFrame:
+    """``docs`` without near duplicates: of each component only the row with its least id stays.
+
+    Of several such rows the one with the least hash of its text stays, once.  In components without
+    any id one row of each text stays.  Documents without a word are alike, hence one component.
+    """
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names))
+    rows = docs.toDF(*names).withColumns({"id_": F.col(own[id_col]).cast("long"), "tag_": F.xxhash64(F.coalesce(F.col(own[text_col]).cast("string"), F.lit("")))})
+    marks = near_duplicates(docs, id_col, text_col, long_list)
+    least = marks.where("id = component_id").groupBy("id").agg(F.min("tag").alias("tag"))
+    keys = least.union(marks.where("component_id IS NULL").select("id", "tag").distinct())
+    chosen = rows.join(keys, F.col("id_").eqNullSafe(F.col("id")) & (F.col("tag_") == F.col("tag")))
+    turn = F.row_number().over(Window.partitionBy("id_", "tag_").orderBy("tag_"))
+    return chosen.withColumn("turn", turn).where("turn = 1").select(*[F.col(own[c]).alias(c) for c in docs.columns])
