@@ -69,11 +69,12 @@ def signatures(matrix: DataFrame, models: list[str], first: list[str]) -> DataFr
     """One row per distinct label tuple: ``sid, sig (array), w`` (rows) in order of first occurrence.
 
     Rows with one tuple are at distance 0 and at equal distance to all others, so clustering needs
-    only tuples and their weights.  ``first`` are the columns that order the rows.
+    only tuples and their weights.  ``first`` are the columns that order the rows; tuples whose first
+    rows are equal in these go by value.
     """
     sig = F.array(*[F.col(m).cast("string") for m in models])
     grouped = matrix.groupBy(sig.alias("sig")).agg(F.count(F.lit(1)).alias("w"), F.min(F.struct(*first)).alias("first"))
-    return grouped.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("sid"), "sig", "w")
+    return grouped.select((F.row_number().over(Window.orderBy("first", "sig")) - 1).cast("long").alias("sid"), "sig", "w")
 
 
 def disagreement(a: Column, b: Column) -> Column:

@@ -73,7 +73,7 @@ def dendrogram(sigs: DataFrame, limit: int = DEFAULTS.max_signatures) -> DataFra
     The matrix is over distinct tuples, not rows.  More of them than ``limit`` raise an error.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > limit:
             raise ValueError(f"{len(pdf)} distinct label tuples; one linkage holds {limit}")
         pdf = pdf.sort_values("sid")
@@ -90,7 +90,7 @@ def cut(sigs: DataFrame, tree: DataFrame, ks: list[int]) -> DataFrame:
     With fewer tuples than k every tuple is its own cluster.
     """
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         n = len(left)
         right = right.sort_values("step")
         out = []

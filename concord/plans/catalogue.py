@@ -332,7 +332,7 @@ def k_mode(spark, sf_dir):
 _LINES_SQL = """
     mat AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS m1, l_linestatus AS m2,
                    floor(l_quantity / 10)::BIGINT::VARCHAR AS m3 FROM lineitem),
-    sig AS (SELECT row_number() OVER (ORDER BY o) - 1 AS sid, m1, m2, m3, w FROM (
+    sig AS (SELECT row_number() OVER (ORDER BY o, m1, m2, m3) - 1 AS sid, m1, m2, m3, w FROM (
                 SELECT m1, m2, m3, count(*) AS w, min(row(l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS o FROM mat GROUP BY m1, m2, m3)),
     pair AS (SELECT a.sid AS i, b.sid AS j, a.w AS wi, b.w AS wj,
                     ((a.m1 IS DISTINCT FROM b.m1)::INT + (a.m2 IS DISTINCT FROM b.m2)::INT + (a.m3 IS DISTINCT FROM b.m3)::INT) AS disagree
@@ -492,10 +492,11 @@ _LABELINGS = {
     "discount": ("cast(floor(l_discount * 100 / 4) as string)", "floor(l_discount * 100 / 4)::BIGINT::VARCHAR"),
 }
 _LONG_SQL = " UNION ALL ".join(
-    f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, year(l_shipdate)::INTEGER AS rep, l_extendedprice AS p, '{m}' AS model, {sql} AS label FROM lineitem"
+    f"SELECT rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, year(l_shipdate)::INTEGER AS rep, l_extendedprice AS p, '{m}' AS model, {sql} AS label FROM item"
     for m, (_, sql) in _LABELINGS.items()
 )
 _FLAGSHIP_SQL = f"""
+    item AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM lineitem),
     long AS MATERIALIZED ({_LONG_SQL}),
     cell AS (SELECT model, rep, label, count(*) AS n, sum(p) AS s, sum(p * p) AS q FROM long GROUP BY ALL),
     rev AS (SELECT model, rep, round((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)), 4) AS x FROM cell GROUP BY model, rep),
@@ -528,9 +529,9 @@ def flagship_ranking(spark, sf_dir):
     WITH RECURSIVE {_FLAGSHIP_SQL},
     top AS (SELECT model, place FROM placed WHERE place <= 3),
     kk AS (SELECT round_even(median(k), 0)::INTEGER AS k FROM (SELECT count(DISTINCT label) AS k FROM long JOIN top USING (model) GROUP BY model) WHERE k BETWEEN 2 AND 15),
-    row_sig AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list(label ORDER BY place) AS t
-                FROM long JOIN top USING (model) GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey),
-    sig AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o) - 1 AS sid, t, w FROM (
+    row_sig AS (SELECT rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, list(label ORDER BY place) AS t
+                FROM long JOIN top USING (model) GROUP BY rid, l_orderkey, l_linenumber, l_partkey, l_suppkey),
+    sig AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o, t) - 1 AS sid, t, w FROM (
                 SELECT t, count(*) AS w, min(row(l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS o FROM row_sig GROUP BY t)),
     pair AS MATERIALIZED (SELECT a.sid AS i, b.sid AS j, a.w AS wi, b.w AS wj, (a.t[1] <> b.t[1])::INT + (a.t[2] <> b.t[2])::INT + (a.t[3] <> b.t[3])::INT AS disagree
              FROM sig a JOIN sig b ON a.sid < b.sid),

@@ -115,10 +115,14 @@ def read_separate(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataF
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """Verdict records; blank and broken lines are left out."""
+    """Verdict records; blank and broken lines are left out.  Folders by repetition are read as such."""
     schema = T.StructType([*schemas.VERDICT.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    lines = spark.read.text(path)
+    rows = lines.where(F.trim("value") != "").withColumn("v", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
+    fields = {f.name: F.col(f"v.{f.name}") for f in schemas.VERDICT.fields}
+    if "repetition" in lines.columns:
+        fields["repetition"] = F.coalesce(fields["repetition"], F.col("repetition").cast("int"))
+    return rows.where("v._corrupt IS NULL").select(*[c.alias(n) for n, c in fields.items()])
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
