@@ -58,3 +58,16 @@ def sized(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def free(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def others(columns: list[str], name: str) -> list[str]:
+    """The columns that a result column ``name`` does not replace."""
+    return [c for c in columns if c.lower() != name.lower()]

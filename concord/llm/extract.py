@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.llm.common import others
+
 #: Elements by how the parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object select textarea button title canvas audio video".split())
@@ -416,8 +418,8 @@ def main_text(net: Network, pages: list[str], threshold: float = 0.5) -> list[st
     return ["\n".join(b.text for b, p in zip(bs, ps) if p >= threshold) for bs, ps in zip(found, kept)]
 
 
-def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """All columns of ``pages`` and ``main``, the main text (empty if none).
+def extracted(pages: DataFrame, html_col: str = "html", out: str = "main") -> DataFrame:
+    """All columns of ``pages`` and ``out``, the main text (empty if none), in place of a column of that name.
 
     Null and empty pages have no text; a page without markup is one block; unclosed and stray tags,
     comments and cut-off pages are read as browsers do, near enough.  Repeated rows repeat.
@@ -433,5 +435,5 @@ def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
             texts = list(s)
             yield pd.Series([x for k in range(0, len(texts), 256) for x in main_text(net.value, texts[k : k + 256])], dtype=object)
 
-    out = rows.withColumn("main", run(F.coalesce(F.col(own[html_col]).cast("string"), F.lit(""))))
-    return out.select(*[F.col(own[c]).alias(c) for c in pages.columns], "main")
+    done = rows.withColumn("main", run(F.coalesce(F.col(own[html_col]).cast("string"), F.lit(""))))
+    return done.select(*[F.col(own[c]).alias(c) for c in others(pages.columns, out)], F.col("main").alias(out))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_texts, sized, text_of
+from concord.llm.common import byte_texts, free, others, sized
 
 WINDOW = 3
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -65,10 +65,11 @@ def _cutter(size: int):
     return cut
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` plus ``cut``: a struct of the kept ``text``, ``lines`` and ``removed``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, out: str = "cut") -> DataFrame:
+    """All columns of ``docs`` plus ``out``: a struct of the kept ``text``, ``lines`` and ``removed``.
 
-    A null text counts as empty and comes back as empty; an empty text has one line.  Only hashes
+    A column of that name is replaced.  A null text counts as empty and comes back as empty; an empty
+    text has one line.  Only hashes
     of windows meet in a shuffle.  A window that very many documents share is one row per map task
     after partial aggregation, and the join back to its occurrences is one that AQE can split.
     """
@@ -84,14 +85,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_doc = repeats.groupBy("id", "digest").agg(F.collect_set("n").alias("starts"))
     by_doc = by_doc.select(F.col("id").alias("id2"), F.col("digest").alias("digest2"), "starts").hint("shuffle_hash")
     joined = rows.join(by_doc, rows["id"].eqNullSafe(by_doc["id2"]) & (rows["digest"] == by_doc["digest2"]), "left")
-    out = joined.withColumn("cut", _cutter(size)(F.col("t"), F.col("starts")))
-    return out.select(*[F.col(own[c]).alias(c) for c in docs.columns], "cut")
+    done = joined.withColumn("cut", _cutter(size)(F.col("t"), F.col("starts")))
+    return done.select(*[F.col(own[c]).alias(c) for c in others(docs.columns, out)], F.col("cut").alias(out))
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated lines gone from its text column; every row and column stays."""
-    out = dedup_lines(docs, id_col, text_col, size)
-    return out.select(*[F.col("cut.text").alias(c) if c == text_col else out[c] for c in docs.columns])
+    name = free(docs.columns, "cut")
+    out = dedup_lines(docs, id_col, text_col, size, name)
+    return out.select(*[out[name]["text"].alias(c) if c == text_col else out[c] for c in docs.columns])
 
 
 def digest_of(text: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_texts, sized, text_of
+from concord.llm.common import byte_texts, free, others, sized, text_of
 
 SAMPLE, FOLDS, THRESHOLD = 4000, 5, 0.3
 _UPPER, _DIGITS, _SYMBOLS = string.ascii_uppercase.encode(), string.digits.encode(), b"#*$%&|<>!{}[]\\^~=_@"
@@ -213,10 +213,10 @@ def score_texts(field: Field | None, texts: list[bytes]) -> np.ndarray:
     return np.where([len(s) > 0 for _, s in parts], scores, 0.0)
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and a struct ``judged``: ``held_out``, ``score`` and ``predicted``.
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD, out: str = "judged") -> DataFrame:
+    """All columns of ``docs`` and a struct ``out``: ``held_out``, ``score`` and ``predicted``.
 
-    The score depends on the text alone.  Null and empty texts score 0.  Null ids count as not held
+    A column of that name is replaced.  The score depends on the text alone.  Null and empty texts score 0.  Null ids count as not held
     out and are never learnt from; repeated rows get equal scores.  Without labels of both kinds
     every text with a word scores 1.
     """
@@ -233,10 +233,11 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.toDF(*names)
     rows = rows.withColumn("score", score(F.coalesce(F.col(own[text_col]).cast("string"), F.lit(""))))
     judged = F.struct(held_out(F.col(own[id_col]).cast("long")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
-    return rows.select(*[F.col(own[c]).alias(c) for c in docs.columns], judged.alias("judged"))
+    return rows.select(*[F.col(own[c]).alias(c) for c in others(docs.columns, out)], judged.alias(out))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    out = scored(docs, labels, **options)
-    return out.where("judged.predicted = 1").select(*docs.columns)
+    name = free(docs.columns, "judged")
+    out = scored(docs, labels, out=name, **options)
+    return out.where(out[name]["predicted"] == 1).select(*[out[c] for c in docs.columns])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import SPACE, WORD
+from concord.llm.common import SPACE, WORD, free, others
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -56,8 +56,8 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > 0, covered).otherwise(F.lit(0).cast("long"))
 
 
-def measured(docs: DataFrame, text_col: str = "text", lost: float = 0.5, min_words: int = 50) -> DataFrame:
-    """``docs`` with a struct column ``rules``: the base counts, ``base_failed`` and ``kept``.
+def measured(docs: DataFrame, text_col: str = "text", lost: float = 0.5, min_words: int = 50, out: str = "rules") -> DataFrame:
+    """``docs`` with a struct column ``out`` (in place of one of that name): the base counts, ``base_failed`` and ``kept``.
 
     ``kept`` is false if a document has too few words, repeats more than half of them, or loses
     more than ``lost`` of its word characters with its bad lines.  ``clean`` is the text of the good
@@ -100,13 +100,14 @@ def measured(docs: DataFrame, text_col: str = "text", lost: float = 0.5, min_wor
     found = found.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("good_chars") >= F.col("word_chars") * F.lit(1 - lost))
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "clean"]
-    return found.select(*[F.col(own[c]).alias(c) for c in docs.columns], F.struct(*fields).alias("rules"))
+    return found.select(*[F.col(own[c]).alias(c) for c in others(docs.columns, out)], F.struct(*fields).alias(out))
 
 
 def filtered(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that are kept, with only their good lines."""
-    out = measured(docs, text_col, **options).where("rules.kept")
-    return out.select(*[F.col("rules.clean").alias(c) if c == text_col else out[c] for c in docs.columns])
+    name = free(docs.columns, "rules")
+    out = measured(docs, text_col, out=name, **options)
+    return out.where(out[name]["kept"]).select(*[out[name]["clean"].alias(c) if c == text_col else out[c] for c in docs.columns])
 
 
 def rules_sql() -> str:
