@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from concord import schemas
 from concord.config import DEFAULTS
-from concord.operators import labels, linkage, selection, tournament
+from concord.functions import text
+from concord.operators import audit, judges, labels, linkage, selection, tournament
 
 
 @dataclass(frozen=True)
@@ -19,6 +24,61 @@ class KChoice:
     k_range: tuple[int, ...] = DEFAULTS.k_range
 
 
+def play(images: DataFrame, judge: judges.Judge, repetitions: int = DEFAULTS.repetitions, cache: DataFrame | None = None, mode: str = "simple", model: str = "judge", temperature: float = 1.0, effort: str = "medium") -> tuple[DataFrame, DataFrame]:
+    """A whole tournament over ``images(model, data_url)``: verdict records, and rows to add to the cache.
+
+    Every two models meet once a repetition, the lesser name first; only games that the cache lacks
+    are judged.  Fewer than two models are an error.  Write the result before using it twice.
+    """
+    if images.select("model").distinct().limit(2).count() < 2:
+        raise ValueError("fewer than two models to compare")
+    games = tournament.schedule(tournament.pairs(images), repetitions)
+    shown = tournament.with_payloads(judges.keyed(games, mode, model, temperature, effort), images)
+    rows, fresh = judges.judged(shown, cache, judge)
+    return judges.verdicts(rows), fresh
+
+
+def run_audit(verdicts: DataFrame, images: DataFrame, call: Callable[[dict], str], dataset: str, top_k: int = DEFAULTS.top_k) -> DataFrame:
+    """The audit of the best ``top_k`` models, as one row in the form of ``schemas.AUDIT``.
+
+    Models without an image are left out; fewer than two with one are an error, and so is a reply
+    that is not the JSON asked for.  One row per selected model is all that reaches the driver.
+    """
+    ranked = tournament.ranking(verdicts)
+    top = selection.top_fixed(ranked, top_k).join(images.select("model"), "model", "left_semi")
+    ids = audit.generic_ids(top.select("model"))
+    if ids.count() < 2:
+        raise ValueError("fewer than two selected models have an image")
+    digest = audit.summary(audit.within(verdicts, top))
+    prompt = audit.prompt(ids, ranked, digest).first().prompt
+    urls = [r.data_url for r in images.join(ids, "model").orderBy("model").select("data_url").collect()]
+    reply = judges.ask(call, {"prompt": prompt, "images": urls})
+    raw = ids.sparkSession.createDataFrame([(reply,)], "raw_response string")
+    parsed = raw.withColumn("r", text.parsed_reply(F.col("raw_response")))
+    if parsed.where("r.final_keep_ids IS NULL").count():
+        raise ValueError("the reply is not the JSON asked for")
+    real = F.map_from_entries(F.collect_list(F.struct("generic", "model")))
+    names = ids.agg(real.alias("names"))  # one row
+    keep, notes = F.col("r.final_keep_ids"), F.coalesce("r.per_model_notes", F.create_map().cast("map<string,string>"))
+    known = F.filter(keep, lambda g: F.map_contains_key("names", g))
+    return parsed.crossJoin(names).select(
+        keep.alias("final_keep_ids"),
+        F.transform(known, lambda g: F.element_at("names", g)).alias("final_model_ids"),
+        notes.alias("per_model_notes_generic"),
+        F.transform_keys(F.map_filter(notes, lambda k, v: F.map_contains_key("names", k)), lambda k, v: F.element_at("names", k)).alias("per_model_notes"),
+        F.lit(dataset).alias("dataset_name"),
+        "raw_response",
+    ).to(schemas.AUDIT)
+
+
+def agreement(found: DataFrame, truth: DataFrame, key: str, truth_col: str, name: str = "consensus_label") -> DataFrame | None:
+    """Adjusted Rand index of a consensus and a ground truth aligned by key; None if there is no such column."""
+    if truth_col not in truth.columns:
+        return None
+    joined = found.join(truth.select(F.col(key), F.col(truth_col).alias("_truth")), key, "left")
+    return linkage.adjusted_rand(joined, name, "_truth")
+
+
 def choose_k(matrix: DataFrame, models: list[str], sigs: DataFrame, tree: DataFrame, choice: KChoice) -> int:
     """One number; the methods are the median or mode of the models' counts, silhouette and gap."""
     if choice.method == "fixed":

@@ -277,3 +277,35 @@ def test_streaming_tally_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, tournament.tally(rows).collect()))
+
+
+def test_tournament_audit_and_consensus_end_to_end(spark):
+    images = spark.createDataFrame([(m, f"data:{m}") for m in "abc"], "model string, data_url string")
+    rows, fresh = pipeline.play(images, judges.expression_judge(F.lit("First")), 2)
+    assert rows.count() == 6 and fresh.count() == 6
+    ranked = [r.model for r in tournament.ranking(rows).collect()]
+    assert ranked == ["a", "b", "c"]
+    asked = []
+
+    def call(game):
+        asked.append(game)
+        return '{"final_keep_ids": ["model_2", "model_1", "model_7"], "per_model_notes": {"model_1": "fine", "model_7": "?"}}'
+
+    result = pipeline.run_audit(rows, images, call, "d s").first()
+    assert result.final_model_ids == ["b", "a"] and result.per_model_notes == {"a": "fine"}
+    assert asked[0]["images"] == ["data:a", "data:b", "data:c"] and "win_rate" in asked[0]["prompt"]
+    m = matrix(spark, "aabb", "xxyy", "pqqq").withColumnsRenamed({"m1": "A", "m2": "b", "m3": "c"})
+    out = pipeline.run(rows, m, ["pos"], audited=result.final_model_ids, choice=pipeline.KChoice("fixed", 2))
+    truth = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 2)], "pos int, t int")
+    assert pipeline.agreement(out, truth, "pos", "t").first().ari == 1.0
+    assert pipeline.agreement(out, truth, "pos", "nope") is None
+    for bad in (lambda: pipeline.play(images.limit(1), judges.expression_judge(F.lit("x"))), lambda: pipeline.run_audit(rows, images, lambda g: "no json", "d"), lambda: pipeline.run_audit(rows, images.limit(1), call, "d")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_messages(spark):
+    df = spark.createDataFrame([("u1", None)], "a string, b string")
+    chat = audit.messages(audit.compare_prompt(F.lit("tissue"), F.lit(True)), F.col("a"), F.col("b"))
+    (turn,) = df.select(text.provider_parts(chat).alias("m")).first().m
+    assert [p.type for p in turn.content] == ["input_text", "input_image"] and "tissue" in turn.content[0].text
