@@ -19,7 +19,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: ``spark.checkpoint.dir``, else a local one."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
 
 
 class Table:
