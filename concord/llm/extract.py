@@ -225,7 +225,7 @@ class Network:
         """Of the mean cross-entropy; ``labels`` (steps, pages) are ignored where no step exists."""
         p, (x, at, (step, page, kept), f, b, fm, bm) = self.forward(pages)
         d = (p - labels) * at / at.sum()
-        g = {"out": np.concatenate([np.einsum("tn,tnh->h", d, f), np.einsum("tn,tnh->h", d, b)]), "skip": np.einsum("tn,tnd->d", d, x), "bias": d.sum(keepdims=True).ravel()}
+        g = {"out": np.concatenate([d.ravel() @ a.reshape(-1, HIDDEN) for a in (f, b)]), "skip": d.ravel() @ x.reshape(-1, x.shape[2]), "bias": d.sum(keepdims=True).ravel()}
         dx = d[..., None] * self.p["skip"]
         for way, memory, out in (("f", fm, self.p["out"][:HIDDEN]), ("b", bm, self.p["out"][HIDDEN:])):
             wh, dz_all = self.p[f"{way}h"], np.zeros((*at.shape, 4 * HIDDEN))
@@ -239,13 +239,15 @@ class Network:
                 dz_all[t] = dz
                 dh = np.where(live, dz @ wh.T, dh)
                 dc = np.where(live, dn * fo, dc)
-            g[f"{way}x"] = np.einsum("tnd,tnz->dz", x, dz_all)
+            g[f"{way}x"] = x.reshape(-1, x.shape[2]).T @ dz_all.reshape(-1, 4 * HIDDEN)
             g[f"{way}b"] = dz_all.sum((0, 1))
             dx += dz_all @ self.p[f"{way}x"].T
         for name, flat, block, n, lo, hi in kept:
             own = dx[step, page, lo:hi] / np.maximum(n, 1)[:, None]
             g[name] = np.zeros_like(self.p[name])
-            np.add.at(g[name], flat, own[block])
+            order = np.argsort(flat, kind="stable")
+            rows, starts = np.unique(flat[order], return_index=True)
+            g[name][rows] = np.add.reduceat(own[block][order], starts, axis=0)
         return g
 
     def predict(self, pages: list) -> list[np.ndarray]:
