@@ -10,25 +10,30 @@ so a window with a cell below 2 in either row occurs in one document only.  Seco
 whose cells are both marked, and no others, are grouped exactly, by a 128-bit digest of their words.
 Wrongly marked windows cost a row each and change nothing; none that repeats is lost.
 
-The bitmaps are what every task is sent.  They have one cell per window, rounded up to a power of
-two, and at most ``2 ** MAX_LOG_CELLS`` cells a row (2 x 32 MB).  Beyond that many windows the
-filter lets more through and the exact pass has more to group, with the same result.
+The bitmaps are what every task is sent.  They have four to eight cells per window, a power of two,
+and at most ``2 ** MAX_LOG_CELLS`` cells a row (2 x 64 MB).  Beyond that the filter lets more windows
+through and the exact pass has more to group, with the same result.
+
+Whole copies would send every window of theirs to the exact pass.  The digests and first ids of the
+``HEAVY`` groups of equal word sequences with most members are sent along (a bounded table); a later member
+of these has all its windows in the first, so it needs neither counting nor grouping.  Other copies
+go through both passes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import blake2b, md5, sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_texts, sized, text_of
+from concord.llm.common import SPACE, byte_texts, sized, text_of
 
 WINDOW = 13
-MIN_LOG_CELLS, MAX_LOG_CELLS, SHARDS = 16, 28, 64
+MIN_LOG_CELLS, MAX_LOG_CELLS, SHARDS, HEAVY = 16, 29, 64, 65_536
 _BLOCK = 65_536
 _CHUNK = 4_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -69,6 +74,11 @@ def _blocks(words: list[bytes], size: int) -> Iterator[tuple[int, list[bytes]]]:
         yield k, words[k : k + _BLOCK + size - 1]
 
 
+def _all_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of every window of a text of any length."""
+    return np.concatenate([window_hashes(part, size) for _, part in _blocks(words, size)])
+
+
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     """Cell of each hash in one of the two rows."""
     return (hashes * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[row])) >> np.uint64(64 - bits)
@@ -89,7 +99,7 @@ def unpack_gaps(packed: bytes) -> np.ndarray:
     return np.cumsum(raw, dtype=np.int64)[raw != 255]
 
 
-def _sketches(rows: DataFrame, size: int, bits: int) -> DataFrame:
+def _sketches(rows: DataFrame, size: int, bits: int, copies) -> DataFrame:
     """``(r, shard, gaps)``: cells of each task's windows, sorted, each at most twice."""
     shard_bits = bits - (SHARDS - 1).bit_length()
 
@@ -111,10 +121,11 @@ def _sketches(rows: DataFrame, size: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for b in sized(batches):
-            for text in byte_texts(b, "t"):
+            for key, text in zip(b.column(0).to_pylist(), byte_texts(b, "t")):
                 words = text.split()
-                own = [window_hashes(part, size) for _, part in _blocks(words, size)]
-                hashes = np.unique(np.concatenate(own))
+                if _is_copy(copies.value, key, words):
+                    continue
+                hashes = np.unique(_all_hashes(words, size))
                 parts.append(hashes)
                 held += len(hashes)
                 if held >= _CHUNK:
@@ -123,7 +134,7 @@ def _sketches(rows: DataFrame, size: int, bits: int) -> DataFrame:
         if held:
             yield flush(parts)
 
-    return rows.select("t").mapInArrow(run, "r int, shard int, gaps binary")
+    return rows.select("id", "t").mapInArrow(run, "r int, shard int, gaps binary")
 
 
 def _marked(sketches: DataFrame, bits: int) -> list[np.ndarray]:
@@ -157,8 +168,22 @@ def _marked(sketches: DataFrame, bits: int) -> list[np.ndarray]:
     return maps
 
 
-def _suspects(rows: DataFrame, size: int, bits: int, maps) -> DataFrame:
-    """``(k1, k2, id, at)``: digest, document and place of every window with two marked cells.
+def _copies(rows: DataFrame, heavy: int) -> dict[bytes, int]:
+    """First id of each of the largest groups of equal word sequences, by MD5; at most ``heavy`` entries."""
+    words = F.trim(F.regexp_replace("t", SPACE, " "))
+    groups = rows.groupBy(F.unhex(F.md5(words)).alias("digest")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    top = groups.where("n > 1 AND first IS NOT NULL").orderBy(F.desc("n"), "digest").limit(heavy)
+    return {bytes(r.digest): r.first for r in top.select("digest", "first").collect()}
+
+
+def _is_copy(copies: dict[bytes, int], key: int | None, words: list[bytes]) -> bool:
+    """Whether a document of a smaller id is known to have the same words."""
+    first = copies.get(md5(b" ".join(words)).digest()) if copies else None
+    return first is not None and (key is None or key > first)
+
+
+def _suspects(rows: DataFrame, size: int, bits: int, maps, copies) -> DataFrame:
+    """``(k1, k2, id, at)``: digest, document and first place of every window with two marked cells.
 
     ``at`` packs 32 bits of the text's hash over the window's first word, so that rows which share
     an id but not a text stay apart.
@@ -168,38 +193,44 @@ def _suspects(rows: DataFrame, size: int, bits: int, maps) -> DataFrame:
         marks = maps.value
         for b in sized(batches, 64):
             of, keys, at = [], [], []
+            ids = b.column(0).to_pylist()
             tags = b.column(2).to_numpy(zero_copy_only=False)
             for k, text in enumerate(byte_texts(b, "t")):
                 words = text.split()
-                for start, part in _blocks(words, size):
-                    hashes = window_hashes(part, size)
-                    hit = np.ones(len(hashes), bool)
-                    for r in (0, 1):
-                        cells = _cells(hashes, r, bits)
-                        hit &= (marks[r][cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    found = np.flatnonzero(hit)
-                    of.extend([k] * len(found))
-                    at.append((int(tags[k]) << 32) + start + found)
-                    keys += [blake2b(b" ".join(part[i : i + size]), digest_size=16).digest() for i in found]
+                if _is_copy(copies.value, ids[k], words):
+                    continue
+                hashes, places = np.unique(_all_hashes(words, size), return_index=True)
+                hit = np.ones(len(hashes), bool)
+                for r in (0, 1):
+                    cells = _cells(hashes, r, bits)
+                    hit &= (marks[r][cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                found = np.sort(places[hit])
+                of.extend([k] * len(found))
+                at.append((int(tags[k]) << 32) + found)
+                keys += [blake2b(b" ".join(words[i : i + size]), digest_size=16).digest() for i in found]
             both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             place = np.concatenate(at).astype(np.int64) if at else np.empty(0, np.int64)
-            ids = b.column(0).take(pa.array(of, pa.int64()))
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), ids, pa.array(place)], names=["k1", "k2", "id", "at"])
+            docs = b.column(0).take(pa.array(of, pa.int64()))
+            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), docs, pa.array(place)], names=["k1", "k2", "id", "at"])
 
     return rows.select("id", "t", "tag").mapInArrow(run, "k1 long, k2 long, id long, at long")
 
 
-def _cutter(size: int):
+def _cutter(size: int, copies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches, 64):
             n, removed, digests, kept = [], [], [], []
-            starts = b.column(2)
+            ids, starts = b.column(0).to_pylist(), b.column(2)
             for k, text in enumerate(byte_texts(b, "t")):
                 words = text.split()
                 keep = np.ones(len(words) + 1, np.int64)
                 found = starts[k].values
-                if found is not None and len(found):
-                    s = found.to_numpy()
+                if len(words) >= size and _is_copy(copies.value, ids[k], words):
+                    keep[:] = 0
+                elif found is not None and len(found):
+                    # One place stands for all of the document where the same window starts.
+                    hashes = _all_hashes(words, size)
+                    s = np.flatnonzero(np.isin(hashes, hashes[found.to_numpy()]))
                     edge = np.zeros(len(words) + size + 1, np.int64)
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + size, -1)
@@ -215,7 +246,7 @@ def _cutter(size: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, heavy: int = HEAVY) -> DataFrame:
     """``id, n_words, n_removed, kept_sha256, kept`` for every row of ``docs``.
 
     Words are cut at ASCII white space and kept ones are joined by one blank.  Windows are judged
@@ -225,9 +256,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     t = text_of(docs, text_col)
     rows = docs.select(docs[id_col].cast("long").alias("id"), t.alias("t")).withColumn("tag", F.xxhash64("t").bitwiseAND(F.lit(0x7FFFFFFF)))
     windows = (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // 6
-    bits = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, int(windows).bit_length()))
-    maps = docs.sparkSession.sparkContext.broadcast(_marked(_sketches(rows, size, bits), bits))
-    seen = _suspects(rows, size, bits, maps)
+    bits = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, int(windows).bit_length() + 2))
+    context = docs.sparkSession.sparkContext
+    copies = context.broadcast(_copies(rows, heavy))
+    maps = context.broadcast(_marked(_sketches(rows, size, bits, copies), bits))
+    seen = _suspects(rows, size, bits, maps, copies)
     last = F.coalesce("id", F.lit((1 << 63) - 1))
     # Least and greatest, not a count of rows: a window may come twice in one document.
     first = seen.groupBy("k1", "k2").agg(F.min(last).alias("first"), F.max(last).alias("last")).where("first < last").select("k1", "k2", "first")
@@ -235,5 +268,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_doc = later.groupBy("id", F.shiftright("at", 32).alias("tag2")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("starts"))
     by_doc = by_doc.select(F.col("id").alias("id2"), "tag2", "starts").hint("shuffle_hash")
     joined = rows.join(by_doc, rows["id"].eqNullSafe(by_doc["id2"]) & (rows["tag"] == by_doc["tag2"]), "left")
-    out = joined.select("id", "t", "starts").mapInArrow(_cutter(size), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = joined.select("id", "t", "starts").mapInArrow(_cutter(size, copies), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out
