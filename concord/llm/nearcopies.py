@@ -1,0 +1,166 @@
+"""Near copies by exact likeness: sets of five-word shingles that share 0.8 or more (Jaccard).
+
+Any two sets of likeness t or more share at least ceil(t * n) members of either, n being its size.
+With all shingles in one fixed order, the first n - ceil(t * n) + 1 of both hence have one in common,
+so an index of these prefixes meets every such pair, and the exact likeness decides.  Which order is
+taken changes the cost alone: shingles that are common in a sixteenth of the texts come last, the
+others by their hash.  Texts with equal sets are one node.
+
+A group of many near copies would give the square of its size in pairs.  Each list therefore first
+compares its members with one of them only, its hub, chosen by ``HUBS`` different orders.  After that,
+all pairs of a list that are not connected yet are compared, so that every link counts that joins two
+components, and the components are exactly those of all pairs.
+
+Pairs that only share a passage are dropped before their sets are fetched: each set has a sketch of
+``WIDE`` words of 64 bits, in which a bit tells whether an odd number of members fell on it.  Sketches
+differ in no more bits than the sets do in members, and sets as alike as t differ in at most
+(1 - t) / (1 + t) of the sum of their sizes, so no such pair is lost.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from concord.llm.common import Table, byte_texts, sized, text_of
+from concord.llm.components import components
+from concord.llm.simhash import SEED, kept
+
+SHINGLE, LIKENESS, HUBS, WIDE, SAMPLE, COMMON, MOST_COMMON = 5, 0.8, 4, 16, 16, 16, 1 << 16
+_EPS = 1e-9
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's different shingles; a text of fewer words is one shingle, none has none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, dtype="<u8")
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype="<u8"))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, likeness: float = LIKENESS) -> np.ndarray:
+    """The members of a set that are indexed: the first ones, with those of sorted ``common`` last."""
+    size = own.size - math.ceil(likeness * own.size - _EPS) + 1 if own.size else 0
+    if common.size:
+        late = common[np.minimum(np.searchsorted(common, own), common.size - 1)] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[:size]
+
+
+def odd_sketch(own: np.ndarray) -> np.ndarray:
+    """One bit for each residue of the hashes: whether an odd number of them has it."""
+    counts = np.bincount((own & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _common(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many texts in a sixteenth of the rows, at most ``MOST_COMMON``; they only set the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches, 64):
+            found = [shingles(t, shingle) for t in byte_texts(b, "t")]
+            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, "<u8"), *found]).view(np.int64))], names=["s"])
+
+    some = rows.where(F.pmod("tag", F.lit(SAMPLE)) == 0).select("t").mapInArrow(run, "s long")
+    counts = some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON)
+    top = counts.orderBy(F.desc("c"), "s").limit(MOST_COMMON).select("s").collect()
+    return np.sort(np.array([r.s for r in top], dtype=np.int64).view(np.uint64))
+
+
+def _prints(rows: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """``(id, tag, key, n, first, odd)``: each row's set by its hash, its size, indexed members and sketch."""
+    common = _common(rows, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches):
+            found = [shingles(t, shingle) for t in byte_texts(b, "t")]
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], dtype=np.uint64).view(np.int64)
+            first = pa.array([prefix(x, common, likeness).view(np.int64) for x in found], type=pa.list_(pa.int64()))
+            odd = pa.array([odd_sketch(x) for x in found], type=pa.list_(pa.int64()))
+            sizes = pa.array([x.size for x in found], pa.int64())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys), sizes, first, odd], names=["id", "tag", "key", "n", "first", "odd"])
+
+    return rows.mapInArrow(run, "id long, tag long, key long, n long, first array<long>, odd array<long>")
+
+
+def _fits(a: str, b: str, likeness: float) -> Column:
+    """Whether sets of these sizes can be so alike at all."""
+    return F.least(a, b) >= F.greatest(a, b) * likeness - _EPS
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, prints: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """Those of the pairs ``(u, v)`` of keys whose sets are as alike as ``likeness``."""
+    ends = lambda p: p.select(F.col("u").alias("key")).union(p.select("v")).distinct()
+    sketches = prints.select("key", F.struct("n", "odd").alias("x")).join(ends(pairs), "key", "left_semi").groupBy("key").agg(F.min("x").alias("x"))
+    sketches = Table(sketches, "sketches")
+    differing = reduce(lambda a, b: a + b, [F.bit_count(F.get(F.col("x.odd"), F.lit(k)).bitwiseXOR(F.get(F.col("y.odd"), F.lit(k)))) for k in range(WIDE)])
+    near = differing <= (F.col("x.n") + F.col("y.n")) * ((1 - likeness) / (1 + likeness)) + _EPS
+    pairs = pairs.join(sketches.df.toDF("u", "x"), "u").join(sketches.df.toDF("v", "y"), "v").where(near).select("u", "v")
+    pairs = Table(pairs, "pairs").df
+    keys = ends(pairs)
+    wanted = prints.select("key", "tag").join(keys, "key", "left_semi").groupBy("key").agg(F.min("tag").alias("tag"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches, 64):
+            yield pa.record_batch([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in byte_texts(b, "t")], pa.binary())], names=["key", "own"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches):
+            alike = []
+            for x, y in zip(byte_texts(b, "a"), byte_texts(b, "b")):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = np.intersect1d(x, y, assume_unique=True).size
+                alike.append(both >= likeness * (x.size + y.size - both) - _EPS)
+            yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    texts = rows.select("tag", "t").join(wanted, "tag").groupBy("key").agg(F.min("t").alias("t"))
+    sets = Table(texts.mapInArrow(cut, "key long, own binary"), "sets")
+    a, b = sets.df.toDF("u", "a"), sets.df.toDF("v", "b")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+
+
+def links(rows: DataFrame, prints: DataFrame, shingle: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+    """``(u, v)`` edges between keys that connect exactly the sets of likeness ``likeness`` or more."""
+    posts = prints.select("key", "n", F.explode("first").alias("s")).repartition("s").distinct()
+    lists = Table(posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("c > 1").select("s", "key", "n"), "lists")
+    pick = F.struct(F.xxhash64("key", F.pmod("s", F.lit(HUBS))), F.col("key").alias("hub"), F.col("n").alias("m"))
+    hubs = lists.df.groupBy("s").agg(F.min(pick).alias("p")).select("s", "p.hub", "p.m")
+    ends = [F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")]
+    starred = Table(lists.df.join(hubs, "s").where(F.col("key") != F.col("hub")).where(_fits("n", "m", likeness)).select(*ends).distinct(), "pairs")
+    edges = Table(_verified(starred.df, rows, prints, shingle, likeness), "edges")
+    roots = components(edges.df).withColumnRenamed("node", "key")
+    placed = lists.df.join(roots, "key", "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
+    split = placed.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
+    left = Table(placed.join(split, "s", "left_semi"), "lists")
+    a, b = left.df, left.df.toDF("s", "hub", "m", "other")
+    apart = (F.col("key") < F.col("hub")) & (F.col("root") != F.col("other")) & _fits("n", "m", likeness)
+    rest = Table(a.join(b, "s").where(apart).select(*ends).distinct().join(starred.df, ["u", "v"], "left_anti"), "pairs")
+    return edges.df.union(_verified(rest.df, rows, prints, shingle, likeness))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+    """One row per input row: ``id, tag`` and ``component_id``, the least id reachable by links.
+
+    Words, null and repeated ids, null texts and texts without a word are treated as in
+    ``simhash.near_duplicates``; texts without a word are alike.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t"))
+    rows = rows.select("id", F.xxhash64("t").alias("tag"), "t")
+    prints = Table(_prints(rows, shingle, likeness), "prints")
+    found = components(links(rows, prints.df, shingle, likeness)).withColumnRenamed("node", "key")
+    rooted = prints.df.groupBy("key").agg(F.min("id").alias("least")).join(found, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.df.select("id", "tag", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("id", "tag", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+    """``docs`` without near copies: of each component one row stays, as in ``simhash.representatives``."""
+    return kept(docs, near_copies(docs, id_col, text_col, shingle, likeness), id_col, text_col)

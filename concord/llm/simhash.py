@@ -122,8 +122,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.df.join(by_print, "fp").select("id", "tag", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 256) -> DataFrame:
-    """``docs`` without near duplicates: of each component only the row with its least id stays.
+def kept(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of ``marks(id, tag, component_id)``, that with its least id.
 
     Of several such rows the one with the least hash of its text stays, once.  In components without
     any id one row of each text stays.  Documents without a word are alike, hence one component.
@@ -131,9 +131,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"_{k}" for k in range(len(docs.columns))]
     own = dict(zip(docs.columns, names))
     rows = docs.toDF(*names).withColumns({"id_": F.col(own[id_col]).cast("long"), "tag_": F.xxhash64(F.coalesce(F.col(own[text_col]).cast("string"), F.lit("")))})
-    marks = near_duplicates(docs, id_col, text_col, long_list)
     least = marks.where("id = component_id").groupBy("id").agg(F.min("tag").alias("tag"))
     keys = least.union(marks.where("component_id IS NULL").select("id", "tag").distinct())
     chosen = rows.join(keys, F.col("id_").eqNullSafe(F.col("id")) & (F.col("tag_") == F.col("tag")))
     turn = F.row_number().over(Window.partitionBy("id_", "tag_").orderBy("tag_"))
     return chosen.withColumn("turn", turn).where("turn = 1").select(*[F.col(own[c]).alias(c) for c in docs.columns])
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 256) -> DataFrame:
+    """``docs`` without near duplicates: of each component only the row that ``kept`` chooses stays."""
+    return kept(docs, near_duplicates(docs, id_col, text_col, long_list), id_col, text_col)

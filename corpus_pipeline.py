@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, linededup, mixing, quality, simhash
+from concord.llm import bpe, linededup, mixing, nearcopies, quality
 from concord.llm.common import Table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    return simhash.representatives(docs.select(COLUMNS))
+    """Of each group of near copies (five-word shingles, likeness 0.8) the document with the least id stays."""
+    return nearcopies.representatives(docs.select(COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,56 @@
+"""Near copies against brute force over all pairs."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from concord.llm import nearcopies
+
+
+def shingles(text):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def by_pairs(texts):
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+def edited_texts(seed=23):
+    """Groups of copies with some words changed, a passage in all of them, short and empty texts."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(500)}"
+    passage, texts = [word() for _ in range(30)], []
+    for k in range(12):
+        base = [word() for _ in range(rnd.randrange(40, 200))] + passage
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rnd.randrange(6)):
+                own[rnd.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    return texts + ["", " ", "A b", "a B", "a b c d e", "a b c d e f"]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.mark.parametrize("common", [0, 16])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(nearcopies, "COMMON", common)
+    texts = edited_texts()
+    out = nearcopies.near_copies(frame(spark, texts)).orderBy("id").collect()
+    assert [r.component_id for r in out] == by_pairs(texts)
+
+
+def test_the_stage_removes_every_near_copy(spark):
+    texts = edited_texts()
+    out = corpus_pipeline.dedup_near(spark, frame(spark, texts), "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(by_pairs(texts)))
