@@ -76,7 +76,8 @@ def _shown(ids: Column) -> Column:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_sentences`` recognised, their ``sequence`` and the ``licences``, one row per document.
 
-    The sequence is that of the lines, or of the paragraphs if these hold more known sentences.
+    The sequence is that of the lines, or of the paragraphs if these hold more known sentences; the
+    licences are those that any reading states.
     Licences are sorted and joined by a blank; both strings are empty if nothing was recognised.
     Null and empty texts have nothing; ids may be null or repeat; other columns are ignored.
     """
@@ -90,8 +91,9 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(hinted, _identifiers(by_line)).otherwise(none).alias("a"),
         F.when(hinted, _identifiers(by_paragraph)).otherwise(none).alias("b"),
     )
-    cut = cut.select("id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids"))
-    cut = cut.select("id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "|").alias("sequence"), _shown(F.col("ids")).alias("s"))
+    best = F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a"))
+    cut = cut.select("id", best.alias("ids"), F.concat(_shown(F.col("a")), _shown(F.col("b"))).alias("s"))
+    cut = cut.select("id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "|").alias("sequence"), "s")
     found = F.array_compact(F.array(*[F.when(F.col("s").contains("|" + "|".join(seq) + "|"), F.lit(name)) for name, seq in RULES]))
     return cut.select("id", "n_sentences", "sequence", F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("licences"))
 
