@@ -1,7 +1,9 @@
 """Licence scans: sentences to identifiers, identifier sequences to licences.
 
-A text is cut into sentences, by line and again by paragraph (where wrapped lines are joined).  Each
-is normalised to lower-case letters and digits and looked up among known licence sentences.  The
+A text is cut into sentences, by line, by paragraph (where wrapped lines are joined), and by paragraph
+without the comment marks at both ends of its lines.  Each is normalised to lower-case letters and
+digits and looked up among known licence sentences, alone and together with the one after it, since
+the cut divides some of them ("free software: you can", "v. 2.0").  The
 identifiers found, in order, are matched against rules: a licence is present if one of its rules'
 sequences occurs without a gap among the recognised sentences.  All of it is expressions over one
 row; the tables are constants of the program, so no join and no shuffle is needed.
@@ -57,16 +59,25 @@ RULES = (
     ("Proprietary", ("reserved",)),
 )
 
+#: Further sentences and rules of the operator, which ``scan_sql`` does not have.
+MORE_SENTENCES = {"apache-header": "licensed under the apache license version 2 0 the license"}
+MORE_RULES = (("Apache-2.0", ("apache-header",)),)
+
 #: Every known sentence holds one of these, so texts without any are not cut up.
-HINT = r"(?i)licen[sc]e|permission|redistribution|copyright|cc0|this program|rights\s+reserved|public\s+domain|required\s+by\s+applicable"
+HINT = r"(?i)licen[sc]e|permission|redistribution|copyright|cc0|this[^a-z0-9]+program|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|required[^a-z0-9]+by[^a-z0-9]+applicable"
+#: Comment marks where a line begins or ends; sentence ends are no marks at a line's end.
+_MARKS = r"(?m)^[\x20\x09#*/;%!<>|-]+|[\x20\x09\x0D#*/%<>|-]+$"
 _SENTENCE = r"(?<=[.!?:;])[\x20\x09-\x0D]+"
 
 
-def _identifiers(pieces: Column) -> Column:
-    """Identifiers of the known ones among pieces of text, in order."""
-    known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    plain = F.transform(pieces, lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+def _identifiers(parts: Column) -> Column:
+    """Identifiers of the known sentences in lines or paragraphs, in order."""
+    known = F.create_map(*[F.lit(x) for k, v in (SENTENCES | MORE_SENTENCES).items() for x in (v, k)])
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
+    pieces = F.transform(parts, lambda p: F.filter(F.transform(F.split(p, _SENTENCE), plain), lambda x: x != ""))
+    name = lambda x: F.try_element_at(known, x)
+    named = F.transform(pieces, lambda p: F.transform(p, lambda x, i: F.coalesce(name(x), name(F.concat_ws(" ", x, F.get(p, i + 1))))))
+    return F.filter(F.flatten(named), lambda x: x.isNotNull())
 
 
 def _shown(ids: Column) -> Column:
@@ -76,7 +87,7 @@ def _shown(ids: Column) -> Column:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n_sentences`` recognised, their ``sequence`` and the ``licences``, one row per document.
 
-    The sequence is that of the lines, or of the paragraphs if these hold more known sentences; the
+    The sequence is that of the first reading, of those that hold most known sentences; the
     licences are those that any reading states.
     Licences are sorted and joined by a blank; both strings are empty if nothing was recognised.
     Null and empty texts have nothing; ids may be null or repeat; other columns are ignored.
@@ -84,22 +95,25 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t"))
     none = F.array().cast("array<string>")
     hinted = F.col("t").rlike(HINT)
-    by_line = F.flatten(F.transform(F.split("t", r"\n"), lambda x: F.split(x, _SENTENCE)))
-    by_paragraph = F.flatten(F.transform(F.split("t", r"\n[\x20\x09-\x0D]*\n"), lambda x: F.split(x, _SENTENCE)))
+    blank = r"\n[\x20\x09-\x0D]*\n"
+    by_line, by_paragraph = F.split("t", r"\n"), F.split("t", blank)
+    uncommented = F.split(F.regexp_replace("t", _MARKS, ""), blank)
     cut = rows.select(
         "id",
         F.when(hinted, _identifiers(by_line)).otherwise(none).alias("a"),
         F.when(hinted, _identifiers(by_paragraph)).otherwise(none).alias("b"),
+        F.when(hinted, _identifiers(uncommented)).otherwise(none).alias("c"),
     )
     best = F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a"))
-    cut = cut.select("id", best.alias("ids"), F.concat(_shown(F.col("a")), _shown(F.col("b"))).alias("s"))
+    best = F.when(F.size("c") > F.greatest(F.size("a"), F.size("b")), F.col("c")).otherwise(best)
+    cut = cut.select("id", best.alias("ids"), F.concat(*[_shown(F.col(k)) for k in "abc"]).alias("s"))
     cut = cut.select("id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "|").alias("sequence"), "s")
-    found = F.array_compact(F.array(*[F.when(F.col("s").contains("|" + "|".join(seq) + "|"), F.lit(name)) for name, seq in RULES]))
+    found = F.array_compact(F.array(*[F.when(F.col("s").contains("|" + "|".join(seq) + "|"), F.lit(name)) for name, seq in RULES + MORE_RULES]))
     return cut.select("id", "n_sentences", "sequence", F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("licences"))
 
 
 def scan_sql() -> str:
-    """The same over ``documents`` in DuckDB's SQL."""
+    """The scan over ``documents`` in DuckDB's SQL, with one of two readings and undivided sentences only."""
     known = ", ".join(f"('{v}', '{k}')" for k, v in SENTENCES.items())
     cases = ", ".join(f"CASE WHEN contains(s, '|{'|'.join(seq)}|') THEN '{name}' END" for name, seq in RULES)
     return rf"""

@@ -17,3 +17,55 @@ def found(spark, texts):
 
 def test_licences_of_both_readings(spark):
     assert found(spark, [BSD]) == ["BSD Proprietary"]
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+UNLICENSE = "This is free and unencumbered software released into the public\ndomain.\n"
+NOTICES = [
+    ("MIT", "Released under the MIT License."), ("BSD", "Released under the BSD License."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "Released under CC0 1.0."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Proprietary", "All rights\nreserved."),
+]
+
+
+def test_standard_texts(spark):
+    cases = [("GPL-3.0", GPL), ("MPL-2.0", MPL), ("Apache-2.0", APACHE), ("MIT", MIT), ("Unlicense", UNLICENSE), ("BSD Proprietary", BSD), *NOTICES]
+    marked = [(name, "".join(f"{mark} {x}".rstrip() + "\n" for x in text.splitlines())) for name, text in cases for mark in ("#", "//", " *", ";;")]
+    every = cases + marked
+    assert found(spark, [t for _, t in every]) == [name for name, _ in every]
+    assert found(spark, [MPL.replace("2.0. If", "1.1. If")]) == [""]
