@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -9,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no shared folder (single machine, tests).
+#: Where intermediate tables go when a session on one machine names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
+#: Spark's setting that removes a query's shuffle files as soon as its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,18 +21,41 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: ``spark.checkpoint.dir``, else a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder all executors and the driver see: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a local folder and a cluster an error, since
+    its executors would write to folders that the others do not see.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or FALLBACK_DIR
 
 
 class Table:
-    """A table written once to the shared folder, so that later reads survive lost executors."""
+    """A table written once to the shared folder, so that later reads survive lost executors.
+
+    The shuffle files of the query that fills it go once it is written.  A table goes with
+    ``drop``, else when the driver ends.
+    """
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self.schema = df.schema
+        system, path = self._files()
+        system.deleteOnExit(path)
+
+    def _files(self):
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(conf), path
 
     @property
     def df(self) -> DataFrame:
@@ -37,9 +63,8 @@ class Table:
 
     def drop(self) -> None:
         """Delete the files; call only when nothing lazy still reads them."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(conf).delete(path, True)
+        system, path = self._files()
+        system.delete(path, True)
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
@@ -54,7 +79,7 @@ def byte_texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
 
 
 def sized(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``, which bounds a worker's memory."""
+    """The same rows in batches of at most ``rows``, which bounds what a worker makes of them at once."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

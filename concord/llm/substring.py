@@ -8,11 +8,19 @@ sorted cells as byte-sized gaps.  The tasks' sketches are merged by ranges of ce
 that stop at 2, and two bitmaps say which cells counted 2 or more.  Merged counts are never too low,
 so a window with a cell below 2 in either row occurs in one document only.  Second pass: windows
 whose cells are both marked, and no others, are grouped exactly, by a 128-bit digest of their words.
-Wrongly marked windows cost a row each and change nothing; none that repeats is lost.
+Wrongly marked windows cost a row each and change nothing; none that repeats is lost.  (Within one
+document, places are told apart by the 64-bit hash alone.)
 
 The bitmaps are what every task is sent.  They have four to eight cells per window, a power of two,
-and at most ``2 ** MAX_LOG_CELLS`` cells a row (2 x 64 MB).  Beyond that the filter lets more windows
-through and the exact pass has more to group, with the same result.
+and at most ``2 ** log_cells`` cells a row (2 x 64 MB by default).  A table of more than half a window
+per cell is cut by ranges of the hashes, each with bitmaps of its own and its own two passes over
+the texts, up to ``passes`` ranges.  Beyond that the filter lets more windows through and the exact
+grouping has more to do, with the same result.
+
+The windows that pass are written once to the shared folder; both the grouping and the join that
+takes each window's first document back to its occurrences read them there, so the texts are not
+hashed again, the grouping combines before its shuffle, and the join is one that AQE can split where
+a window is very frequent.
 
 Whole copies would send every window of theirs to the exact pass.  The digests and first ids of the
 ``HEAVY`` groups of equal word sequences with most members are sent along (a bounded table); a later member
@@ -23,6 +31,7 @@ go through both passes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b, md5, sha256
 
 import numpy as np
@@ -30,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import SPACE, byte_texts, sized, text_of
+from concord.llm.common import SPACE, Table, byte_texts, sized, text_of
 
 WINDOW = 13
-MIN_LOG_CELLS, MAX_LOG_CELLS, SHARDS, HEAVY = 16, 29, 64, 65_536
+MIN_LOG_CELLS, MAX_LOG_CELLS, PASSES, SHARDS, HEAVY = 16, 29, 4, 64, 65_536
 _BLOCK = 65_536
 _CHUNK = 4_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -79,6 +88,12 @@ def _all_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.concatenate([window_hashes(part, size) for _, part in _blocks(words, size)])
 
 
+def _in_range(hashes: np.ndarray, part: tuple[int, int]) -> np.ndarray:
+    """Which hashes belong to the ``k``-th of ``n`` ranges, ``part`` being ``(k, n)``."""
+    k, n = part
+    return (hashes % np.uint64(n)) == np.uint64(k) if n > 1 else np.ones(len(hashes), bool)
+
+
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     """Cell of each hash in one of the two rows."""
     return (hashes * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[row])) >> np.uint64(64 - bits)
@@ -99,7 +114,7 @@ def unpack_gaps(packed: bytes) -> np.ndarray:
     return np.cumsum(raw, dtype=np.int64)[raw != 255]
 
 
-def _sketches(rows: DataFrame, size: int, bits: int, copies) -> DataFrame:
+def _sketches(rows: DataFrame, size: int, bits: int, part: tuple[int, int], copies) -> DataFrame:
     """``(r, shard, gaps)``: cells of each task's windows, sorted, each at most twice."""
     shard_bits = bits - (SHARDS - 1).bit_length()
 
@@ -126,6 +141,7 @@ def _sketches(rows: DataFrame, size: int, bits: int, copies) -> DataFrame:
                 if _is_copy(copies.value, key, words):
                     continue
                 hashes = np.unique(_all_hashes(words, size))
+                hashes = hashes[_in_range(hashes, part)]
                 parts.append(hashes)
                 held += len(hashes)
                 if held >= _CHUNK:
@@ -162,9 +178,11 @@ def _marked(sketches: DataFrame, bits: int) -> list[np.ndarray]:
             yield out()
 
     merged = sketches.repartition("r", "shard").sortWithinPartitions("r", "shard").mapInArrow(run, "r int, shard int, marks binary")
+    table = Table(merged, "marks")
     maps = [np.zeros(SHARDS * width // 8, np.uint8) for _ in (0, 1)]
-    for r, shard, marks in merged.toLocalIterator():
+    for r, shard, marks in table.df.toLocalIterator():
         maps[r][shard * width // 8 : (shard + 1) * width // 8] = np.frombuffer(marks, np.uint8)
+    table.drop()
     return maps
 
 
@@ -182,7 +200,7 @@ def _is_copy(copies: dict[bytes, int], key: int | None, words: list[bytes]) -> b
     return first is not None and (key is None or key > first)
 
 
-def _suspects(rows: DataFrame, size: int, bits: int, maps, copies) -> DataFrame:
+def _suspects(rows: DataFrame, size: int, bits: int, part: tuple[int, int], maps, copies) -> DataFrame:
     """``(k1, k2, id, at)``: digest, document and first place of every window with two marked cells.
 
     ``at`` packs 32 bits of the text's hash over the window's first word, so that rows which share
@@ -200,7 +218,7 @@ def _suspects(rows: DataFrame, size: int, bits: int, maps, copies) -> DataFrame:
                 if _is_copy(copies.value, ids[k], words):
                     continue
                 hashes, places = np.unique(_all_hashes(words, size), return_index=True)
-                hit = np.ones(len(hashes), bool)
+                hit = _in_range(hashes, part)
                 for r in (0, 1):
                     cells = _cells(hashes, r, bits)
                     hit &= (marks[r][cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -246,7 +264,9 @@ def _cutter(size: int, copies):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, heavy: int = HEAVY) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, heavy: int = HEAVY, log_cells: int = MAX_LOG_CELLS, passes: int = PASSES
+) -> DataFrame:
     """``id, n_words, n_removed, kept_sha256, kept`` for every row of ``docs``.
 
     Words are cut at ASCII white space and kept ones are joined by one blank.  Windows are judged
@@ -255,18 +275,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     t = text_of(docs, text_col)
     rows = docs.select(docs[id_col].cast("long").alias("id"), t.alias("t")).withColumn("tag", F.xxhash64("t").bitwiseAND(F.lit(0x7FFFFFFF)))
-    windows = (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // 6
-    bits = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, int(windows).bit_length() + 2))
+    windows = int(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // 6
+    ranges = min(passes, max(1, -(-windows >> (log_cells - 1))))
+    bits = min(log_cells, max(MIN_LOG_CELLS, (windows // ranges).bit_length() + 2))
     context = docs.sparkSession.sparkContext
     copies = context.broadcast(_copies(rows, heavy))
-    maps = context.broadcast(_marked(_sketches(rows, size, bits, copies), bits))
-    seen = _suspects(rows, size, bits, maps, copies)
+    tables = []
+    for part in ((k, ranges) for k in range(ranges)):
+        maps = context.broadcast(_marked(_sketches(rows, size, bits, part, copies), bits))
+        tables.append(Table(_suspects(rows, size, bits, part, maps, copies), "suspects"))
+        maps.destroy()
+    seen = reduce(DataFrame.union, [x.df for x in tables])
     last = F.coalesce("id", F.lit((1 << 63) - 1))
     # Least and greatest, not a count of rows: a window may come twice in one document.
     first = seen.groupBy("k1", "k2").agg(F.min(last).alias("first"), F.max(last).alias("last")).where("first < last").select("k1", "k2", "first")
-    later = seen.join(first, ["k1", "k2"]).where(last > F.col("first"))
+    first = Table(first, "first")
+    later = seen.join(first.df, ["k1", "k2"]).where(last > F.col("first"))
     by_doc = later.groupBy("id", F.shiftright("at", 32).alias("tag2")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("starts"))
-    by_doc = by_doc.select(F.col("id").alias("id2"), "tag2", "starts").hint("shuffle_hash")
+    by_doc = Table(by_doc.select(F.col("id").alias("id2"), "tag2", "starts"), "starts").df.hint("shuffle_hash")
+    for x in (*tables, first):
+        x.drop()
     joined = rows.join(by_doc, rows["id"].eqNullSafe(by_doc["id2"]) & (rows["tag"] == by_doc["tag2"]), "left")
-    out = joined.select("id", "t", "starts").mapInArrow(_cutter(size, copies), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out
+    return joined.select("id", "t", "starts").mapInArrow(_cutter(size, copies), "id long, n_words long, n_removed long, kept_sha256 string, kept string")

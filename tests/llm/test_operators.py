@@ -266,6 +266,15 @@ def test_substrings_against_brute_force(spark, heavy):
     assert [r.kept for r in out] == cut_by_hand(texts, 13)
 
 
+@pytest.mark.parametrize("passes", [1, 3])
+def test_substrings_with_a_sketch_too_small(spark, passes):
+    texts = random_texts(150, 12)
+    docs = table(spark, texts)
+    assert sum(map(len, texts)) // 6 > 1 << 9
+    out = substring.dedup_substrings(docs, heavy=0, log_cells=9, passes=passes).orderBy("id").collect()
+    assert [r.kept for r in out] == cut_by_hand(texts, 13)
+
+
 def test_windows_over_block_edges(monkeypatch):
     words = [f"{k % 50}".encode() for k in range(300)]
     whole = substring.window_hashes(words, 13)
