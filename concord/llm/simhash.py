@@ -1,18 +1,34 @@
-"""SimHash near-duplicates: 64-bit fingerprints, a byte-position inverted index, components.
-
-Two fingerprints that differ in at most ``MAX_BITS`` = 2 bits differ in at most two of their eight
-bytes, so they share at least six positional bytes.  The index finds pairs that can reach that
-count and the tally decides.  Posting lists of a single positional byte would hold one 256th of
-all fingerprints each, so tallying over them costs the square of the table; a posting is therefore
-keyed by *four* positional bytes, as two of the four two-byte blocks.  A pair that differs in two
-bytes at most leaves two blocks untouched, hence meets in at least one of the six lists.  In these
-lists the shared positional bytes of each pair are tallied over all eight positions, pairs with
-fewer than six are dropped, and what is left is verified by its Hamming distance.
-
-Lists longer than ``long_list`` are not paired, since a group of many different near copies would
-cost its square there.  Their members are linked exactly through midpoints: two fingerprints at
-distance 2 or less have a common value at distance 1 or less from both, and any two that have one
-are within 2.  Each member lists its 65 such values and every value ties its members to the least.
+"""SimHash near-duplicates: fingerprints, a byte-position inverted index with count filtering, components.
+
+Two fingerprints share a positional byte if they have the same byte at the same position.  Lists of
+one positional byte hold a 256th of all fingerprints each, so tallying over them costs the square of
+the table; a posting is therefore keyed by several positional bytes at once.
+
+**Within a few bits** (``links``, ``near_duplicates``).  Fingerprints of eight bytes that differ in at
+most ``MAX_BITS`` = 2 bits differ in at most two bytes, so they share at least six.  Postings are keyed
+by the four positional bytes of each of the 14 blocks of the Steiner system S(3,4,8): any two positions
+leave exactly three blocks untouched, any three leave one, four at most one.  A pair hence meets in
+three lists or more if, and only if, it shares six bytes or more.  The lists in which each pair meets
+are tallied, pairs below three go, and what is left is verified by its Hamming distance.
+
+Lists longer than ``long_list`` would give the square of their length in pairs.  Their members, each
+once, go into lists of six positional bytes instead, of which any pair that shares six bytes has one
+in common.  Lists of these that are still too long hold fingerprints that differ in two bytes only.
+They are verified without pairs: each member names the 17 values within one bit of it in those bytes,
+two members within 2 bits have such a value in common, and any two that have one are within 2 bits.
+
+**By likeness** (``alike``, ``representatives``).  Documents are near copies if their sets of five-word
+shingles have a Jaccard likeness of 0.8 or more.  Such sets differ in about 15 of 100 fingerprint
+bits, far beyond what eight bytes can index, so the fingerprint is longer: 192 bytes.  Postings are keyed
+by three positional bytes, 64 lists a document for each of ``CLASSES`` ways to cut the 192 into threes.
+A pair that meets is kept if it shares ``MIN_SHARED`` = 24 positional bytes or more, which is guaranteed up
+to 168 differing bits and is under half of what a likeness of 0.8 leads to expect (51); unrelated texts share
+one.  The sets themselves are then compared.  A pair of likeness 0.8 can fail to meet in any list;
+the README gives the measured share.
+
+A group of many near copies would give the square of its size in pairs.  Each list first compares its
+members with one of them, its hub, chosen by ``HUBS`` different orders; then all pairs of a list that
+are not connected yet are compared, so every link counts that joins two components.
 """
 
 from __future__ import annotations
@@ -30,78 +46,93 @@ from pyspark.sql import functions as F
 from concord.llm.common import Table, byte_texts, sized, text_of
 from concord.llm.components import components
 
-SHINGLE, SEED, MAX_BITS, MIN_BYTES = 3, 42, 2, 6
+SHINGLE, SEED, MAX_BITS = 3, 42, 2
+#: Blocks of four of the eight positions: those whose numbers have an exclusive or of 0.
+BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+MIN_LISTS = 3
+SIXES = list(combinations(range(8), 6))
+
+WIDE_SHINGLE, LIKENESS, WIDE, CLASSES, MIN_SHARED, HUBS = 5, 0.8, 192, 3, 24, 4
+_EPS = 1e-9
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Which bits are set in each byte value, least significant first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def _grams(text: bytes, shingle: int) -> list[bytes]:
+    """Shingles of a lower-cased text, repeats included; of fewer words the whole sequence, of none nothing."""
+    words = text.lower().split()
+    if len(words) < shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of one UTF-8 text, as an unsigned integer; 0 if it has no word."""
-    words = text.lower().split()
-    if not words:
+    grams = _grams(text, shingle)
+    n, digest = len(grams), xxhash.xxh64_intdigest
+    if not n:
         return 0
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
     rows = np.fromiter((digest(g, seed) for g in grams), dtype="<u8", count=n).view(np.uint8).reshape(n, 8)
     ones = np.concatenate([np.bincount(rows[:, k], minlength=256) @ _BITS for k in range(8)])
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(id, tag, fp)`` of every row: a hash of the text and the fingerprint's 64 bits, as signed integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches):
-            fps = np.array([fingerprint(t) for t in byte_texts(b, "t")], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in byte_texts(b, "t")], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fps)], names=["id", "tag", "fp"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t"))
     return rows.select("id", F.xxhash64("t").alias("tag"), "t").mapInArrow(run, "id long, tag long, fp long")
 
 
-def shared_bytes(x: Column) -> Column:
-    """How many of the eight positional bytes two fingerprints share, given their exclusive or."""
-    return reduce(
-        lambda a, b: a + b,
-        [F.when(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(8)],
-    )
+def _bytes_at(positions: tuple[int, ...]) -> Column:
+    """The bytes of ``fp`` at these positions, side by side in one integer."""
+    parts = [F.shiftleft(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)), 8 * k) for k, p in enumerate(positions)]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+
+def _postings(prints: DataFrame, keys: list[tuple[int, ...]]) -> DataFrame:
+    """``(list, fp)``: every fingerprint in one list for each tuple of positions; the list's number is above its bytes."""
+    lists = [F.lit(n << 8 * len(key)).cast("long").bitwiseOR(_bytes_at(key)) for n, key in enumerate(keys)]
+    return prints.select(F.explode(F.array(*lists)).alias("list"), "fp")
+
 
+def _split(posts: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Postings of the lists with at most ``longest`` members, and those of the others."""
+    over = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > longest).select("list")
+    over = Table(over, "lists").df
+    return posts.join(over, "list", "left_anti"), posts.join(over, "list", "left_semi")
 
-def _postings(distinct: DataFrame) -> DataFrame:
-    """``(list, bytes, fp)``: each fingerprint in the six lists of its block pairs."""
-    block = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = [
-        F.struct(F.lit(n).alias("list"), (F.shiftleft(block[i], 16).bitwiseOR(block[j])).alias("bytes"))
-        for n, (i, j) in enumerate(combinations(range(4), 2))
-    ]
-    return distinct.select("fp", F.inline(F.array(*keys)))
+
+def _pairs(posts: DataFrame) -> DataFrame:
+    """``(u, v)``, once for each list in which both are."""
+    return posts.withColumnRenamed("fp", "u").join(posts.withColumnRenamed("fp", "v"), "list").where("u > v").select("u", "v")
 
 
 def links(distinct: DataFrame, long_list: int = 256) -> DataFrame:
     """``(u, v)`` edges that connect exactly the fingerprints within ``MAX_BITS`` of each other.
 
-    ``distinct(fp)`` holds each fingerprint once.  Short lists give every linked pair; members of
-    long lists are linked through midpoints, which gives a star per midpoint instead of all pairs.
+    ``distinct(fp)`` holds each fingerprint once.  Members of very long lists are tied to a star per
+    value between them, all others to each fingerprint within the distance.
     """
-    posts = _postings(distinct)
-    long_keys = posts.groupBy("list", "bytes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long_list).select("list", "bytes")
-    long_keys = Table(long_keys, "lists")
-    short = posts.join(long_keys.df, ["list", "bytes"], "left_anti")
-    a, b = short.withColumnRenamed("fp", "u"), short.withColumnRenamed("fp", "v")
-    x = F.col("u").bitwiseXOR(F.col("v"))
-    pairs = (
-        a.join(b, ["list", "bytes"])
-        .where((F.col("u") > F.col("v")) & (shared_bytes(x) >= MIN_BYTES))
-        .where(F.bit_count(x) <= MAX_BITS)
-        .select("u", "v")
-    )
-    members = posts.join(long_keys.df, ["list", "bytes"], "left_semi").select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
-    near = members.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
-    hubs = near.groupBy("mid").agg(F.min("fp").alias("v"), F.max("fp").alias("top")).where("v < top").select("mid", "v")
-    stars = near.join(hubs, "mid").where("fp > v").select(F.col("fp").alias("u"), "v")
-    return pairs.union(stars)
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS
+    few, many = _split(_postings(distinct, BLOCKS), long_list)
+    tallied = _pairs(few).groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= MIN_LISTS).select("u", "v").where(near)
+    members = Table(many.select("fp").distinct(), "members").df
+    few, many = _split(_postings(members, SIXES), long_list)
+    six = _pairs(few).where(near).distinct()
+    free = [[8 * p + b for p in range(8) if p not in key for b in range(8)] for key in SIXES]
+    flips = F.array(*[F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b if b < 63 else -(1 << 63) for b in bits))]) for bits in free])
+    own = F.get(flips, F.shiftrightunsigned("list", 48).cast("int"))
+    between = many.select("list", "fp", F.explode(F.transform(own, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
+    hubs = between.groupBy("list", "mid").agg(F.min("fp").alias("v"), F.max("fp").alias("top")).where("v < top").select("list", "mid", "v")
+    stars = between.join(hubs, ["list", "mid"]).where("fp > v").select(F.col("fp").alias("u"), "v").distinct()
+    return tallied.union(six).union(stars)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 256) -> DataFrame:
@@ -115,11 +146,147 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = Table(with_fingerprint(docs, id_col, text_col), "prints")
     nodes = Table(prints.df.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     found = components(links(nodes.df.select("fp"), long_list))
-    rooted = nodes.df.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(least, "root").select("fp", "component_id")
+    by_print = Table(_rooted(nodes.df.select(F.col("fp").alias("key"), "first"), found), "roots")
+    nodes.drop()
     # The side with one row per fingerprint is small beside the documents but grows with them: no broadcast hint.
-    return prints.df.join(by_print, "fp").select("id", "tag", "fp", "component_id")
+    return prints.df.join(by_print.df.withColumnRenamed("key", "fp"), "fp").select("id", "tag", "fp", "component_id")
+
+
+def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``(key, component_id)`` of every node ``(key, first)``: the least ``first`` of its component."""
+    rooted = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(least, "root").select("key", "component_id")
+
+
+def shingles(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's different shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in _grams(text, shingle)], dtype="<u8"))
+
+
+def wide_fingerprint(own: np.ndarray, block: int = 2048) -> bytes:
+    """SimHash of a set in ``WIDE`` bytes: each member's hash is mixed with one factor for every eight of them."""
+    ones = np.zeros(8 * WIDE, np.int64)
+    for k in range(0, len(own), block):
+        h = own[k : k + block, None] * _FACTORS
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), WIDE), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(own), bitorder="little").tobytes()
+
+
+def _threes(classes: int) -> np.ndarray:
+    """Positions of each list's three bytes, 64 lists a class; no two lists of a class share a position."""
+    j = np.arange(WIDE // 3)
+    ways = [np.stack([3 * j, 3 * j + 1, 3 * j + 2], 1)]
+    ways += [np.stack([j, (a * j + b) % 64 + 64, (c * j + d) % 64 + 128], 1) for a, b, c, d in ((1, 0, 1, 0), (5, 21, 9, 43), (3, 11, 7, 3))]
+    return np.concatenate(ways[:classes])
+
+
+def _wide_postings(nodes: DataFrame, classes: int) -> DataFrame:
+    """``(list, key)``: every node in its lists; the list's number is above its three bytes."""
+    at = _threes(classes)
+    above = np.arange(len(at), dtype=np.int64) << 24
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches):
+            rows = np.frombuffer(b"".join(byte_texts(b, "wide")), np.uint8).reshape(-1, WIDE).astype(np.int64)
+            lists = rows[:, at[:, 0]] << 16 | rows[:, at[:, 1]] << 8 | rows[:, at[:, 2]] | above
+            yield pa.record_batch([pa.array(lists.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), len(at)))], names=["list", "key"])
+
+    return nodes.select("key", "wide").mapInArrow(run, "list long, key long")
+
+
+def _sharing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """Those of the pairs ``(u, v)`` whose fingerprints share at least ``least`` positional bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches, 4096):
+            x, y = (np.frombuffer(b"".join(byte_texts(b, c)), np.uint8).reshape(-1, WIDE) for c in ("x", "y"))
+            yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array((x == y).sum(1) >= least))
+
+    wide = nodes.select("key", "wide")
+    return pairs.join(wide.toDF("u", "x"), "u").join(wide.toDF("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """Those of the pairs ``(u, v)`` of nodes that share enough bytes and whose sets are as alike as ``likeness``."""
+    pairs = Table(_sharing(pairs, nodes, MIN_SHARED), "pairs").df
+    ends = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    wanted = nodes.select("key", F.col("tag").alias("tag2"), F.col("first").alias("id2")).join(ends, "key", "left_semi")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches, 64):
+            yield pa.record_batch([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in byte_texts(b, "t")], pa.binary())], names=["key", "own"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches):
+            alike = []
+            for x, y in zip(byte_texts(b, "a"), byte_texts(b, "b")):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = np.intersect1d(x, y, assume_unique=True).size
+                alike.append(both >= likeness * (x.size + y.size - both) - _EPS)
+            yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    # One row of each node, so that its copies stay where they are.
+    own = (F.col("tag") == F.col("tag2")) & F.col("id").eqNullSafe(F.col("id2"))
+    texts = rows.join(wanted, own).select("key", "t").dropDuplicates(["key"])
+    sets = Table(texts.mapInArrow(cut, "key long, own binary"), "sets")
+    a, b = sets.df.toDF("u", "a"), sets.df.toDF("v", "b")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+
+
+def _wide_links(rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float, classes: int) -> DataFrame:
+    """``(u, v)`` edges between nodes that connect those of likeness ``likeness`` or more which meet in a list."""
+    posts = _wide_postings(nodes, classes)
+    pick = F.struct(F.xxhash64("key", F.pmod("list", F.lit(HUBS))), F.col("key").alias("hub"))
+    hubs = posts.groupBy("list").agg(F.min(pick)["hub"].alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("list", "hub")
+    hubs = Table(hubs, "hubs")
+    lists = Table(posts.join(hubs.df, "list"), "lists")
+    hubs.drop()
+    ends = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+    starred = Table(lists.df.where("key != hub").select(*ends("key", "hub")).distinct(), "pairs")
+    edges = Table(_verified(starred.df, rows, nodes, shingle, likeness), "edges")
+    roots = components(edges.df).withColumnRenamed("node", "key")
+    placed = lists.df.join(roots, "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
+    # Lists of two members have met already; of longer ones those in more than one component are left.
+    left = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2")
+    left = Table(placed.join(left.select("list"), "list", "left_semi"), "left")
+    lists.drop()
+    apart = left.df.join(left.df.toDF("list", "key2", "root2"), "list").where("key < key2 AND root != root2")
+    rest = Table(apart.select(*ends("key", "key2")).distinct().join(starred.df, ["u", "v"], "left_anti"), "pairs")
+    left.drop()
+    starred.drop()
+    return edges.df.union(_verified(rest.df, rows, nodes, shingle, likeness))
+
+
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, likeness: float = LIKENESS, classes: int = CLASSES) -> DataFrame:
+    """One row per input row: ``id, tag`` and ``component_id``, the least id reachable by links of likeness ``likeness``.
+
+    Words, null and repeated ids, null texts and texts without a word are treated as in
+    ``near_duplicates``; a text of fewer words than a shingle is one shingle.  Texts with equal sets
+    of shingles are one node, so copies always meet.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t"))
+    rows = rows.select("id", F.xxhash64("t").alias("tag"), "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches):
+            found = [shingles(t, shingle) for t in byte_texts(b, "t")]
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], dtype=np.uint64).view(np.int64)
+            wide = pa.array([wide_fingerprint(x) for x in found], pa.binary())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(keys), wide], names=["id", "tag", "key", "wide"])
+
+    prints = Table(rows.mapInArrow(run, "id long, tag long, key long, wide binary"), "prints")
+    # Of each node the row with the least id (null last), by which its text is found again.
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))
+    nodes = prints.df.groupBy("key").agg(least.alias("m"), F.min("wide").alias("wide"))
+    nodes = Table(nodes.select("key", F.col("m.id").alias("first"), F.col("m.tag").alias("tag"), "wide"), "nodes")
+    found = components(_wide_links(rows, nodes.df, shingle, likeness, classes))
+    by_key = Table(_rooted(nodes.df.select("key", "first"), found), "roots")
+    nodes.drop()
+    return prints.df.select("id", "tag", "key").join(by_key.df, "key").select("id", "tag", "component_id")
 
 
 def kept(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,6 +305,6 @@ def kept(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: st
     return chosen.withColumn("turn", turn).where("turn = 1").select(*[F.col(own[c]).alias(c) for c in docs.columns])
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = 256) -> DataFrame:
-    """``docs`` without near duplicates: of each component only the row that ``kept`` chooses stays."""
-    return kept(docs, near_duplicates(docs, id_col, text_col, long_list), id_col, text_col)
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+    """``docs`` without near copies: of each component of ``alike`` only the row that ``kept`` chooses stays."""
+    return kept(docs, alike(docs, id_col, text_col, shingle, likeness), id_col, text_col)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -367,6 +368,71 @@ def groups_of(prints):
     return group
 
 
+def alike_by_pairs(texts):
+    def five(text):
+        words = text.lower().split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets, group = [five(t) for t in texts], list(range(len(texts)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+def edited_texts(seed=23):
+    """Groups of copies with some words changed, a passage in all of them, short and empty texts."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(500)}"
+    passage, texts = [word() for _ in range(30)], []
+    for _ in range(12):
+        base = [word() for _ in range(rnd.randrange(40, 200))] + passage
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rnd.randrange(6)):
+                own[rnd.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    return texts + ["", " ", "A b", "a B", "a b c d e", "a b c d e f"]
+
+
+def test_near_copies_against_all_pairs(spark):
+    import corpus_pipeline
+
+    texts = edited_texts()
+    group = alike_by_pairs(texts)
+    out = simhash.alike(table(spark, texts)).orderBy("id").collect()
+    assert [r.component_id for r in out] == group
+    docs = table(spark, texts, lang="en", source="a", n_chars=[len(t) for t in texts])
+    left = corpus_pipeline.dedup_near(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(group))
+
+
+def test_pairs_of_any_likeness_meet(spark):
+    """Share of linked pairs among those of likeness 0.8 to 0.9, each pair alone."""
+    rnd, texts = random.Random(31), []
+    for _ in range(150):
+        base = [f"v{rnd.randrange(10**6)}" for _ in range(300)]
+        texts.append(" ".join(base))
+        for at in rnd.sample(range(5, 290), 6):
+            base[at] = "new"
+        texts.append(" ".join(base))
+    group = alike_by_pairs(texts)
+    out = simhash.alike(table(spark, texts)).orderBy("id").collect()
+    pairs = [k for k in range(1, 300, 2) if group[k] < k]
+    found = sum(out[k].component_id == group[k] for k in pairs)
+    assert len(pairs) > 100 and found >= 0.97 * len(pairs)
+    assert all(r.component_id in (r.id, group[r.id]) for r in out)
+
+
+def test_lists_in_which_fingerprints_meet():
+    for n in range(5):
+        for gone in combinations(range(8), n):
+            met = sum(not set(b) & set(gone) for b in simhash.BLOCKS)
+            assert (met >= simhash.MIN_LISTS) == (n <= 2)
+
+
 def test_simhash_against_brute_force(spark):
     texts = random_texts(80, 17, vocabulary=40) + ["", " ", "A b", "a B"]
     out = simhash.near_duplicates(table(spark, texts)).orderBy("id").collect()
@@ -411,7 +477,7 @@ def test_pipeline_against_its_parts(spark):
     cut = c.dedup_lines(spark, good, SF).cache()
     assert cut.count() == good.count()
     rows = cut.orderBy("doc_id").collect()
-    group = groups_of([by_hand(r.text) for r in rows])
+    group = alike_by_pairs([r.text for r in rows])  # five words, likeness 0.8 or more
     alone = c.dedup_near(spark, cut, SF).cache()
     assert sorted(r.doc_id for r in alone.collect()) == sorted(rows[g].doc_id for g in set(group))
     mix = Counter(r.doc_id for r in c.mix_sources(spark, alone, SF).collect())
