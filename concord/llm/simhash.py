@@ -240,8 +240,10 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
 def _wide_links(rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float, classes: int) -> DataFrame:
     """``(u, v)`` edges between nodes that connect those of likeness ``likeness`` or more which meet in a list."""
     posts = _wide_postings(nodes, classes)
-    pick = F.struct(F.xxhash64("key", F.pmod("list", F.lit(HUBS))), F.col("key").alias("hub"))
-    hubs = posts.groupBy("list").agg(F.min(pick)["hub"].alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("list", "hub")
+    # Keys are hashes, so flipping some of their bits gives another order; an integer is aggregated in place.
+    flips = F.get(F.lit([int(x) for x in _FACTORS[:HUBS].view(np.int64)]).cast("array<bigint>"), F.pmod("list", F.lit(HUBS)).cast("int"))
+    hubs = posts.withColumn("turned", F.col("key").bitwiseXOR(flips)).groupBy("list").agg(F.min("turned").alias("hub"), F.max("turned").alias("top"))
+    hubs = hubs.where("hub < top").select("list", F.col("hub").bitwiseXOR(flips).alias("hub"))
     hubs = Table(hubs, "hubs")
     lists = Table(posts.join(hubs.df, "list"), "lists")
     hubs.drop()
