@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: Where intermediate tables go when a session on one machine names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
-#: Spark's setting that removes a query's shuffle files as soon as its result is written.
+#: Spark's settings of the size of batches for Python, and that removes a query's shuffle files once its result is written.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
@@ -85,6 +86,25 @@ def sized(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(start, rows)
 
 
+def portions(texts: list, rows: int, size: int = 4_000_000) -> Iterator[list]:
+    """Texts in order, in lists of at most ``rows`` and, if of more than one, ``size`` characters or bytes."""
+    part, held = [], 0
+    for t in texts:
+        if part and (len(part) >= rows or held + len(t) > size):
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
+def small_batches(spark: SparkSession, size: str = "32m") -> None:
+    """Batches that go to Python workers hold about ``size`` bytes at most, unless the session sets a limit itself."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, str((1 << 31) - 1), "-1"):
+        spark.conf.set(BATCH_BYTES, size)
+
+
 def free(columns: list[str], name: str) -> str:
     """``name``, with underscores before it until no column is called so."""
     taken = {c.lower() for c in columns}

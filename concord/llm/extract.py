@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,11 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import others
+from concord.llm.common import others, portions, small_batches
 
 #: Elements by how the parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object select textarea button title canvas audio video".split())
+#: Their content is no markup; without an end tag it goes on to the page's end.
+RAW = frozenset("script style title textarea".split())
+#: Their content is no text of the page; without an end tag only the tag itself is passed over.
+HIDDEN_PARTS = frozenset("noscript template iframe svg select button canvas audio video".split())
 BLOCK = frozenset(
     "html body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure "
     "figcaption table caption thead tbody tfoot tr td th form fieldset legend address details summary dialog menu center hr".split()
@@ -40,77 +44,144 @@ CLOSES = {
     "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"),
 }
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
+#: Path tokens that count as features: so many outermost and so many innermost ones.
+ENDS = 32
+#: Quoted values that a tag may have.
+QUOTED = 32
 N_TAGS, N_WORDS, TAG_DIM, WORD_DIM, HIDDEN, COUNTS = 2048, 4096, 24, 12, 24, 8
+#: Steps of all pages in one pass, and steps whose inputs are multiplied at once.
+CELLS, STRETCH = 16_384, 4096
 
 
 @dataclass
 class Block:
-    """A leaf: its text, the tag-path tokens over it, and how much of it stands in links."""
+    """A leaf: its text, the tag-path tokens over it (``depth`` in all), and how much of it stands in links."""
 
     text: str
     path: tuple[str, ...]
+    depth: int
     linked: int
 
 
+class _Finder:
+    """``str.find`` for places that only move on: each part of the page is searched once for each string."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def __call__(self, what: str, at: int) -> int:
+        found = self.known.get(what, -2)
+        if found != -1 and found < at:
+            found = self.known[what] = self.page.find(what, at)
+        return found
+
+    def end_tag(self, name: str, at: int) -> int:
+        """Where the next end tag of this name is over; -1 if there is none."""
+        key = "</" + name
+        start, stop = self.known.get(key, (-2, -2))
+        if start != -1 and start < at:
+            m = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.page, at)
+            start, stop = self.known[key] = m.span() if m else (-1, -1)
+        return stop
+
+
+def _tag_end(page: str, at: int, find: _Finder, last: dict[str, int]) -> int:
+    """Where the tag whose name ends at ``at`` is over; -1 if it is not.
+
+    That is behind the first ``>`` outside quotes, or behind the first of all if a quote is not
+    closed or more than ``QUOTED`` of them come before.
+    """
+    first, k = find(">", at), at
+    for _ in range(QUOTED if first >= 0 else 0):
+        m = _STOP.search(page, k)
+        if not m or m[0] != ">" and last[m[0]] < m.end():
+            break
+        if m[0] == ">":
+            return m.end()
+        k = page.find(m[0], m.end()) + 1
+    return first + 1
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page.  White space inside one is a single blank; ``br`` counts as white space."""
+    """Leaf blocks of a page.  White space inside one is a single blank; ``br`` counts as white space.
+
+    Time and memory grow with the page's length, however its tags are nested, left open or cut off.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...], int]] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    at, links, linked, path = 0, 0, 0, ()
+    find, last = _Finder(page), {q: page.rfind(q) for q in "\"'"}
+    at, links, linked = 0, 0, 0
 
     def close_block() -> None:
         nonlocal linked
         if held:
             text = _SPACE.sub(" ", "".join(held)).strip()
             if text:
-                out.append(Block(text, path, linked))
+                _, head, tail, depth = stack[-1] if stack else ("", (), (), 0)
+                out.append(Block(text, head + tail, depth, linked))
             held.clear()
         linked = 0
 
     def leave(k: int) -> None:
-        nonlocal path
         close_block()
+        opened.subtract(x[0] for x in stack[k:])
         del stack[k:]
-        path = stack[-1][1] if stack else ()
+
+    def say(text: str) -> None:
+        nonlocal linked
+        held.append(text)
+        linked += len(text) if links else 0
 
     while at < len(page):
-        cut = page.find("<", at)
-        m = _TOKEN.match(page, cut) if cut >= 0 else None
-        stop = len(page) if cut < 0 else cut if m else cut + 1
+        cut = find("<", at)
+        stop = cut if cut >= 0 else len(page)
         if stop > at:
-            text = html.unescape(page[at:stop])
-            held.append(text)
-            linked += len(text) if links else 0
-        if not m:
-            at = stop
+            say(html.unescape(page[at:stop]))
+        if cut < 0:
+            break
+        if page.startswith("<!--", cut):
+            end = find("-->", cut + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith("<![CDATA[", cut):
+            end = find("]]>", cut + 9)
+            held.append(page[cut + 9 : end if end >= 0 else len(page)])
+            at = end + 3 if end >= 0 else len(page)
             continue
-        at, token = m.end(), m[0]
-        if token.startswith("<![CDATA["):
-            held.append(token[9:].removesuffix("]]>"))
+        if page.startswith(("<!", "<?"), cut):
+            end = find(">", cut)
+            if end < 0:
+                say("<")
+            at = end + 1 if end >= 0 else cut + 1
             continue
-        if not m[2]:
+        closing = page.startswith("</", cut)
+        named = _NAME.match(page, cut + 1 + closing)
+        end = _tag_end(page, named.end(), find, last) if named else 0
+        if end <= 0:
+            say("<")
+            at = cut + 1
             continue
-        name = m[2].lower()
-        if m[1]:
+        at, name, rest = end, named[0].lower(), page[named.end() : end - 1]
+        if closing:
             if name == "a":
                 links = max(0, links - 1)
-            elif name in BLOCK:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                if k is not None:
-                    leave(k)
-                elif name == "p":
-                    close_block()
+            elif opened[name]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+            elif name == "p":
+                close_block()
             continue
-        if name in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if name in RAW or name in HIDDEN_PARTS:
+            if not rest.endswith("/"):
+                end = find.end_tag(name, at)
+                at = end if end >= 0 else len(page) if name in RAW else at
             continue
         if name == "a":
             links = 1
@@ -119,17 +190,21 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCK:
             if stack and stack[-1][0] == "p":
                 leave(len(stack) - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(name, ()):
+            closes, k = CLOSES.get(name, ()), len(stack) - 1
+            while k >= 0 and any(opened[x] for x in closes):
+                if stack[k][0] in closes:
                     leave(k)
                 elif stack[k][0] in _SCOPE.get(name, BLOCK):
                     break
+                k -= 1
             close_block()
             links = 0
             if name not in VOID:
-                named = [x.lower() for _, *v in _NAMED.findall(m[3]) for x in _PART.findall("".join(v))]
-                stack.append((name, (*path, name, *named)))
-                path = stack[-1][1]
+                tokens = (name, *(x.lower() for _, *v in _NAMED.findall(rest) for x in _PART.findall("".join(v))))
+                _, head, tail, depth = stack[-1] if stack else ("", (), (), 0)
+                room = max(0, ENDS - len(head)) if not tail else 0
+                stack.append((name, head + tokens[:room], (tail + tokens[room:])[-ENDS:], depth + len(tokens)))
+                opened[name] += 1
     close_block()
     return out
 
@@ -157,13 +232,13 @@ def encode(found: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.n
         n = len(b.text)
         counts[k] = (
             np.log1p(n) / 8, np.log1p(len(own)) / 6, min(1.0, b.linked / n), b.text[-1] in ".!?:…\"'”’", k / len(found),
-            sum(map(b.text.count, ".,;")) / n * 10, len(b.path) / 20, 1.0,
+            sum(map(b.text.count, ".,;")) / n * 10, b.depth / 20, 1.0,
         )
     return tags, words, counts
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Network:
@@ -198,26 +273,34 @@ class Network:
         x[step, page, TAG_DIM + WORD_DIM :] = np.concatenate([c for *_, c in pages])
         return x, at, [step, page, kept]
 
-    def _pass(self, way: str, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list]:
+    def _pass(self, way: str, x: np.ndarray, at: np.ndarray, learn: bool = True) -> tuple[np.ndarray, list]:
+        """Outputs of one direction and, to learn from, what every step was made of."""
         steps, n, _ = x.shape
         h, c, hs, memory = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.zeros((steps, n, HIDDEN)), []
-        given = x @ self.p[f"{way}x"] + self.p[f"{way}b"]
+        lo = hi = -1
+        full, own, bias, back = at.all(1), self.p[f"{way}x"], self.p[f"{way}b"], self.p[f"{way}h"]
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            z = given[t] + h @ self.p[f"{way}h"]
-            i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+            if not lo <= t < hi:
+                lo = t // STRETCH * STRETCH
+                hi = lo + STRETCH
+                given = x[lo:hi] @ own + bias
+            z = given[t - lo] + h @ back
+            gates = _sigmoid(z[:, : 3 * HIDDEN])
+            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
-            live = at[t][:, None]
-            new = np.where(live, f * c + i * g, c)
+            live = None if full[t] else at[t][:, None]
+            new = f * c + i * g if live is None else np.where(live, f * c + i * g, c)
             th = np.tanh(new)
-            memory.append((t, h, c, i, f, o, g, th, live))
-            h, c = np.where(live, o * th, h), new
+            if learn:
+                memory.append((t, h, c, i, f, o, g, th, at[t][:, None]))
+            h, c = o * th if live is None else np.where(live, o * th, h), new
             hs[t] = h
         return hs, memory
 
-    def forward(self, pages: list) -> tuple[np.ndarray, tuple]:
+    def forward(self, pages: list, learn: bool = True) -> tuple[np.ndarray, tuple]:
         x, at, where = self._inputs(pages)
-        f, fm = self._pass("f", x, at)
-        b, bm = self._pass("b", x, at)
+        f, fm = self._pass("f", x, at, learn)
+        b, bm = self._pass("b", x, at, learn)
         p = _sigmoid(f @ self.p["out"][:HIDDEN] + b @ self.p["out"][HIDDEN:] + x @ self.p["skip"] + self.p["bias"])
         return p, (x, at, where, f, b, fm, bm)
 
@@ -251,14 +334,20 @@ class Network:
         return g
 
     def predict(self, pages: list) -> list[np.ndarray]:
-        """Probabilities of main text for each page's blocks; pages of like length go together."""
+        """Probabilities of main text for each page's blocks.
+
+        Pages of like length go together, at most 64 and ``CELLS`` steps of all in a pass.
+        """
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k][2])), key=lambda k: len(pages[k][2]))
-        for start in range(0, len(order), 64):
-            part = order[start : start + 64]
-            p, _ = self.forward([pages[k] for k in part])
-            for n, k in enumerate(part):
-                out[k] = p[: len(pages[k][2]), n]
+        while order:
+            n = 1
+            while n < min(64, len(order)) and len(pages[order[n]][2]) * (n + 1) <= CELLS:
+                n += 1
+            part, order = order[:n], order[n:]
+            p, _ = self.forward([pages[k] for k in part], learn=False)
+            for col, k in enumerate(part):
+                out[k] = p[: len(pages[k][2]), col]
         return out
 
 
@@ -426,6 +515,7 @@ def extracted(pages: DataFrame, html_col: str = "html", out: str = "main") -> Da
     Null and empty pages have no text; a page without markup is one block; unclosed and stray tags,
     comments and cut-off pages are read as browsers do, near enough.  Repeated rows repeat.
     """
+    small_batches(pages.sparkSession)
     net = pages.sparkSession.sparkContext.broadcast(trained())
     names = [f"_{k}" for k in range(len(pages.columns))]
     own = dict(zip(pages.columns, names))
@@ -435,7 +525,7 @@ def extracted(pages: DataFrame, html_col: str = "html", out: str = "main") -> Da
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             texts = list(s)
-            yield pd.Series([x for k in range(0, len(texts), 256) for x in main_text(net.value, texts[k : k + 256])], dtype=object)
+            yield pd.Series([x for part in portions(texts, 256) for x in main_text(net.value, part)], dtype=object)
 
     done = rows.withColumn("main", run(F.coalesce(F.col(own[html_col]).cast("string"), F.lit(""))))
     return done.select(*[F.col(own[c]).alias(c) for c in others(pages.columns, out)], F.col("main").alias(out))

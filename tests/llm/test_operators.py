@@ -1,8 +1,11 @@
 """Operators against brute force, libraries and held-out data."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 from itertools import combinations
 
@@ -75,6 +78,39 @@ def test_blocks_of_broken_markup():
     assert extract.blocks("") == [] and extract.blocks("1 < 2")[0].text == "1 < 2"
 
 
+def test_unclosed_elements_lose_nothing():
+    text = lambda page: [b.text for b in extract.blocks(page)]
+    for name in sorted(extract.HIDDEN_PARTS):
+        assert text(f"<article><p>one</p><{name}>x<p>two is long text</p></article>") == ["one", "x", "two is long text"]
+        assert text(f"<p>one <{name}>x</{name}> two</p>") == ["one two"]
+    for name in sorted(extract.RAW):
+        assert text(f"<p>one</p><{name}>x<p>two</p>") == ["one"]
+    assert text("E = <math>mc</math> holds") == ["E = mc holds"] and text("a <object>b</object>") == ["a b"]
+    assert text("<p title='a > b'>x</p><p title=\"it's>y</p><p>z") == ["x", "y", "z"]
+
+
+HOSTILE = {
+    "open tags": "<a " * 333_000, "deep": "<div>x" * 20_000, "items": "<ul>" + "<li>item text here" * 100_000 + "</ul>", "quotes": '<a ">" ' * 100_000,
+    "buttons": "<button>" * 100_000, "stray ends": "<div>" * 20_000 + "</p>" * 50_000 + "<li>x" * 20_000, "angles": "<" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_take_bounded_time_and_memory(name):
+    code = (
+        "import resource, sys, time\n"
+        "from concord.llm import extract\n"
+        "page, net = sys.stdin.read(), extract.Network(3)\n"
+        "start = time.process_time()\n"
+        "net.predict([extract.encode(extract.blocks(p)) for p in [page] + ['<p>one</p>'] * 63])\n"
+        "print(time.process_time() - start, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)"
+    )
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(extract.__file__.rsplit("/", 1)[0])), "OPENBLAS_NUM_THREADS": "1"}
+    out = subprocess.run([sys.executable, "-c", code], input=HOSTILE[name], capture_output=True, text=True, env=env, check=True)
+    seconds, megabytes = map(float, out.stdout.split())
+    assert seconds < 30 and megabytes < 500  # of a slow machine
+
+
 def test_network_gradient_and_accuracy():
     rnd, net = random.Random(4), extract.Network(2)
     made = [extract.synthetic_page(rnd) for _ in range(3)]
@@ -334,6 +370,18 @@ def test_likeness_of_fingerprints(spark):
         assert abs(r.near_next - like(grams(texts[i]), grams(nxt))) < 0.12
 
 
+@pytest.mark.parametrize("ids", [[None] * 12, [7] * 12, [1, 2, 7, 7, 7, 7, 7, 7, 9, None, None, 3]])
+def test_next_documents_of_equal_and_null_ids(spark, ids):
+    texts = [f"t{k} " * (k + 1) for k in range(10)] + ["t3 t3 t3 t3 "] * 2
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    want = None
+    for per in (1, 3, 100):
+        rows = minhash.fingerprinted(docs, rows_per_range=per).select("id", "text", "edited", "near_next").collect()
+        got = sorted(rows, key=str)
+        want = want or got
+        assert got == want and sorted(r.text for r in got) == sorted(texts)
+
+
 def test_lines_against_brute_force(spark):
     texts = random_texts(120, 13, vocabulary=3, lines=True)
     seen, want = set(), []
