@@ -45,7 +45,10 @@ def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE)
     underscore are used on the way.
     """
     w, h, v, d, full = (f"{out}_{k}" for k in "whvdf")
-    c, a, inverse = (F.lit(x) for x in _probing())
+    offsets, steps, inverses = _probing()
+    c, inverse = F.lit(offsets), F.lit(inverses)
+    # The bins that bin i probes, t steps on, as constants.
+    probed = [F.expr(f"array({', '.join(str((x + y * t) % BINS) for x, y in zip(offsets, steps))})") for t in range(PROBES)]
     n = F.size(w)
     words = F.col(w)
     grams = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(shingle)]))
@@ -58,14 +61,14 @@ def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE)
     low = F.lit((1 << KEPT) - 1)
     entry = F.transform(least, lambda x, k: F.when(x.bitwiseAND(F.lit(_LOW)) != _LOW, F.shiftleft(k.cast("long"), KEPT) + x.bitwiseAND(low)))
     step = step.withColumn(v, entry).withColumn(full, F.array_compact(v))
-    probe = lambda i, t: F.get(F.col(v), (F.get(c, i) + F.get(a, i) * t).bitwiseAND(F.lit(BINS - 1)))
+    probe = lambda i, t: F.get(F.col(v), F.get(probed[t], i))
     # Where many probes have failed few bins are full, and the first of them in probing order is found directly.
     turn = lambda q, i: ((F.shiftright(q, KEPT).cast("int") - F.get(c, i)) * F.get(inverse, i)).bitwiseAND(F.lit(BINS - 1))
     first = lambda i: F.array_min(F.transform(full, lambda q: F.shiftleft(turn(q, i).cast("long"), KEPT + LOG_BINS) + q))
     filled = F.transform(v, lambda x, i: F.coalesce(x, *[probe(i, t) for t in range(PROBES)], first(i)).bitwiseAND(low))
-    filled = F.transform(filled, lambda x, i: F.xxhash64(x, i).bitwiseAND(F.lit(15)).cast("int"))
     step = step.withColumn(d, filled)
-    digits = F.array_join(F.transform(d, lambda x: F.substring(F.lit("0123456789abcdef"), x + 1, F.lit(1))), "")
+    shown = F.expr("array('" + "', '".join("0123456789abcdef") + "')")
+    digits = F.array_join(F.transform(d, lambda x, i: F.get(shown, F.xxhash64(x, i).bitwiseAND(F.lit(15)).cast("int"))), "")
     return step.withColumn(out, F.when(n > 0, digits).otherwise(F.lit(""))).drop(w, h, v, d, full)
 
 
@@ -84,44 +87,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(estimate)
 
 
-def _range_of(df: DataFrame, parts: int) -> Column:
-    """Which of about ``parts`` equal ranges of ids a row falls into, ascending; null ids are below all.
+def _ranged(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with ``part``: in which of about ``parts`` ranges of ``(id, mark)`` a row is, ascending, null ids below all.
 
-    The cut points are approximate quantiles, a bounded list.
+    The cut points of ids are approximate quantiles, a bounded list, searched by halves.  Ids that
+    take up a whole range or more, and null ones, are cut again by ``mark``, 31 bits of the text's hash.
     """
     at = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(df.agg(F.percentile_approx("id", F.lit(at), 10_000)).first()[0] or [])) if at else []
-    if not cuts:
-        return F.when(F.col("id").isNull(), -1).otherwise(0)
-    return F.when(F.col("id").isNull(), -1).otherwise(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("id"))))
+    cuts = rows.agg(F.percentile_approx("id", F.lit(at), 10_000)).first()[0] or [] if at else []
+    often = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    bounds = sorted({x + k for x in cuts for k in ((0, 1) if x in set(often) and x < (1 << 63) - 1 else (0,))})
+    place = F.lit(0)
+    if bounds:
+        table = F.expr(f"array({', '.join(f'bigint({x})' for x in bounds)})")
+        halves = F.expr(f"array({', '.join(str(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1))})")
+        place = F.aggregate(halves, F.lit(0), lambda low, step: F.when(F.get(table, low + step - 1) <= F.col("id"), low + step).otherwise(low))
+    sub = F.floor(F.col("mark") * parts / F.lit(1 << 31)).cast("int")
+    split = F.col("id").isNull() | F.col("id").isin(often) if often else F.col("id").isNull()
+    return rows.withColumn("part", F.when(F.col("id").isNull(), -1).otherwise(place).cast("long") * F.lit(1 << 20) + F.when(split, sub).otherwise(0))
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2000) -> DataFrame:
     """``id, n_chars, text, fingerprint``, and the same of the edited text, with both likenesses.
 
-    The next document is the one before in descending order of ids (null ids last, equal ids by
-    text); the last one's next is the first.  Documents are cut into ranges of ids, neighbours meet
-    inside a range, and only each range's first document is passed to the range above.  A null text
-    counts as empty; a table of one row is its own next.
+    The next document is the one before in descending order of ids (null ids last, equal ids by a
+    hash of the text); the last one's next is the first.  Documents are cut into ranges of that
+    order, neighbours meet inside a range, and only each range's first document is passed to the
+    range above.  A null text counts as empty; a table of one row is its own next.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
+    rows = rows.withColumn("mark", F.shiftrightunsigned(F.xxhash64("text"), 33))
     count = rows.count()
-    part = _range_of(rows, min(10_000, max(1, count // rows_per_range)))
-    own = with_fingerprint(rows.withColumn("part", part), "text", "fingerprint")
-    order = Window.partitionBy("part").orderBy(F.desc("id"), F.desc("text"))
+    rows = _ranged(rows, min(10_000, max(1, count // rows_per_range)))
+    own = with_fingerprint(rows, "text", "fingerprint")
+    order = Window.partitionBy("part").orderBy(F.desc("id"), F.desc("mark"), F.desc("text"))
     # One shuffle carries the texts; the row that ends a range looks up the head of the next one.
     led = own.withColumns({"next_text": F.lead("text").over(order), "next_fp": F.lead("fingerprint").over(order), "last": F.lead(F.lit(1)).over(order).isNull()})
-    top = rows.withColumn("part", part).groupBy("part").agg(F.max(F.struct("id", "text")).alias("head"))
-    # One row per range, at most 10,000 of them.
-    heads = with_fingerprint(top.select("part", F.col("head.text").alias("head_text")), "head_text", "head_fp")
-    below = Window.orderBy(F.desc("part"))
-    first = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    links = heads.select(
-        F.col("part").alias("above"),
-        F.lit(True).alias("ends"),
-        F.coalesce(F.lead("head_text").over(below), F.first("head_text").over(first)).alias("below_text"),
-        F.coalesce(F.lead("head_fp").over(below), F.first("head_fp").over(first)).alias("below_fp"),
-    )
+    heads = rows.groupBy("part").agg(F.max(F.struct("id", "mark", "text"))["text"].alias("head_text"))
+    heads = with_fingerprint(heads, "head_text", "head_fp")
+    # Numbers of ranges only, of which there is a bounded count, meet in one task.
+    numbers = rows.select("part").distinct()
+    down, every = Window.orderBy(F.desc("part")), Window.partitionBy()
+    links = numbers.select(F.col("part").alias("above"), F.lit(True).alias("ends"), F.coalesce(F.lead("part").over(down), F.max("part").over(every)).alias("below"))
+    links = links.join(heads, F.col("below") == F.col("part")).select("above", "ends", F.col("head_text").alias("below_text"), F.col("head_fp").alias("below_fp"))
     met = led.join(links, (F.col("part") == F.col("above")) & (F.col("last") == F.col("ends")), "left")
     half = F.floor(F.length("text") / 2).cast("int")
     following = F.coalesce("next_text", "below_text")
