@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord import schemas
@@ -24,9 +24,18 @@ def parsed_choice(reply: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(reply, r"(?i)\b(first|second)\b", 1)), F.lit(""))
 
 
+#: White space of any kind at either end.
+_BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+"
+
+
+def stripped(value: Column) -> Column:
+    """A string without white space of any kind, line ends included, at its ends."""
+    return F.regexp_replace(value, f"^{_BLANK}|{_BLANK}$", "")
+
+
 def canonical_choice(choice: Column) -> Column:
     """``first`` or ``second``; everything else, failures included, is a ``tie``."""
-    plain = F.lower(F.trim(F.coalesce(choice, F.lit(""))))
+    plain = F.lower(stripped(F.coalesce(choice, F.lit(""))))
     return F.when(plain.isin("first", "second"), plain).otherwise("tie")
 
 
@@ -86,6 +95,20 @@ def clean_distance(value: Column) -> Column:
     return F.when(F.isnan(value), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
 
+def hygienic(distances: DataFrame) -> DataFrame:
+    """``i, j, distance`` made clean: both directions averaged, the diagonal 0, all within 0 and 1.
+
+    A direction that is not there counts as the other one; not-a-number is 1.
+    """
+    filled = F.when(F.isnan("distance"), 1.0).otherwise(F.col("distance").cast("double"))
+    plain = F.when(filled == float("inf"), 1.0).when(filled == float("-inf"), 0.0).otherwise(filled)
+    both = distances.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), plain.alias("d"))
+    mean = both.groupBy("i", "j").agg(F.avg("d").alias("d"))
+    clean = mean.withColumn("distance", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("d")))))
+    turned = clean.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "distance")
+    return clean.select("i", "j", "distance").unionByName(turned)
+
+
 def provider_parts(messages: Column) -> Column:
     """Chat messages with their parts renamed for a provider that calls them inputs."""
 

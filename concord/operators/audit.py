@@ -13,15 +13,26 @@ INSTRUCTIONS = (
     "merged, and leave out those that contradict the rest. Do not rank them. Reply with one JSON object: "
     '"final_keep_ids" lists the ids to keep and "per_model_notes" gives one short reason for every id.'
 )
+STRICT = (
+    "You compare labelings of {dataset}. Judge only how well each agrees with the evidence, the reference image above all if "
+    "there is one. Smooth or tidy borders are no merit in themselves, and scattered labels no fault where the data are "
+    "scattered; a clean border in the wrong place is worse than a ragged one in the right place. Begin with the single word "
+    "First or Second, then give one short paragraph on each labeling, 200 words at most in all."
+)
 COMPARE = (
     "Two labelings of {dataset} are shown, the first one first. Say which fits the data better, in a few words, "
     "and end with the single word First or Second."
 )
 
 
-def compare_prompt(dataset: Column, reference: Column) -> Column:
-    """What a judge is asked about a pair; ``reference`` says whether a reference image comes first."""
-    body = F.replace(F.lit(COMPARE), F.lit("{dataset}"), F.coalesce(dataset, F.lit("a data set")))
+def compare_prompt(dataset: Column, reference: Column, mode: str = "simple") -> Column:
+    """What a judge is asked about a pair; ``reference`` says whether a reference image comes first.
+
+    ``simple`` asks for the better one, ``complex`` for a judgement by the evidence with reasons.
+    """
+    if mode not in ("simple", "complex"):
+        raise ValueError(f"unknown mode: {mode}")
+    body = F.replace(F.lit(COMPARE if mode == "simple" else STRICT), F.lit("{dataset}"), F.coalesce(dataset, F.lit("a data set")))
     return F.when(reference, F.concat(F.lit("A reference image comes before both. "), body)).otherwise(body)
 
 

@@ -60,21 +60,33 @@ def align(frames: dict[str, DataFrame], pos: str = "pos") -> DataFrame:
     return out
 
 
-def recoded(label: Column) -> Column:
-    """Codes of a label column in its order, from 0; missing is -1.  For display only: a whole-table window."""
-    return F.when(label.isNull(), -1).otherwise(F.dense_rank().over(Window.orderBy(label.asc_nulls_last())) - 1)
+def recoded(df: DataFrame, label: str, out: str = "code") -> DataFrame:
+    """``df`` with codes of a label column in its order, from 0; missing is -1.
+
+    Only the distinct labels are numbered in one task; the rows get their codes by a join.
+    """
+    codes = df.select(F.col(label).alias("_label")).where("_label IS NOT NULL").distinct()
+    codes = codes.withColumn("_code", (F.row_number().over(Window.orderBy("_label")) - 1).cast("int"))
+    return df.join(codes, F.col(label) == F.col("_label"), "left").withColumn(out, F.coalesce("_code", F.lit(-1))).drop("_label", "_code")
 
 
-def signatures(matrix: DataFrame, models: list[str], first: list[str]) -> DataFrame:
+def signatures(matrix: DataFrame, models: list[str], first: list[str], limit: int = DEFAULTS.max_signatures) -> DataFrame:
     """One row per distinct label tuple: ``sid, sig (array), w`` (rows) in order of first occurrence.
 
+    The matrix is read once: the tuples, of which more than ``limit`` are an error, come back as a
+    table of the driver's, for all that follows.
+
     Rows with one tuple are at distance 0 and at equal distance to all others, so clustering needs
     only tuples and their weights.  ``first`` are the columns that order the rows; tuples whose first
     rows are equal in these go by value.
     """
     sig = F.array(*[F.col(m).cast("string") for m in models])
-    grouped = matrix.groupBy(sig.alias("sig")).agg(F.count(F.lit(1)).alias("w"), F.min(F.struct(*first)).alias("first"))
-    return grouped.select((F.row_number().over(Window.orderBy("first", "sig")) - 1).cast("long").alias("sid"), "sig", "w")
+    grouped = matrix.groupBy(sig.alias("sig")).agg(F.count(F.lit(1)).alias("w"), F.min(F.struct(*first)).alias("first")).limit(limit + 1)
+    numbered = grouped.select((F.row_number().over(Window.orderBy("first", "sig")) - 1).cast("long").alias("sid"), "sig", "w")
+    rows = numbered.collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} distinct label tuples")
+    return matrix.sparkSession.createDataFrame([(r.sid, r.sig, r.w) for r in rows], "sid long, sig array<string>, w long")
 
 
 def disagreement(a: Column, b: Column) -> Column:

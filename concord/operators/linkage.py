@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from concord.config import DEFAULTS
-from concord.operators.labels import disagreement
+from concord.operators.labels import coassociation
 
 MERGE_SCHEMA = "step int, a long, b long, height double"
 
@@ -108,10 +108,14 @@ def cut(sigs: DataFrame, tree: DataFrame, ks: list[int]) -> DataFrame:
 
 def pair_sums(sigs: DataFrame, cuts: DataFrame) -> DataFrame:
     """``k, sid, w, own, cluster, n, d``: each signature's summed disagreement with each cluster of n rows."""
-    a = sigs.join(cuts, "sid").withColumnRenamed("cluster", "own")
-    b = sigs.join(cuts, "sid").select("k", F.col("sig").alias("sig2"), F.col("w").alias("w2"), "cluster")
-    d = F.col("w2") * disagreement(F.col("sig"), F.col("sig2"))
-    return a.join(b, "k").groupBy("k", "sid", "w", "own", "cluster").agg(F.sum("w2").alias("n"), F.sum(d).cast("double").alias("d"))
+    near = coassociation(sigs)
+    one = lambda i, j: F.struct(F.col(f"{i}").alias("sid"), F.col(f"w{i}").alias("w"), F.col(f"{j}").alias("other"), F.col(f"w{j}").alias("w2"), "disagree")
+    both = near.select(F.inline(F.array(one("i", "j"), one("j", "i"))))
+    both = both.unionByName(sigs.select("sid", "w", F.col("sid").alias("other"), F.col("w").alias("w2"), F.lit(0).alias("disagree")))
+    # One row per pair of tuples, each compared once; the cuts come to it by tuple, not by k.
+    own, other = cuts.withColumnRenamed("cluster", "own"), cuts.withColumnRenamed("sid", "other")
+    met = both.join(own, "sid").join(other, ["other", "k"])
+    return met.groupBy("k", "sid", "w", "own", "cluster").agg(F.sum("w2").alias("n"), F.sum(F.col("w2") * F.col("disagree")).cast("double").alias("d"))
 
 
 def silhouette(sigs: DataFrame, cuts: DataFrame, models: int) -> DataFrame:

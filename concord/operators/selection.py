@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.config import DEFAULTS
+from concord.functions.text import normalized_name
 
 RATE_COLUMNS, MODEL_COLUMNS = ("win_rate", "winning_rate", "WinningRate"), ("model", "Model")
 
@@ -46,6 +49,16 @@ def top_elbow(ranked: DataFrame, top_k: int = DEFAULTS.top_k, pos: str | None =
     return rows.crossJoin(F.broadcast(cut.select(keep.alias("keep")))).where("place <= keep").drop("keep")  # one row
 
 
+def clamped(ranked: DataFrame, top_k: int = DEFAULTS.top_k) -> int:
+    """``top_k``, or, with a warning, how many models there are if that is less."""
+    if not top_k or top_k < 1:
+        raise ValueError("top_k must be a positive number")
+    there = ranked.limit(top_k).count()
+    if there < top_k:
+        warnings.warn(f"top_k is {top_k}, but there are {there} models", stacklevel=2)
+    return min(top_k, there)
+
+
 def select_top(ranked: DataFrame, mode: str = "fixed", top_k: int = DEFAULTS.top_k, pos: str | None = None) -> DataFrame:
     if mode not in ("fixed", "elbow"):
         raise ValueError(f"unknown mode: {mode}")
@@ -73,10 +86,22 @@ def excluded(selected: DataFrame, kept: DataFrame) -> DataFrame:
     return selected.join(kept, "model", "left_anti")
 
 
+def by_normalized(ranked: DataFrame) -> DataFrame:
+    """``normalized, model``: of ranked names that normalise alike the last one in the table's order (``pos``) or else by name wins."""
+    model, _ = columns_of(ranked)
+    order = F.struct(*([F.col("pos")] if "pos" in ranked.columns else []), F.col(model))
+    rows = ranked.groupBy(normalized_name(F.col(model)).alias("normalized")).agg(F.max_by(F.col(model), order).alias("model"), F.count_distinct(model).alias("n"))
+    if twice := [r.normalized for r in rows.where("n > 1").orderBy("normalized").limit(20).collect()]:
+        warnings.warn(f"ranked names that normalise alike, of which the last counts: {twice}", stacklevel=2)
+    return rows.select("normalized", "model")
+
+
 def resolve(ranked: DataFrame, manual: list[str] | None = None, audited: list[str] | None = None, top_k: int = DEFAULTS.top_k) -> list[str]:
     """Names by precedence: given by hand, else an audit's, else the best ``top_k``; at least two."""
     chosen = select_named(ranked, manual or audited) if manual or audited else top_fixed(ranked, top_k)
-    names = [r.model for r in chosen.orderBy("place").limit(DEFAULTS.max_models).collect()]
+    names = [r.model for r in chosen.orderBy("place").limit(DEFAULTS.max_models + 1).collect()]
+    if len(names) > DEFAULTS.max_models:
+        raise ValueError(f"more than {DEFAULTS.max_models} models are chosen")
     if len(names) < 2:
         raise ValueError("at least two models are needed")
     return names

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.config import DEFAULTS
 from concord.functions import text
 from concord.operators import audit, judges, labels, linkage, selection, tournament
 from concord.plans import pipeline
@@ -118,7 +119,7 @@ def file_names(spark, sf_dir):
 
 @query("SELECT p_partkey, (CASE WHEN p_brand IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY p_brand) - 1 END)::INTEGER AS code FROM part")
 def label_recode(spark, sf_dir):
-    return _read(spark, sf_dir, "part").select("p_partkey", labels.recoded(F.col("p_brand")).cast("int").alias("code"))
+    return labels.recoded(_read(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand").select("p_partkey", "code")
 
 
 @query("SELECT event_id, least(1.0, greatest(0.0, CASE WHEN value > 400 THEN 'inf'::DOUBLE WHEN value < 5 THEN '-inf'::DOUBLE ELSE value / 100 END)) AS distance FROM events")
@@ -431,7 +432,7 @@ def wk_by_k(spark, sf_dir):
 
 @query()
 def gap_by_k(spark, sf_dir):
-    return linkage.gap(_line_signatures(spark, sf_dir), [2, 3, 4], 3, draws=3)
+    return linkage.gap(_line_signatures(spark, sf_dir), list(DEFAULTS.k_range), 3)
 
 
 def _ari_sql(a: str, b: str, source: str) -> str:

@@ -6,13 +6,14 @@ from dataclasses import dataclass
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord import schemas
 from concord.config import DEFAULTS
 from concord.functions import text
 from concord.operators import audit, judges, labels, linkage, selection, tournament
+from concord.sources import files, sinks
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,60 @@ def play(images: DataFrame, judge: judges.Judge, repetitions: int = DEFAULTS.rep
     return judges.verdicts(rows), fresh
 
 
+def asked(games: DataFrame, dataset: str, reference: DataFrame | None = None, mode: str = "simple") -> DataFrame:
+    """Games with payloads and the chat ``messages`` that a judge is sent: the prompt of the mode, then the images."""
+    shown = games if reference is None else games.crossJoin(F.broadcast(reference.select(F.col("data_url").alias("reference")).limit(1)))  # one row
+    has = F.lit(reference is not None)
+    urls = ([] if reference is None else [F.col("reference")]) + [F.col("image1"), F.col("image2")]
+    return shown.withColumn("messages", audit.messages(audit.compare_prompt(F.lit(dataset), has, mode), *urls))
+
+
+def run_tournament(
+    spark: SparkSession, images: str, out: str, judge: judges.Judge, dataset: str = "a data set", repetitions: int = DEFAULTS.repetitions, mode: str = "simple", skip: bool = False
+) -> DataFrame:
+    """A tournament over a folder of images: verdicts, cache and ranking are written under ``out``; gives the ranking.
+
+    Games that ``out/cache`` has are not judged again.  With ``skip`` the ranking stored there is read
+    instead, and it is an error if there is none.
+    """
+    stored = f"{out.rstrip('/')}/ranking"
+    if skip:
+        if not files.matching(spark, stored):
+            raise FileNotFoundError(f"no ranking in {out}; play the tournament first")
+        return files.read_ranking(spark, stored)
+    reference, models = files.read_images(spark, images)
+    given = None if reference.isEmpty() else reference
+    ask = lambda games: judge(asked(games, dataset, given, mode))
+    cached = f"{out.rstrip('/')}/cache"
+    cache = files.read_cache(spark, cached) if files.matching(spark, cached) else None
+    verdicts, fresh = play(models, ask, repetitions, cache, mode)
+    sinks.write_verdicts(verdicts, f"{out.rstrip('/')}/verdicts")
+    if cache is None or not fresh.isEmpty():
+        sinks.append_cache(fresh, cached)
+    ranked = tournament.ranking(files.read_verdicts(spark, f"{out.rstrip('/')}/verdicts"))
+    sinks.write_ranking(ranked, stored)
+    return files.read_ranking(spark, stored)
+
+
+def run_all(
+    spark: SparkSession, images: str, assignments: str, id_col: str, out: str, judge: judges.Judge, manual: list[str] | None = None, top_k: int = DEFAULTS.top_k,
+    choice: KChoice = KChoice(), repetitions: int = DEFAULTS.repetitions, skip: bool = False,
+) -> DataFrame:
+    """Images and a file of assignments to a consensus, which is written to ``out/consensus`` too.
+
+    The models are those given, else those that a stored audit kept, else the best ``top_k``.
+    """
+    ranked = run_tournament(spark, images, out, judge, repetitions=repetitions, skip=skip)
+    audited = None if manual else files.read_audit(spark, out)
+    names = selection.resolve(ranked, manual, audited, top_k)
+    matrix = files.read_combined(spark, assignments, id_col)
+    columns = labels.match_columns(names, [c for c in matrix.columns if c not in (id_col, "pos")])
+    # File order numbers the tuples; the id stands beside it.
+    found = run_consensus(matrix, [columns[n] for n in names], ["pos", id_col], choice)
+    sinks.write_consensus(found, f"{out.rstrip('/')}/consensus", id_col, "consensus_label")
+    return found.drop("pos")
+
+
 def run_audit(verdicts: DataFrame, images: DataFrame, call: Callable[[dict], str], dataset: str, top_k: int = DEFAULTS.top_k) -> DataFrame:
     """The audit of the best ``top_k`` models, as one row in the form of ``schemas.AUDIT``.
 
@@ -109,7 +164,7 @@ def run_consensus(matrix: DataFrame, models: list[str], keys: list[str], choice:
     models = list(dict.fromkeys(models))
     if len(models) < 2:
         raise ValueError("at least two models are needed")
-    sigs = labels.signatures(matrix, models, keys).cache()
+    sigs = labels.signatures(matrix, models, keys)
     if sigs.isEmpty():
         raise ValueError("there are no rows to label")
     tree = linkage.dendrogram(sigs)

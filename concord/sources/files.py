@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,30 +111,85 @@ def locate(spark: SparkSession, directory: str, models: list[str]) -> dict[str,
     return found
 
 
-def read_separate(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """One frame per model, in order; ``labels.align`` joins them and checks their rows."""
-    return {m: read_table(spark, p) for m, p in paths.items()}
+def by_model(paths: list[str], models: list[str]) -> dict[str, str]:
+    """Assignment files by model: the model whose name the file's stem is (with its usual endings), else, if none is, by place."""
+    stems = {}
+    for p in paths:
+        stem = p.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        for end in ("_pred_label", "_labels"):
+            stem = stem.removesuffix(end)
+        if stem in stems:
+            raise ValueError(f"{stems[stem]!r} and {p!r} are of one model")
+        stems[stem] = p
+    if any(m in stems for m in models):
+        if lost := [m for m in models if m not in stems]:
+            raise ValueError(f"no assignment file for {lost}")
+        return {m: stems[m] for m in models}
+    if len(paths) != len(models):
+        raise ValueError(f"{len(paths)} files for {len(models)} models")
+    return dict(zip(models, paths))
+
+
+def read_separate(spark: SparkSession, paths: dict[str, str] | list[str], models: list[str] | None = None) -> dict[str, DataFrame]:
+    """One frame per model, in order; ``labels.align`` joins them and checks their rows.  A list of files is matched by ``by_model``."""
+    named = paths if isinstance(paths, dict) else by_model(paths, models or [])
+    return {m: read_table(spark, p) for m, p in named.items()}
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in order; none is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(x.getPath().toString() for x in found or [])
+
+
+def scanned_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """A row for every line of verdict files, its fields null if it is blank or broken; no files, no rows."""
+    found = matching(spark, path)
+    if not found:
+        return spark.createDataFrame([], schemas.VERDICT)
+    schema = T.StructType([*schemas.VERDICT.fields, T.StructField("_corrupt", T.StringType())])
+    folder = path if len(found) == 1 and "*" not in path else found
+    lines = spark.read.text(folder).withColumn("v", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
+    ok = F.coalesce(F.col("v._corrupt").isNull() & (text.stripped(F.col("value")) != ""), F.lit(False))
+    fields = {f.name: F.when(ok, F.col(f"v.{f.name}")) for f in schemas.VERDICT.fields}
+    if "repetition" in lines.columns:
+        fields["repetition"] = F.when(ok, F.coalesce(F.col("v.repetition"), F.col("repetition").cast("int")))
+    return lines.select(*[c.alias(n) for n, c in fields.items()], ok.alias("_read"))
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """Verdict records; blank and broken lines are left out.  Folders by repetition are read as such."""
-    schema = T.StructType([*schemas.VERDICT.fields, T.StructField("_corrupt", T.StringType())])
-    lines = spark.read.text(path)
-    rows = lines.where(F.trim("value") != "").withColumn("v", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
-    fields = {f.name: F.col(f"v.{f.name}") for f in schemas.VERDICT.fields}
-    if "repetition" in lines.columns:
-        fields["repetition"] = F.coalesce(fields["repetition"], F.col("repetition").cast("int"))
-    return rows.where("v._corrupt IS NULL").select(*[c.alias(n) for n, c in fields.items()])
+    """Verdict records; blank and broken lines are left out.  Folders by repetition are read as such; a missing file is empty."""
+    rows = scanned_verdicts(spark, path)
+    return rows.where("_read").drop("_read") if "_read" in rows.columns else rows
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """``cache_key, gpt_choice, gpt_output``."""
-    return spark.read.schema("cache_key string, gpt_choice string, gpt_output string").parquet(path)
+def read_run(spark: SparkSession, directory: str) -> DataFrame:
+    """Verdicts of a run's files by repetition; a missing repetition is passed over."""
+    return read_verdicts(spark, f"{directory.rstrip('/')}/pairwise_results_rep*.jsonl")
 
 
-def read_audit(spark: SparkSession, path: str) -> list[str] | None:
-    """Models that the newest readable audit kept; None if there is none or it kept nothing."""
-    rows = spark.read.schema(schemas.AUDIT).option("multiLine", True).json(path)
+def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """``cache_key, gpt_choice, gpt_output``; None if there is no cache or it cannot be read."""
+    try:
+        rows = spark.read.schema("cache_key string, gpt_choice string, gpt_output string").parquet(path)
+        rows.limit(1).collect()
+    except Exception as e:  # noqa: BLE001
+        warnings.warn(f"cannot read the cache {path}: {str(e)[:200]}", stacklevel=2)
+        return None
+    return rows
+
+
+def read_audit(spark: SparkSession, directory: str) -> list[str] | None:
+    """Models that the newest audit kept, of those in ``directory`` and its folder ``pairwise``.
+
+    None if there is none, if it cannot be read or if it kept nothing.
+    """
+    base = directory.rstrip("/")
+    found = [p for d in (f"{base}/pairwise", base) for p in matching(spark, f"{d}/*second_round*.json")]
+    if not found:
+        return None
+    rows = spark.read.schema(schemas.AUDIT).option("multiLine", True).json(found)
     last = rows.select("final_model_ids", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("f"))
     row = last.orderBy(F.desc("t"), F.desc("f")).limit(1).collect()
     return list(row[0].final_model_ids) if row and row[0].final_model_ids and None not in row[0].final_model_ids else None

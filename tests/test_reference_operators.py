@@ -2,6 +2,7 @@
 
 import json
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -264,8 +265,47 @@ def test_verdict_log(spark, tmp_path):
 
 def test_audit_file(spark, tmp_path):
     row = spark.createDataFrame([(["model_1"], ["a"], {}, {}, "d", "{}")], schemas.AUDIT)
-    sinks.write_audit(row, str(tmp_path / "a"))
-    assert files.read_audit(spark, str(tmp_path / "a" / "part-*")) == ["a"]
+    assert files.read_audit(spark, str(tmp_path)) is None
+    assert sinks.write_audit(row, str(tmp_path / "pairwise")).endswith("/d_second_round.json")
+    assert files.read_audit(spark, str(tmp_path)) == ["a"]
+    (tmp_path / "x_second_round.json").write_text("{broken")
+    assert files.read_audit(spark, str(tmp_path)) is None
+
+
+def test_more_names_than_the_driver_holds(spark, monkeypatch):
+    monkeypatch.setattr(selection, "DEFAULTS", replace(selection.DEFAULTS, max_models=2))
+    ranked = spark.createDataFrame([(m, 0.5) for m in "abc"], "model string, win_rate double")
+    assert selection.resolve(ranked, top_k=2) == ["c", "b"]
+    with pytest.raises(ValueError, match="more than 2"):
+        selection.resolve(ranked, top_k=3)
+
+
+def test_gap_against_brute_force(spark):
+    """Every draw is the data in another order: log dispersions by plain sums over pairs of rows."""
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice("ab"), rnd.choice("xyz"), rnd.choice("pq")) for k in range(40)]
+    m = spark.createDataFrame(rows, "pos long, m1 string, m2 string, m3 string")
+    sigs = labels.signatures(m, ["m1", "m2", "m3"], ["pos"])
+    ks = [2, 3, 5]
+
+    def wk(ordered, k):
+        codes = np.array([[ord(x[0]) for x in r.sig] for r in ordered])
+        weights = np.array([r.w for r in ordered])
+        of = np.arange(len(ordered))
+        for a, b, _ in linkage.merges_of(codes, weights)[: max(0, len(ordered) - k)]:
+            of[of == b] = a
+        total = 0.0
+        for c in set(of):
+            i = np.flatnonzero(of == c)
+            d = (codes[i][:, None] != codes[i][None]).mean(2)
+            total += (d * weights[i][:, None] * weights[i]).sum() / (2 * weights[i].sum())
+        return np.log(total + 1e-10)
+
+    own = sigs.orderBy("sid").collect()
+    draws = [sigs.orderBy(F.xxhash64("sid", F.lit(2025 + r)), "sid").collect() for r in range(4)]
+    found = {r.k: r.gap for r in linkage.gap(sigs, ks, 3, draws=4).collect()}
+    for k in ks:
+        assert found[k] == pytest.approx(np.mean([wk(d, k) for d in draws]) - wk(own, k), abs=1e-6)
 
 
 def test_streaming_tally_equals_batch(spark, tmp_path):
