@@ -27,8 +27,9 @@ one.  The sets themselves are then compared.  A pair of likeness 0.8 can fail to
 the README gives the measured share.
 
 A group of many near copies would give the square of its size in pairs.  Each list first compares its
-members with one of them, its hub, chosen by ``HUBS`` different orders; then all pairs of a list that
-are not connected yet are compared, so every link counts that joins two components.
+members with one of them, its hub, chosen by ``HUBS`` different orders; then with the member that is in
+most lists, and with the one in fewest; then all pairs of a list that are not connected yet are
+compared, so every link counts that joins two components.
 """
 
 from __future__ import annotations
@@ -248,19 +249,30 @@ def _wide_links(rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float
     lists = Table(posts.join(hubs.df, "list"), "lists")
     hubs.drop()
     ends = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
-    starred = Table(lists.df.where("key != hub").select(*ends("key", "hub")).distinct(), "pairs")
-    edges = Table(_verified(starred.df, rows, nodes, shingle, likeness), "edges")
-    roots = components(edges.df).withColumnRenamed("node", "key")
-    placed = lists.df.join(roots, "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
-    # Lists of two members have met already; of longer ones those in more than one component are left.
-    left = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2")
-    left = Table(placed.join(left.select("list"), "list", "left_semi"), "left")
-    lists.drop()
-    apart = left.df.join(left.df.toDF("list", "key2", "root2"), "list").where("key < key2 AND root != root2")
-    rest = Table(apart.select(*ends("key", "key2")).distinct().join(starred.df, ["u", "v"], "left_anti"), "pairs")
-    left.drop()
-    starred.drop()
-    return edges.df.union(_verified(rest.df, rows, nodes, shingle, likeness))
+    met = [Table(lists.df.where("key != hub").select(*ends("key", "hub")).distinct(), "pairs")]
+    edges = [Table(_verified(met[0].df, rows, nodes, shingle, likeness), "edges")]
+    # Members in most lists are the middle of their group, those in fewest its rim: both are hubs once.
+    for order in (F.desc, F.asc, None):
+        roots = components(reduce(DataFrame.union, [x.df for x in edges])).withColumnRenamed("node", "key")
+        placed = lists.df.join(roots, "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
+        # Lists of two members have met already; of longer ones those in more than one component are left.
+        split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2")
+        left = Table(placed.join(split.select("list"), "list", "left_semi"), "left")
+        other = left.df.toDF("list", "key2", "root2")
+        if order:
+            often = left.df.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("often"))
+            rank = F.struct(F.col("often") if order is F.desc else -F.col("often"), "key2", "root2")
+            other = other.join(often, "key2").groupBy("list").agg(F.max(rank).alias("h")).select("list", "h.key2", "h.root2")
+            pairs = left.df.join(other, "list").where("root != root2")
+        else:
+            pairs = left.df.join(other, "list").where("key < key2 AND root != root2")
+        pairs = pairs.select(*ends("key", "key2")).distinct().join(reduce(DataFrame.union, [x.df for x in met]), ["u", "v"], "left_anti")
+        met.append(Table(pairs, "pairs"))
+        left.drop()
+        edges.append(Table(_verified(met[-1].df, rows, nodes, shingle, likeness), "edges"))
+    for x in (*met, lists):
+        x.drop()
+    return reduce(DataFrame.union, [x.df for x in edges])
 
 
 def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, likeness: float = LIKENESS, classes: int = CLASSES) -> DataFrame:
