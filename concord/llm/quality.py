@@ -6,7 +6,8 @@ lines' lengths, is a document's quality, and a logistic curve turns it into the
 
 Labels are known for documents only, so a document's lines are all learnt with its label; lines that
 occur in good and bad documents alike come out undecided.  The fit uses at most ``sample`` labelled
-documents, the first by a hash of their ids, and never one that is held out.
+documents, the first by a hash of their ids, of these only as many as have ``lines`` lines together,
+and never one that is held out.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_texts, free, others, sized, text_of
+from concord.llm.common import byte_texts, free, others, portions, sized, small_batches, text_of
 
-SAMPLE, FOLDS, THRESHOLD = 4000, 5, 0.3
+SAMPLE, LINES, FOLDS, THRESHOLD = 4000, 200_000, 5, 0.3
+#: Lines, padding included, that are worked on at once.
+CELLS = 262_144
 _UPPER, _DIGITS, _SYMBOLS = string.ascii_uppercase.encode(), string.digits.encode(), b"#*$%&|<>!{}[]\\^~=_@"
 _MARKS, _SPACE = b".,;:?'\"()-", b" \t\n\r\x0b\x0c"
 _ENDS = (b".", b"!", b"?", b":", b'"', b"'", b")", b"\xe2\x80\xa6", b"\xe2\x80\x9d", b"\xe3\x80\x82")
@@ -74,19 +77,18 @@ class Field:
     curve: tuple[float, float] = (1.0, 0.0)  # slope and offset of the logistic curve
 
     def marginals(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """Probability of good for every line of each document."""
-        order = sorted(range(len(rows)), key=lambda k: -len(rows[k]))
-        lengths = np.array([len(rows[k]) for k in order])
-        if not len(lengths) or not lengths[0]:
-            return [np.empty(0) for _ in rows]
-        own = np.zeros((len(order), lengths[0], 2))
-        flat = np.concatenate([rows[k] for k in order]) @ self.weights
-        at = np.arange(lengths[0]) < lengths[:, None]
-        own[..., 1][at] = flat
-        good = forward_backward(own, at, self.steps)[0][..., 1]
+        """Probability of good for every line of each document; documents of like length go together."""
         out: list[np.ndarray] = [np.empty(0)] * len(rows)
-        for place, k in enumerate(order):
-            out[k] = good[place, : lengths[place]]
+        order = sorted((k for k in range(len(rows)) if len(rows[k])), key=lambda k: -len(rows[k]))
+        while order:
+            part, order = order[: max(1, CELLS // len(rows[order[0]]))], order[max(1, CELLS // len(rows[order[0]])) :]
+            lengths = np.array([len(rows[k]) for k in part])
+            own = np.zeros((len(part), lengths[0], 2))
+            at = np.arange(lengths[0]) < lengths[:, None]
+            own[..., 1][at] = np.concatenate([rows[k] for k in part]) @ self.weights
+            good = forward_backward(own, at, self.steps)[0][..., 1]
+            for place, k in enumerate(part):
+                out[k] = good[place, : lengths[place]]
         return out
 
 
@@ -152,10 +154,11 @@ def held_out(key: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field | None:
-    """A field fitted to at most ``sample`` labelled documents; None if both labels are not there.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, lines: int = LINES) -> Field | None:
+    """A field fitted to at most ``sample`` labelled documents and ``lines`` lines; None if both labels are not there.
 
-    The sample is the first by hash of the id.  Only features of its lines come to the driver.
+    The sample is the first by hash of the id, without documents that have a twentieth of ``lines`` or
+    more; of texts that share an id the one with the least hash.  Only features of its lines come to the driver.
     """
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y"))
     known = known.where("id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -169,7 +172,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x, n = (pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1))
             yield pa.record_batch([b.column(0), b.column(1), x, n], names=["id", "y", "x", "n"])
 
-    found = texts.join(F.broadcast(chosen), "id").select("id", "y", "t").mapInArrow(run, "id long, y int, x binary, n binary").toPandas()
+    own = texts.join(F.broadcast(chosen), "id").withColumns({"n": F.regexp_count("t", F.lit("\n")) + 1, "h": F.xxhash64("t")}).where(F.col("n") < max(2, lines // 20))
+    first = own.groupBy("id", "y").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n"))
+    # At most ``sample`` rows of numbers meet in one task.
+    held = first.withColumn("before", F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("before") <= lines)
+    chosen_rows = own.join(F.broadcast(held.select("id", "h")), ["id", "h"]).dropDuplicates(["id"])
+    found = chosen_rows.select("id", "y", "t").mapInArrow(run, "id long, y int, x binary, n binary").toPandas()
     found = found.sort_values(["id", "x"], kind="stable")
     width = 3 * OWN + 2
     rows = [np.frombuffer(x, np.float32).reshape(-1, width).astype(np.float64) for x in found["x"]]
@@ -220,13 +228,14 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     out and are never learnt from; repeated rows get equal scores.  Without labels of both kinds
     every text with a word scores 1.
     """
+    small_batches(docs.sparkSession)
     field = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col, sample))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             raw = [t.encode() for t in texts]
-            yield pd.Series(np.concatenate([score_texts(field.value, raw[k : k + 256]) for k in range(0, len(raw), 256)] or [np.empty(0)]))
+            yield pd.Series(np.concatenate([score_texts(field.value, part) for part in portions(raw, 256)] or [np.empty(0)]))
 
     names = [f"_{k}" for k in range(len(docs.columns))]
     own = dict(zip(docs.columns, names))
