@@ -15,10 +15,15 @@ SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as boilerplate.
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
-    "enable javascript", "click here", "sign in", "log in", "subscribe to", "share this", "back to top", "skip to content",
+    "enable javascript", "click here", "sign in to", "log in to", "subscribe to our", "share this", "back to top", "skip to content",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "zum seitenanfang",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions d.utilisation", "cliquez ici", "haut de page",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "términos de uso", "haga clic aquí", "volver arriba",
 )
 #: What a line of prose ends with.
-ENDS = r"[.!?…:;,)\]\"'”’»。！？]$"
+ENDS = r"[.!?…:;,)\]\"'”’»。！？]\z"
+#: A stock phrase as whole words.
+STOCK = rf"(?:^|[^\p{{L}}])(?:{'|'.join(BOILERPLATE)})(?:[^\p{{L}}]|\z)"
 #: Parts of a line that hold a decorated word, such as ``word***`` or ``WORD!!``.
 DECORATED = r"[^\x20\x09-\x0D](?:[#*$%&<>]{2,}|!{2,})(?=[\x20\x09-\x0D]|$)"
 SEPARATOR = r"(?:^|[\x20\x09-\x0D])[|>»·•](?=[\x20\x09-\x0D]|$)"
@@ -39,7 +44,7 @@ def line_fails(line: Column, words: Column, min_words: int = 3) -> Column:
     bare = (words < min_words) & ~line.rlike(ENDS)
     decorated = F.regexp_count(line, F.lit(DECORATED)) * 5 >= words
     menu = F.regexp_count(line, F.lit(SEPARATOR)) * 6 >= words
-    stock = (words <= 20) & F.lower(line).rlike("|".join(BOILERPLATE))
+    stock = (words <= 20) & F.lower(line).rlike(STOCK)
     return bare | decorated | menu | stock
 
 
@@ -131,7 +136,7 @@ def rules_sql() -> str:
                    (len(lw) < 3 AND NOT regexp_matches(l, '{ENDS.replace("'", "''")}'))
                    OR len(list_filter(lw, lambda x: regexp_matches(x, '(?s).([#*$%&<>]{{2,}}|!{{2,}})$'))) * 5 >= len(lw)
                    OR len(list_filter(lw, lambda x: x IN ('|', '>', '»', '·', '•'))) * 6 >= len(lw)
-                   OR (len(lw) <= 20 AND regexp_matches(lower(l), '{"|".join(BOILERPLATE)}')) AS fails
+                   OR (len(lw) <= 20 AND regexp_matches(lower(l), '{STOCK}')) AS fails
             FROM line WHERE len(lw) > 0
         ), by_line AS (
             SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE NOT fails), 0) AS good FROM judged GROUP BY doc_id
