@@ -24,6 +24,7 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -163,9 +164,7 @@ class Transducer:
         yield from merged(held, self.model.ranks, self.model.made)
 
     def word(self, symbols: list[int]) -> list[int]:
-        """A whole word, which the window may hold at once."""
-        if len(symbols) < self.window:
-            return merged(symbols, self.model.ranks, self.model.made)
+        """A whole word; nothing of it comes out before the window is full or it is over."""
         return [*self.feed(symbols), *self.finish()]
 
 
@@ -204,9 +203,9 @@ class Decoder:
 
 
 class Codec:
-    """Encodes and decodes texts; remembers up to ``keep`` recent words."""
+    """Encodes and decodes texts; remembers recent words, up to ``keep`` characters of words and ids."""
 
-    def __init__(self, model: Model, keep: int = 300_000, chunk: int = 65_536):
+    def __init__(self, model: Model, keep: int = 16_000_000, chunk: int = 65_536):
         self.model, self.keep, self.chunk = model, keep, chunk
         self.split = regex.compile(model.pattern.replace(r"\s", _BLANK))
         self.specials = regex.compile("|".join(map(regex.escape, model.added)) or r"(?!)")
@@ -214,7 +213,7 @@ class Codec:
         self.last = [model.ids[c + model.suffix] for c in _SHOWN]
         self.names = list(map(str, range(len(model.tokens))))
         self.transducer = Transducer(model)
-        self.words: dict[str, tuple[str, str]] = _Recent(self._word)
+        self.words: dict[str, tuple[str, list[int]]] = _Recent(self._word)
         self.pieces: dict[str, list[int]] = _Recent(self._piece)
 
     def _piece(self, piece: str) -> list[int]:
@@ -223,29 +222,30 @@ class Codec:
         symbols[-1] = self.last[raw[-1]]
         return self.transducer.word(symbols)
 
-    def _word(self, word: str) -> tuple[str, str]:
+    def _word(self, word: str) -> tuple[str, list[int]]:
         pieces = self.split.findall(word)
         ids = self.pieces[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in self.pieces[p]]
         return self._shown(ids)
 
-    def _shown(self, ids: list[int]) -> tuple[str, str]:
-        return " ".join(map(self.names.__getitem__, ids)), Decoder(self.model).run(ids)
+    def _shown(self, ids: list[int]) -> tuple[str, list[int]]:
+        return " ".join(map(self.names.__getitem__, ids)), ids
 
     def _clean(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         # One letter's lower case depends on its neighbours in str.lower(); here no letter's may.
         return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
-    def parts(self, text: str) -> Iterator[list[tuple[str, str]]]:
-        """Chunks of ``(ids, decoded)`` per word, in order; both are joined by one blank."""
+    def parts(self, text: str) -> Iterator[list[tuple[str, list[int]]]]:
+        """Chunks of ``(ids joined by one blank, ids)`` per word, in order."""
         at, cuts = 0, list(self.specials.finditer(text)) if "<|" in text else []
         for cut in [*cuts, None]:
             clean = self._clean(text[at : cut.start() if cut else None])
             words = _WORDS.findall(clean) if _ODD.search(clean) else clean.split()
             for k in range(0, len(words), self.chunk):
                 for memory in (self.words, self.pieces):
-                    if len(memory) > self.keep:
+                    if memory.held > self.keep:
                         memory.clear()
+                        memory.held = 0
                 yield list(map(self.words.__getitem__, words[k : k + self.chunk]))
             if cut:
                 at = cut.end()
@@ -253,35 +253,38 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a text."""
-        return [int(i) for chunk in self.parts(text) for ids, _ in chunk for i in ids.split()]
+        return [i for chunk in self.parts(text) for _, ids in chunk for i in ids]
 
     def decode(self, ids: Iterable[int], spaced: bool = True) -> str:
         """Text of token ids."""
         return Decoder(self.model, spaced).run(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, and SHA-256 of the ids and of the decoded text, without holding either."""
-        ids, decoded, n, blank = hashlib.sha256(), hashlib.sha256(), 0, ""
+        """Number of tokens, and SHA-256 of the ids and of the text that the decoder makes of them, without holding either."""
+        ids, decoded, n, blank, decoder = hashlib.sha256(), hashlib.sha256(), 0, "", Decoder(self.model)
         for chunk in self.parts(text):
             if not chunk:
                 continue
-            a, b = map(" ".join, zip(*chunk))
-            n += a.count(" ") + 1
-            ids.update((blank + a).encode())
-            decoded.update((blank + b).encode())
+            own = list(chain.from_iterable(x for _, x in chunk))
+            n += len(own)
+            ids.update((blank + " ".join([x for x, _ in chunk])).encode())
+            decoded.update(decoder.run(own).encode())
             blank = " "
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
 class _Recent(dict):
-    """Computes what is missing."""
+    """Computes what is missing and keeps it if the word is not long; ``held`` counts what is kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, longest: int = 200):
         super().__init__()
-        self.make = make
+        self.make, self.longest, self.held = make, longest, 0
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = value
+            self.held += len(key) + 50
         return value
 
 

@@ -103,3 +103,25 @@ def test_clashing_columns_come_back(docs):
     cut = linededup.cleaned(docs)
     assert cut.columns == docs.columns and {r.cut for r in cut.select("cut").collect()} == {"cut"}
     assert out.select(F.col("t")).distinct().collect()[0].t == "t"
+
+
+def test_every_operator_that_returns_its_input_keeps_clashing_columns(spark, docs, labels):
+    kept = {
+        "quality": quality.filtered(docs, labels), "mixed": mixing.mixed(docs), "near": simhash.representatives(docs), "rules": rules.filtered(docs, min_words=1),
+        "lines": linededup.cleaned(docs),
+    }
+    for out in kept.values():
+        assert out.columns == docs.columns and out.count() > 0
+        assert {tuple(r) for r in out.select("id", "t", "fp", "_0").collect()} == {(9, "t", "fp", "_0")}
+    judged, read = quality.scored(docs, labels, out="fp"), extract.extracted(docs, "text", out="cut")
+    assert sorted(judged.columns) == sorted(docs.columns) and sorted(read.columns) == sorted(docs.columns)
+    left = kept["near"].select("doc_id", "text").collect()
+    assert len({r.text for r in left if r.text and r.text.strip()}) == 3 and len(left) == 4
+
+
+def test_phrases_are_whole_words(spark):
+    lines = ["A new design in the spring was shown.", "There was a long dialog in the hall today.", "They subscribe to reason and nothing else."]
+    stock = ["Please sign in to go on reading this.", "Bitte alle Cookies akzeptieren, danke sehr.", "Tous droits réservés, bien entendu, ici."]
+    frame = spark.createDataFrame([(x, len(x.split())) for x in lines + stock], "l string, n int")
+    got = frame.select("l", rules.line_fails(F.col("l"), F.col("n")).alias("bad")).collect()
+    assert [r.l for r in got if r.bad] == stock

@@ -55,6 +55,50 @@ def test_quality_on_held_out_documents(spark):
     assert right[1] >= 0.97 and right[0] >= 0.8
 
 
+def scored_by_hand(field, text):
+    """One document, line by line: sums over paths in plain numbers, scaled at each line."""
+    rows, sizes = quality.line_features(text.encode())
+    if not len(rows):
+        return 0.0
+    local = [(1.0, float(np.exp(x @ field.weights))) for x in rows]
+    step = np.exp(field.steps)
+    ahead, back = [], [(1.0, 1.0)]
+    for k, e in enumerate(local):
+        f = [e[y] * (1.0 if k == 0 else sum(ahead[-1][x] * step[x, y] for x in (0, 1))) for y in (0, 1)]
+        ahead.append([v / sum(f) for v in f])
+    for e in reversed(local[1:]):
+        b = [sum(step[x, y] * e[y] * back[-1][y] for y in (0, 1)) for x in (0, 1)]
+        back.append([v / sum(b) for v in b])
+    both = [[f * b for f, b in zip(x, y)] for x, y in zip(ahead, reversed(back))]
+    mean = sum(g / (h + g) * n for (h, g), n in zip(both, sizes)) / sizes.sum()
+    p = min(max(mean, 1e-4), 1 - 1e-4)
+    return 1 / (1 + np.exp(-(field.curve[0] * np.log(p / (1 - p)) + field.curve[1])))
+
+
+def test_quality_query_against_plain_sums(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.learn(docs, labels)
+    got = {r.doc_id: r for r in queries.QUERIES["op1_quality"](spark, SF).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        want = scored_by_hand(field, r.text or "")
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-6) and got[r.doc_id].predicted == int(want >= 0.3)
+
+
+def test_long_and_repeated_documents_are_bounded(spark):
+    field = quality.Field(np.zeros(3 * quality.OWN + 2), np.zeros((2, 2)))
+    long = ("x " * 3 + "\n") * 30_000
+    texts = [long.encode()] + [b"a b c"] * 255
+    assert np.allclose(quality.score_texts(field, texts), 0.5)
+    docs = table(spark, ["good line here.\nmore good text."] * 20 + ["!!! ***\n$$$ ###"] * 20 + ["x\n" * 500])
+    ids = [k for k in range(41) if k % 2] + [40]
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in ids], "doc_id long, quality int")
+    again = docs.union(docs).union(docs)
+    one, two = quality.learn(docs, labels, lines=1000), quality.learn(again, labels, lines=1000)
+    assert np.allclose(one.weights, two.weights)
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(1)
     own, steps = rng.normal(size=(1, 4, 2)), rng.normal(size=(2, 2))
@@ -142,6 +186,33 @@ def test_network_gradient_and_accuracy():
     assert wrong / total < 0.01
 
 
+def probabilities_by_hand(net, blocks):
+    """One page, block by block and gate by gate."""
+    tags, words, counts = extract.encode(blocks)
+    mean = lambda t, rows: net.p[t][rows].mean(0) if len(rows) else np.zeros(net.p[t].shape[1])
+    xs = [np.concatenate([mean("tags", t), mean("words", w), c]) for t, w, c in zip(tags, words, counts)]
+    sides = []
+    for way, order in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+        h, c, own = np.zeros(extract.HIDDEN), np.zeros(extract.HIDDEN), {}
+        for k in order:
+            i, f, o, g = np.split(xs[k] @ net.p[f"{way}x"] + net.p[f"{way}b"] + h @ net.p[f"{way}h"], 4)
+            i, f, o = (1 / (1 + np.exp(-z)) for z in (i, f, o))
+            c = f * c + i * np.tanh(g)
+            h = o * np.tanh(c)
+            own[k] = h
+        sides.append(own)
+    return [1 / (1 + np.exp(-(np.concatenate([sides[0][k], sides[1][k]]) @ net.p["out"] + x @ net.p["skip"] + net.p["bias"][0]))) for k, x in enumerate(xs)]
+
+
+def test_extraction_query_against_single_pages(spark):
+    net, rows = extract.trained(), spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in queries.QUERIES["op2_extract"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        found = extract.blocks(r.html or "")
+        assert got[r.page_id] == "\n".join(b.text for b, p in zip(found, probabilities_by_hand(net, found)) if p >= 0.5)
+
+
 def test_pages_give_their_articles(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").toPandas()
     got = extract.main_text(extract.trained(), list(rows.html))
@@ -263,6 +334,25 @@ def test_bpe_equals_the_library(spark, both):
         assert digest == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
+def test_encoded_arrays(spark, both):
+    import public_tokenizers
+
+    _, library = both
+    texts = [*TRICKY, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.ids for r in bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    assert got == {k: library.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
+def test_recent_words_are_bounded(both):
+    codec = bpe.Codec(both[0].model, keep=20_000)
+    rnd = random.Random(8)
+    for _ in range(40):
+        list(codec.parts(" ".join("".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(300))))
+    list(codec.parts("z" * 100_000))
+    assert codec.words.held < 60_000 and max(map(len, codec.words), default=0) <= 200
+
+
 def test_transducer_holds_a_bounded_window(both):
     codec, _ = both
     rnd, t = random.Random(6), bpe.Transducer(codec.model)
