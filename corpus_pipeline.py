@@ -17,29 +17,36 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null and empty texts are rejected, repeated rows fare alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.filtered(docs.select(COLUMNS), labels)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go from the texts; a text may end up empty."""
+    """Later occurrences of three-line windows go from the texts; a text may end up empty, a null one does.
+
+    Rows of equal id and text count as one occurrence; a null id is later than any other.
+    """
     out = linededup.cleaned(docs.select(COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, likeness 0.8) the document with the least id stays."""
+    """Of each group of near copies (five-word shingles, likeness 0.8) the document with the least id stays.
+
+    Null, empty and blank texts are one group.  Of rows with the least id that of the least hash stays,
+    once; of groups without any id one row of each text.
+    """
     return simhash.representatives(docs.select(COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: those without a word never, equal rows as evenly as it goes; a null source is the last."""
     return mixing.mixed(docs.select(COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document in the mix."""
+    """Token counts and digests of every document in the mix, a row for each copy; a null text has no token."""
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
