@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from concord.llm.common import byte_texts, sized, text_of
+from concord.llm.common import byte_texts, sized, small_batches, text_of
 
 #: White space as the tokenizer's patterns see it; str.split() would also split at U+001C to U+001F.
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -306,6 +306,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     ``tokenizer`` is a file's path on the driver; its content (1.7 MB) travels with the tasks, so
     executors need no such file.  Ids may be null or repeat; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -322,6 +323,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and the token ids as an array, for training; nulls as in ``digests``."""
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_texts, free, others, sized
+from concord.llm.common import byte_texts, free, others, sized, small_batches
 
 WINDOW = 3
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -73,6 +73,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of windows meet in a shuffle.  A window that very many documents share is one row per map task
     after partial aggregation, and the join back to its occurrences is one that AQE can split.
     """
+    small_batches(docs.sparkSession)
     names = [f"_{k}" for k in range(len(docs.columns))]
     kept = docs.toDF(*names)
     own = dict(zip(docs.columns, names))

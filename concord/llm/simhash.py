@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import Table, byte_texts, sized, text_of
+from concord.llm.common import Table, byte_texts, sized, small_batches, text_of
 from concord.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -144,6 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one node.  A null id is kept and gets its component's least id (null if the component has
     none); null texts count as empty; other columns are ignored; repeated rows repeat.
     """
+    small_batches(docs.sparkSession)
     prints = Table(with_fingerprint(docs, id_col, text_col), "prints")
     nodes = Table(prints.df.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     found = components(links(nodes.df.select("fp"), long_list))
@@ -282,6 +283,7 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     ``near_duplicates``; a text of fewer words than a shingle is one shingle.  Texts with equal sets
     of shingles are one node, so copies always meet.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("t"))
     rows = rows.select("id", F.xxhash64("t").alias("tag"), "t")
 

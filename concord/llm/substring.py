@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import SPACE, Table, byte_texts, sized, text_of
+from concord.llm.common import SPACE, Table, byte_texts, sized, small_batches, text_of
 
 WINDOW = 13
 MIN_LOG_CELLS, MAX_LOG_CELLS, PASSES, SHARDS, HEAVY = 16, 29, 4, 64, 65_536
@@ -273,6 +273,7 @@ def dedup_substrings(
     on the input.  A null or empty text has no words; a null id counts as larger than any other;
     rows that share an id are not compared with each other; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     t = text_of(docs, text_col)
     rows = docs.select(docs[id_col].cast("long").alias("id"), t.alias("t")).withColumn("tag", F.xxhash64("t").bitwiseAND(F.lit(0x7FFFFFFF)))
     windows = int(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // 6
