@@ -55,3 +55,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     stars = now.df
     roots = stars.select(F.col("v").alias("node")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+
+
+def least_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``(key, component_id)`` of every node ``(key, first)``: the least ``first`` of its component in ``found(node, root)``."""
+    rooted = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(least, "root").select("key", "component_id")

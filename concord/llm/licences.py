@@ -230,7 +230,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def scan_sql() -> str:
     """The scan over ``documents`` in DuckDB's SQL."""
-    known = ", ".join(f"('{v}', '{k}')" for k, v in SENTENCES.items())
+    known = ", ".join(f"('{sentence}', '{name}')" for sentence, name in SENTENCES.items())
     # What is left of the sequence, a mark, and the licences so far go through the rules as one string.
     rules = ", ".join(f"'{_sequence(seq)}~{name}'" for name, seq in RULES)
     left, rule = "split_part(a, '~', 1)", "split_part(x, '~', 1)"

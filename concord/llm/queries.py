@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, extract, licences, linededup, minhash, mixing, quality, rules, simhash, substring
+from concord.llm import bpe, embeddings, extract, licences, linededup, minhash, mixing, phrases, quality, rules, simhash, spelling, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,6 +79,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants: every word with its form, its root and how many words are near."""
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations: each language's best phrases of two to five words."""
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding near-dedup: every vector's links and component."""
+    return embeddings.near_vectors(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_extract": op2_extract,
@@ -90,10 +105,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_linededup": op9_linededup,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_phrases": op12_phrases,
+    "op13_embeddings": op13_embeddings,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_rules": rules.rules_sql(),
     "op7_licences": licences.scan_sql(),
+    "op12_phrases": phrases.collocations_sql(),
+    "op13_embeddings": embeddings.near_vectors_sql(),
     "op6_substring": r"""
         WITH word AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

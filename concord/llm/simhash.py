@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.common import Table, byte_texts, sized, small_batches, text_of
-from concord.llm.components import components
+from concord.llm.components import components, least_ids
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Blocks of four of the eight positions: those whose numbers have an exclusive or of 0.
@@ -148,19 +148,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = Table(with_fingerprint(docs, id_col, text_col), "prints")
     nodes = Table(prints.df.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     found = components(links(nodes.df.select("fp"), long_list))
-    by_print = Table(_rooted(nodes.df.select(F.col("fp").alias("key"), "first"), found), "roots")
+    by_print = Table(least_ids(nodes.df.select(F.col("fp").alias("key"), "first"), found), "roots")
     nodes.drop()
     # The side with one row per fingerprint is small beside the documents but grows with them: no broadcast hint.
     return prints.df.join(by_print.df.withColumnRenamed("key", "fp"), "fp").select("id", "tag", "fp", "component_id")
 
 
-def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """``(key, component_id)`` of every node ``(key, first)``: the least ``first`` of its component."""
-    rooted = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("key", "component_id")
-
-
 def shingles(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     """Sorted hashes of a text's different shingles."""
     return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in _grams(text, shingle)], dtype="<u8"))
@@ -300,7 +293,7 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     nodes = prints.df.groupBy("key").agg(least.alias("m"), F.min("wide").alias("wide"))
     nodes = Table(nodes.select("key", F.col("m.id").alias("first"), F.col("m.tag").alias("tag"), "wide"), "nodes")
     found = components(_wide_links(rows, nodes.df, shingle, likeness, classes))
-    by_key = Table(_rooted(nodes.df.select("key", "first"), found), "roots")
+    by_key = Table(least_ids(nodes.df.select("key", "first"), found), "roots")
     nodes.drop()
     return prints.df.select("id", "tag", "key").join(by_key.df, "key").select("id", "tag", "component_id")
 
