@@ -112,6 +112,8 @@ def filtered(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that are kept, with only their good lines."""
     name = free(docs.columns, "rules")
     out = measured(docs, text_col, out=name, **options)
+    # A condition is not pushed below what makes rows, so the counts are made once, above all steps that they refer to.
+    out = out.select(*others(out.columns, name), F.explode(F.array(name)).alias(name))
     return out.where(out[name]["kept"]).select(*[out[name]["clean"].alias(c) if c == text_col else out[c] for c in docs.columns])
 
 

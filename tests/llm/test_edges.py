@@ -1,5 +1,7 @@
 """Every operator and stage on nulls, empty and long texts, ties, repeats, clashing columns and empty tables."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,16 @@ def test_every_operator_that_returns_its_input_keeps_clashing_columns(spark, doc
     assert len({r.text for r in left if r.text and r.text.strip()}) == 3 and len(left) == 4
 
 
+def test_long_texts_are_filtered_in_little_time(spark):
+    rows = [(k, " ".join(f"word{j % (900 + k)}" for j in range(20_000))) for k in range(4)] + [(9, ("a b c d e f g. " * 40 + "\n") * 3 + "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    assert rules.filtered(docs).count() == 0 and rules.filtered(docs, min_words=1).collect() == []
+    prose = spark.createDataFrame([(1, ". ".join(f"One{j} two{j} three{j} four{j}" for j in range(5_000)) + ".\nmenu"), (2, None)], "doc_id long, text string")
+    kept = rules.filtered(prose).collect()
+    assert [r.doc_id for r in kept] == [1] and kept[0].text.endswith("four4999.") and time.time() - start < 60
+
+
 def test_phrases_are_whole_words(spark):
     lines = ["A new design in the spring was shown.", "There was a long dialog in the hall today.", "They subscribe to reason and nothing else."]
     stock = ["Please sign in to go on reading this.", "Bitte alle Cookies akzeptieren, danke sehr.", "Tous droits réservés, bien entendu, ici."]
