@@ -13,8 +13,11 @@ class Defaults:
     summary_rows: int = 20
     reference_draws: int = 10
     reference_image: str = "he.png"
-    #: Distinct signatures that one linkage task may hold (a dense half matrix of them).
-    max_signatures: int = 6000
+    #: Clusters that one task links or cuts; more of them are first merged in distributed rounds.
+    local_clusters: int = 1024
+    #: Rows that silhouette and gap look at, where a sample is asked for, and its seed.
+    sample_rows: int = 5000
+    sample_seed: int = 2025
     #: Competitors whose names the driver may hold.
     max_models: int = 10_000
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from concord.config import DEFAULTS
 from concord.functions.text import normalized_name
+from concord.sources.tables import in_order, stored
 
 
 def collisions(names: DataFrame, col: str = "name") -> DataFrame:
@@ -38,55 +41,64 @@ def label_column(df: DataFrame, id_col: str, ground_truth: str | None = None) ->
 
 
 def align(frames: dict[str, DataFrame], pos: str = "pos") -> DataFrame:
-    """``id, pos`` of the first frame and one label column per model, by left joins on the first column.
+    """``id, pos`` of the first frame and one label column per model, matched on the first column.
 
     Frames must have as many rows as the first and no id twice; ids that the first lacks are dropped
-    and ids that another lacks get null.
+    and ids that another lacks get null.  A missing id is matched like any other.
+
+    All frames meet in one aggregation by id, however many they are, and what the errors depend on
+    is observed on its way to a table.
     """
-    (first, base), *rest = frames.items()
-    counts = {}
-    for name, df in frames.items():
-        n, distinct, filled = df.agg(F.count(F.lit(1)), F.count_distinct(df.columns[0]), F.count(df.columns[0])).first()
-        if distinct != filled or n - filled > 1:
+    names, parts = list(frames), []
+    for k, (name, df) in enumerate(frames.items()):
+        own = df.drop(pos)
+        label = F.col(f"`{label_column(own, own.columns[0])}`")
+        place = F.col(pos) if k == 0 else F.lit(None)
+        parts.append(df.select(F.col(f"`{own.columns[0]}`").alias("id"), F.lit(k).alias("_of"), place.alias("_pos"), label.alias(f"_label{k}")))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    each = [x for k in range(len(names)) for x in (F.max(f"_label{k}").alias(f"_label{k}"), F.count(F.when(F.col("_of") == k, 1)).alias(f"_n{k}"))]
+    seen = Observation()
+    sums = [x for k in range(len(names)) for x in (F.sum(f"_n{k}").alias(f"rows{k}"), F.max(f"_n{k}").alias(f"most{k}"))]
+    met = stored(rows.groupBy("id").agg(F.max("_pos").alias(pos), *each).observe(seen, *sums))
+    counts = {name: seen.get[f"rows{k}"] or 0 for k, name in enumerate(names)}
+    for k, name in enumerate(names):
+        if (seen.get[f"most{k}"] or 0) > 1:
             raise ValueError(f"{name}: ids repeat")
-        counts[name] = n
     if len(set(counts.values())) > 1:
         raise ValueError(f"row counts differ: {counts}")
-    out = base.select(F.col(base.columns[0]).alias("id"), pos, F.col(label_column(base.drop(pos), base.columns[0])).alias(first))
-    for name, df in rest:
-        own = df.drop(pos)
-        side = own.select(F.col(own.columns[0]).alias("id"), F.col(label_column(own, own.columns[0])).alias(name))
-        out = out.join(side, "id", "left")
-    return out
+    return met.where("_n0 > 0").select("id", pos, *[F.col(f"_label{k}").alias(name) for k, name in enumerate(names)])
 
 
 def recoded(df: DataFrame, label: str, out: str = "code") -> DataFrame:
     """``df`` with codes of a label column in its order, from 0; missing is -1.
 
-    Only the distinct labels are numbered in one task; the rows get their codes by a join.
+    Only the distinct labels are numbered, by ranges; the rows get their codes by a join.
     """
     codes = df.select(F.col(label).alias("_label")).where("_label IS NOT NULL").distinct()
-    codes = codes.withColumn("_code", (F.row_number().over(Window.orderBy("_label")) - 1).cast("int"))
+    codes = in_order(codes, [F.col("_label")], "_code").withColumn("_code", F.col("_code").cast("int"))
     return df.join(codes, F.col(label) == F.col("_label"), "left").withColumn(out, F.coalesce("_code", F.lit(-1))).drop("_label", "_code")
 
 
-def signatures(matrix: DataFrame, models: list[str], first: list[str], limit: int = DEFAULTS.max_signatures) -> DataFrame:
-    """One row per distinct label tuple: ``sid, sig (array), w`` (rows) in order of first occurrence.
+def bottom_rows(matrix: DataFrame, keys: list[str], size: int, seed: int = DEFAULTS.sample_seed) -> DataFrame:
+    """A sample of ``size`` rows, or all if there are fewer: those whose keys have the least hashes.
+
+    Each task keeps the least of its own and these are merged, so any partitioning gives the same rows;
+    rows that share their keys also share their hash and are taken in the order of their values.
+    """
+    digest = F.md5(F.concat_ws("_", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    return matrix.orderBy(digest, *matrix.columns).limit(size)
 
-    The matrix is read once: the tuples, of which more than ``limit`` are an error, come back as a
-    table of the driver's, for all that follows.
+
+def signatures(matrix: DataFrame, models: list[str], first: list[str]) -> DataFrame:
+    """One row per distinct label tuple: ``sid, sig (array), w`` (rows) in order of first occurrence.
 
     Rows with one tuple are at distance 0 and at equal distance to all others, so clustering needs
     only tuples and their weights.  ``first`` are the columns that order the rows; tuples whose first
-    rows are equal in these go by value.
+    rows are equal in these go by value.  The matrix is read once; the tuples are numbered by ranges.
     """
-    sig = F.array(*[F.col(m).cast("string") for m in models])
-    grouped = matrix.groupBy(sig.alias("sig")).agg(F.count(F.lit(1)).alias("w"), F.min(F.struct(*first)).alias("first")).limit(limit + 1)
-    numbered = grouped.select((F.row_number().over(Window.orderBy("first", "sig")) - 1).cast("long").alias("sid"), "sig", "w")
-    rows = numbered.collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct label tuples")
-    return matrix.sparkSession.createDataFrame([(r.sid, r.sig, r.w) for r in rows], "sid long, sig array<string>, w long")
+    sig = F.array(*[F.col(f"`{m}`").cast("string") for m in models])
+    grouped = matrix.groupBy(sig.alias("sig")).agg(F.count(F.lit(1)).alias("w"), F.min(F.struct(*first)).alias("first"))
+    return in_order(grouped, [F.col("first"), F.col("sig")], "sid").select("sid", "sig", "w")
 
 
 def disagreement(a: Column, b: Column) -> Column:
@@ -94,12 +106,28 @@ def disagreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
 
 
-def coassociation(sigs: DataFrame) -> DataFrame:
-    """``i, j, wi, wj, disagree, distance`` for signatures i < j."""
+def coassociation(sigs: DataFrame, shared: int = 0) -> DataFrame:
+    """``i, j, wi, wj, disagree, distance`` for signatures i < j that share ``shared`` labels or more.
+
+    With ``shared`` above 0 only those meet that have one of their rarest labels in common: of M labels
+    in one order of rarity, two tuples that share t have one of the first M - t + 1 of each in common.
+    With 0 the result is every pair, by definition.
+    """
+    d = disagreement(F.col("si"), F.col("sj"))
     a = sigs.select(F.col("sid").alias("i"), F.col("sig").alias("si"), F.col("w").alias("wi"))
     b = sigs.select(F.col("sid").alias("j"), F.col("sig").alias("sj"), F.col("w").alias("wj"))
-    d = disagreement(F.col("si"), F.col("sj"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", "wi", "wj", d.alias("disagree"), (d / F.size("si")).alias("distance"))
+    if shared < 1:
+        met = a.join(b, F.col("i") < F.col("j"))
+    else:
+        cells = sigs.select("sid", F.size("sig").alias("models"), F.posexplode("sig").alias("m", "label"))
+        often = cells.groupBy(F.col("m").alias("m2"), F.col("label").alias("label2")).agg(F.count(F.lit(1)).alias("often"))
+        place = F.row_number().over(Window.partitionBy("sid").orderBy("often", "m"))
+        known = cells.join(often, (F.col("m") == F.col("m2")) & F.col("label").eqNullSafe(F.col("label2"))).withColumn("place", place)
+        posts = stored(known.where((F.col("place") <= F.col("models") - shared + 1) & (F.col("often") > 1)).select("sid", "m", "label"))
+        other = posts.toDF("j", "m2", "label2")
+        pairs = posts.withColumnRenamed("sid", "i").join(other, (F.col("m") == F.col("m2")) & F.col("label").eqNullSafe(F.col("label2")) & (F.col("i") < F.col("j")))
+        met = pairs.select("i", "j").distinct().join(a, "i").join(b, "j").where(d <= F.size("si") - shared)
+    return met.select("i", "j", "wi", "wj", d.alias("disagree"), (d / F.size("si")).alias("distance"))
 
 
 def k_counts(matrix: DataFrame, models: list[str]) -> DataFrame:

@@ -430,11 +430,70 @@ def wk_by_k(spark, sf_dir):
     return linkage.dispersion(sigs, cuts, 3)
 
 
-@query()
+#: The signatures in their own order (draw 0) and in ten others, and every draw's tree down to two clusters in one recursion.
+_DRAWS_SQL = """
+    dsig AS MATERIALIZED (
+        SELECT 0 AS draw, sid, m1, m2, m3, w FROM sig
+        UNION ALL SELECT d, row_number() OVER (PARTITION BY d ORDER BY md5((2024 + d)::VARCHAR || '_' || sid::VARCHAR), sid) - 1, m1, m2, m3, w FROM sig CROSS JOIN (SELECT unnest(range(1, 11)) AS d)),
+    dpair AS MATERIALIZED (
+        SELECT a.draw, a.sid AS i, b.sid AS j, a.w AS wi, b.w AS wj,
+               ((a.m1 IS DISTINCT FROM b.m1)::INT + (a.m2 IS DISTINCT FROM b.m2)::INT + (a.m3 IS DISTINCT FROM b.m3)::INT) AS disagree
+        FROM dsig a JOIN dsig b ON a.draw = b.draw AND a.sid < b.sid),
+    dstep(n, draw, kind, a, b, v) AS (
+        SELECT 0, draw::BIGINT, 'p', i::BIGINT, j::BIGINT, (wi * wj * disagree)::DOUBLE FROM dpair
+        UNION ALL SELECT 0, draw::BIGINT, 'm', sid::BIGINT, sid::BIGINT, w::DOUBLE FROM dsig
+        UNION ALL (
+            WITH size AS (SELECT draw, b AS c, sum(v) AS s FROM dstep WHERE kind = 'm' GROUP BY draw, b),
+            best AS (SELECT draw, x, y FROM (
+                SELECT p.draw, p.a AS x, p.b AS y, row_number() OVER (PARTITION BY p.draw ORDER BY p.v / (g.s * h.s), p.a, p.b) AS r
+                FROM dstep p JOIN size g ON g.draw = p.draw AND g.c = p.a JOIN size h ON h.draw = p.draw AND h.c = p.b WHERE p.kind = 'p') WHERE r = 1),
+            moved AS (SELECT t.n, t.draw, t.kind, CASE WHEN t.kind = 'p' AND t.a = y THEN x ELSE t.a END AS a, CASE WHEN t.b = y THEN x ELSE t.b END AS b, t.v
+                      FROM dstep t JOIN best ON best.draw = t.draw WHERE NOT (t.kind = 'p' AND t.a = x AND t.b = y))
+            SELECT n + 1, draw, kind, CASE WHEN kind = 'p' THEN least(a, b) ELSE a END, CASE WHEN kind = 'p' THEN greatest(a, b) ELSE b END, sum(v)
+            FROM moved WHERE n < (SELECT count(*) FROM sig) - 2
+            GROUP BY n, draw, kind, CASE WHEN kind = 'p' THEN least(a, b) ELSE a END, CASE WHEN kind = 'p' THEN greatest(a, b) ELSE b END)),
+    dcut AS MATERIALIZED (SELECT draw, ((SELECT count(*) FROM sig) - n)::INTEGER AS k, a AS sid, b AS cluster, v AS w FROM dstep WHERE kind = 'm' AND (SELECT count(*) FROM sig) - n BETWEEN 2 AND 15),
+    dwk AS (
+        SELECT draw, k, round(sum(d / (2.0 * 3 * n))::DOUBLE, 9) AS wk
+        FROM (SELECT draw, k, cluster, sum(w) AS n FROM dcut GROUP BY ALL)
+        LEFT JOIN (SELECT p.draw, x.k, x.cluster, sum(2.0 * p.wi * p.wj * p.disagree) AS d
+                   FROM dpair p JOIN dcut x ON x.draw = p.draw AND x.sid = p.i JOIN dcut y ON y.draw = p.draw AND y.sid = p.j AND y.k = x.k AND y.cluster = x.cluster
+                   GROUP BY ALL) USING (draw, k, cluster)
+        GROUP BY draw, k)
+"""
+
+
+@query(f"""
+    WITH RECURSIVE {_LINES_SQL}, {_DRAWS_SQL}
+    SELECT k, round(avg(ln(wk + 1e-10)) FILTER (WHERE draw > 0) - max(ln(wk + 1e-10)) FILTER (WHERE draw = 0), 9) AS gap FROM dwk GROUP BY k
+""")
 def gap_by_k(spark, sf_dir):
     return linkage.gap(_line_signatures(spark, sf_dir), list(DEFAULTS.k_range), 3)
 
 
+@query(f"WITH {_LINES_SQL} SELECT i, j, wi, wj, disagree::INTEGER AS disagree, disagree / 3.0::DOUBLE AS distance FROM pair WHERE 3 - disagree >= 2")
+def coassoc_shared(spark, sf_dir):
+    """Pairs of label tuples that share two labels or more, found by their rarest labels."""
+    return labels.coassociation(_line_signatures(spark, sf_dir), 2)
+
+
+_SAMPLE_SQL = """
+    few AS (SELECT m1, m2, m3, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM mat
+            ORDER BY md5('2025_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey), m1, m2, m3 LIMIT 5000)
+"""
+
+
+@query(f"""
+    WITH {_LINES_SQL}, {_SAMPLE_SQL}
+    SELECT row_number() OVER (ORDER BY o, m1, m2, m3) - 1 AS sid, m1, m2, m3, w
+    FROM (SELECT m1, m2, m3, count(*) AS w, min(row(l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS o FROM few GROUP BY m1, m2, m3)
+""")
+def rows_sampled(spark, sf_dir):
+    """Label tuples of the sample that silhouette and gap can be asked to look at."""
+    few = labels.bottom_rows(_line_matrix(spark, sf_dir), _LINE_KEYS, DEFAULTS.sample_rows)
+    return labels.signatures(few, _M3, _LINE_KEYS).select("sid", *[F.get("sig", F.lit(k)).alias(m) for k, m in enumerate(_M3)], "w")
+
+
 def _ari_sql(a: str, b: str, source: str) -> str:
     return f"""
         SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN (pa + pb) / 2 - pa * pb / t = 0 THEN 1.0 ELSE (c - pa * pb / t) / ((pa + pb) / 2 - pa * pb / t) END, 9) AS ari
@@ -447,9 +506,7 @@ def _ari_sql(a: str, b: str, source: str) -> str:
 
 @query(f"WITH {_DOC_SQL} " + " UNION ALL ".join(_ari_sql(a, b, "mat") for a, b in (("m1", "m2"), ("m1", "m3"), ("m1", "m1"))))
 def ari_pairwise(spark, sf_dir):
-    m = _doc_matrix(spark, sf_dir).withColumn("copy", F.col("m1"))
-    parts = [linkage.adjusted_rand(m, a, b).select(F.lit(a).alias("a"), F.lit(b if b != "copy" else "m1").alias("b"), "ari") for a, b in (("m1", "m2"), ("m1", "m3"), ("m1", "copy"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return linkage.adjusted_rands(_doc_matrix(spark, sf_dir), [("m1", "m2"), ("m1", "m3"), ("m1", "m1")])
 
 
 # --- audit ---------------------------------------------------------------------------------------

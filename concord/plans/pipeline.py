@@ -23,6 +23,8 @@ class KChoice:
     method: str = "median_from_models"
     fixed: int | None = None
     k_range: tuple[int, ...] = DEFAULTS.k_range
+    #: Rows that silhouette and gap look at, all of them if none is given.
+    sample: int | None = None
 
 
 def play(images: DataFrame, judge: judges.Judge, repetitions: int = DEFAULTS.repetitions, cache: DataFrame | None = None, mode: str = "simple", model: str = "judge", temperature: float = 1.0, effort: str = "medium") -> tuple[DataFrame, DataFrame]:
@@ -134,8 +136,11 @@ def agreement(found: DataFrame, truth: DataFrame, key: str, truth_col: str, name
     return linkage.adjusted_rand(joined, name, "_truth")
 
 
-def choose_k(matrix: DataFrame, models: list[str], sigs: DataFrame, tree: DataFrame, choice: KChoice) -> int:
-    """One number; the methods are the median or mode of the models' counts, silhouette and gap."""
+def choose_k(matrix: DataFrame, models: list[str], sigs: DataFrame, tree: DataFrame, choice: KChoice, keys: list[str] | None = None) -> int:
+    """One number; the methods are the median or mode of the models' counts, silhouette and gap.
+
+    With ``choice.sample`` the latter two look at that many rows, chosen by their ``keys``.
+    """
     if choice.method == "fixed":
         if choice.fixed is None:
             raise ValueError("fixed needs a number of clusters")
@@ -149,6 +154,11 @@ def choose_k(matrix: DataFrame, models: list[str], sigs: DataFrame, tree: DataFr
         return row.k
     if choice.method not in ("silhouette", "gap_statistic"):
         raise ValueError(f"unknown method: {choice.method}")
+    if choice.sample:
+        if not keys:
+            raise ValueError("a sample needs the keys of the rows")
+        sigs = labels.signatures(labels.bottom_rows(matrix, keys, choice.sample), models, keys)
+        tree = linkage.dendrogram(sigs)
     n = sigs.count()
     ks = [k for k in choice.k_range if 2 <= k < n]
     if not ks:
@@ -168,7 +178,7 @@ def run_consensus(matrix: DataFrame, models: list[str], keys: list[str], choice:
     if sigs.isEmpty():
         raise ValueError("there are no rows to label")
     tree = linkage.dendrogram(sigs)
-    k = choose_k(matrix, models, sigs, tree, choice)
+    k = choose_k(matrix, models, sigs, tree, choice, keys)
     return linkage.consensus(matrix, models, sigs, linkage.cut(sigs, tree, [k]), keys, name)
 
 
