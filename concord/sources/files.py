@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from concord import schemas
 from concord.config import DEFAULTS
 from concord.functions import text
 from concord.operators.selection import columns_of
+from concord.sources.records import read_records
 
 #: Image extensions in order of preference, with their rank.
 EXTENSIONS = (("png", 0), ("jpg", 1), ("jpeg", 1))
@@ -45,22 +47,37 @@ def split_reference(files: DataFrame, basename: str = DEFAULTS.reference_image)
     return one_per_stem(files.where(is_ref)), one_per_stem(files.where(~is_ref))
 
 
+def literal_path(path: str) -> str:
+    """A path in which nothing is a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def read_images(spark: SparkSession, directory: str, basename: str = DEFAULTS.reference_image) -> tuple[DataFrame, DataFrame]:
-    """``(model, data_url)`` of the reference image and of the models; fewer than two models are an error."""
-    raw = spark.read.format("binaryFile").load(directory).select("path", "content")
-    reference, models = split_reference(named_files(raw), basename)
-    shape = lambda df: df.select(F.col("stem").alias("model"), text.data_url(F.col("path"), F.col("content")).alias("data_url"))
-    models = shape(models)
-    if models.select("model").limit(2).count() < 2:
+    """``(model, data_url)`` of the reference image and of the models; fewer than two models are an error.
+
+    The files are chosen by their names alone.  Only chosen ones are then read, each by the task that
+    encodes it, so no content is shuffled.  There may be ``max_models`` of them.
+    """
+    named = named_files(spark.read.format("binaryFile").load(directory).select("path"))
+    reference, models = (df.select("path").limit(DEFAULTS.max_models + 1).collect() for df in split_reference(named, basename))
+    if len(models) < 2:
         raise ValueError(f"fewer than two images in {directory}")
-    return shape(reference), models
+    if len(models) > DEFAULTS.max_models:
+        raise ValueError(f"more than {DEFAULTS.max_models} images in {directory}")
+
+    def read(chosen: list) -> DataFrame:
+        if not chosen:
+            return spark.createDataFrame([], "model string, data_url string")
+        raw = spark.read.format("binaryFile").load([literal_path(r.path) for r in chosen]).select("path", "content")
+        return named_files(raw).select(F.col("stem").alias("model"), text.data_url(F.col("path"), F.col("content")).alias("data_url"))
+
+    return read(reference), read(models)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file with a header as strings, spellings of missing values as null, and ``pos`` in file order."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-    rows = raw.select(*[text.not_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns])
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    """A delimited file, or a folder of them, with a header as strings, spellings of missing values as null, and ``pos`` in file order."""
+    raw = read_records(spark, path)
+    return raw.select(*[text.not_missing(F.col(f"`{c}`")).alias(c) for c in raw.columns if c != "pos"], "pos")
 
 
 def read_ranking(spark: SparkSession, path: str) -> DataFrame:
