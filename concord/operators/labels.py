@@ -40,11 +40,12 @@ def label_column(df: DataFrame, id_col: str, ground_truth: str | None = None) ->
     return rest[0]
 
 
-def align(frames: dict[str, DataFrame], pos: str = "pos") -> DataFrame:
+def align(frames: dict[str, DataFrame], pos: str = "pos", ground_truth: str | None = None) -> DataFrame:
     """``id, pos`` of the first frame and one label column per model, matched on the first column.
 
     Frames must have as many rows as the first and no id twice; ids that the first lacks are dropped
-    and ids that another lacks get null.  A missing id is matched like any other.
+    and ids that another lacks get null.  A missing id is matched like any other.  A column
+    ``ground_truth`` is no label column.
 
     All frames meet in one aggregation by id, however many they are, and what the errors depend on
     is observed on its way to a table.
@@ -52,7 +53,7 @@ def align(frames: dict[str, DataFrame], pos: str = "pos") -> DataFrame:
     names, parts = list(frames), []
     for k, (name, df) in enumerate(frames.items()):
         own = df.drop(pos)
-        label = F.col(f"`{label_column(own, own.columns[0])}`")
+        label = F.col(f"`{label_column(own, own.columns[0], ground_truth)}`")
         place = F.col(pos) if k == 0 else F.lit(None)
         parts.append(df.select(F.col(f"`{own.columns[0]}`").alias("id"), F.lit(k).alias("_of"), place.alias("_pos"), label.alias(f"_label{k}")))
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)

@@ -82,31 +82,35 @@ def normalize_names(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", text.normalized_name(F.col("p_name")).alias("normalized"))
 
 
-_NAMES = [("GraphST_v1",), ("Graph-ST (v1)",), ("spa_gcn",), ("SpaGCN.png",), ("STAGATE",), ("stagate",)]
+_NAMES = "replace(p_brand, '#', CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE ' v' END)"
 
 
 @query(f"""
     SELECT normalized, array_to_string(list_sort(list(DISTINCT name)), '|') AS names
-    FROM (SELECT name, lower(regexp_replace(name, '[^0-9A-Za-z]+', '', 'g')) AS normalized FROM {_values(_NAMES)} t(name))
+    FROM (SELECT name, lower(regexp_replace(name, '[^0-9A-Za-z]+', '', 'g')) AS normalized FROM (SELECT {_NAMES} AS name FROM part))
     GROUP BY normalized HAVING count(DISTINCT name) > 1
 """)
 def name_collisions(spark, sf_dir):
-    return labels.collisions(_literal(spark, _NAMES, "name string")).withColumn("names", F.array_join("names", "|"))
+    names = _read(spark, sf_dir, "part").select(F.expr(_NAMES).alias("name"))
+    return labels.collisions(names).withColumn("names", F.array_join("names", "|"))
 
 
-_STEMS = [("/d/X.jpg",), ("/d/X.png",), ("/d/Y.jpeg",), ("/d/Y.jpg",), ("/d/Z.PNG",), ("/d/he.jpg",), ("/d/he.png",), ("/d/a.b.png",), ("/d/notes.txt",)]
+_PATHS = """
+    CASE WHEN p_partkey % 50 = 1 THEN '/d/he.png' ELSE '/d/' || replace(p_brand, '#', '.') ||
+    (CASE p_partkey % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.gif' ELSE '.PNG' END) END
+"""
 
 
 @query(f"""
-    WITH f AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS file FROM {_values(_STEMS)} t(path)),
-    e AS (SELECT *, regexp_extract(file, '^(.*)\\.([^.]*)$', 1) AS stem, regexp_extract(file, '\\.([^.]*)$', 1) AS ext FROM f),
+    WITH f AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS file FROM (SELECT DISTINCT {_PATHS} AS path FROM part WHERE p_size > 25)),
+    e AS (SELECT *, regexp_extract(file, '^(.*)\.([^.]*)$', 1) AS stem, regexp_extract(file, '\.([^.]*)$', 1) AS ext FROM f),
     r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY CASE ext WHEN 'png' THEN 0 WHEN 'jpg' THEN 1 ELSE 2 END, path) AS n
           FROM e WHERE ext IN ('png', 'jpg', 'jpeg') AND file <> 'he.png')
     SELECT path, stem FROM r WHERE n = 1
 """)
 def image_dedup(spark, sf_dir):
-    named = files.named_files(_literal(spark, _STEMS, "path string"))
-    return files.split_reference(named)[1].select("path", "stem")
+    paths = _read(spark, sf_dir, "part").where("p_size > 25").select(F.expr(_PATHS).alias("path")).distinct()
+    return files.split_reference(files.named_files(paths))[1].select("path", "stem")
 
 
 @query("""

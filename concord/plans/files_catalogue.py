@@ -18,7 +18,9 @@ from concord.plans.catalogue import (
     _CUTS_SQL, _DOC_SQL, _LINES_SQL, _M3, _ORDERS_SQL, _SUMS_SQL, _TALLY_SQL,
     _ari_sql, _cut_sql, _KS, _keyed_games, _line_matrix, _LINE_KEYS, _literal, _order_verdicts, _read, _tree_sql, _values, query,
 )
-from concord.sources import files, sinks
+from concord.sources import cache, files, sinks
+from concord.streaming import ranking as stream_ranking
+from concord.streaming import tournament as stream_tournament
 
 # --- files ---------------------------------------------------------------------------------------
 
@@ -59,12 +61,17 @@ def images_found(spark, sf_dir):
     return models.withColumn("reference", F.lit(False)).unionByName(reference.withColumn("reference", F.lit(True)))
 
 
-_STEMS = [("/d/he.jpg",), ("/d/he.png",), ("/d/he2.png",), ("/d/A.jpeg",), ("/d/A.jpg",), ("/d/B.gif",)]
+_STEMS = "'/d/' || (CASE n_regionkey WHEN 0 THEN 'he' WHEN 1 THEN 'he2' ELSE left(n_name, 1) END) || (CASE n_nationkey % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.gif' ELSE '.jpeg' END)"
 
 
-@query("SELECT '/d/he.png' AS path, true AS reference UNION ALL SELECT '/d/he2.png', false UNION ALL SELECT '/d/A.jpg', false")
+@query(f"""
+    WITH f AS (SELECT DISTINCT {_STEMS} AS path FROM nation),
+    e AS (SELECT path, regexp_extract(path, '/([^/]*)[.]', 1) AS stem, CASE WHEN path LIKE '%.png' THEN 0 ELSE 1 END AS place FROM f WHERE path NOT LIKE '%.gif')
+    SELECT path, stem = 'he' AS reference FROM e QUALIFY row_number() OVER (PARTITION BY stem ORDER BY place, path) = 1
+""")
 def reference_stem(spark, sf_dir):
-    found = files.split_reference(files.named_files(_literal(spark, _STEMS, "path string")), "he")
+    paths = _read(spark, sf_dir, "nation").select(F.expr(_STEMS).alias("path")).distinct()
+    found = files.split_reference(files.named_files(paths), "he")
     return found[0].select("path", F.lit(True).alias("reference")).unionByName(found[1].select("path", F.lit(False).alias("reference")))
 
 
@@ -156,20 +163,26 @@ def cache_files(spark, sf_dir):
     if files.read_cache(spark, path + "-none") is not None:
         raise AssertionError("a cache that is not there was read")
     for rest, choice in ((0, "first"), (1, "second")):
-        sinks.append_cache(games.where(F.col("repetition") % 2 == rest).select("cache_key", F.lit(choice).alias("gpt_choice"), F.lit(choice).alias("gpt_output")), path)
-    return files.read_cache(spark, path).select("cache_key", "gpt_choice")
+        replies = games.where(F.col("repetition") % 2 == rest).select("cache_key", F.lit(choice).alias("gpt_choice"), F.lit(choice).alias("gpt_output"))
+        cache.append(replies.withColumn("gpt_choice", F.lit("neither")), path)  # the next append counts
+        cache.append(replies, path)
+    cache.compact(spark, path)
+    return files.read_cache(spark, path, games).select("cache_key", "gpt_choice")
 
 
-@query("SELECT unnest(['b', 'a']) AS model")
+@query("SELECT r_name AS model, row_number() OVER (ORDER BY r_name DESC)::INTEGER - 1 AS pos, 'about ' || r_name AS note FROM region WHERE r_regionkey < 3")
 def audit_newest(spark, sf_dir):
-    """Of two audits, in either folder, the later one counts."""
-    folder = sinks.scratch(spark)
-    for place, kept in ((f"{folder}/pairwise", ["c"]), (folder, ["b", "a"])):
-        row = (["model_1"], kept, {"model_1": "x"}, {"a": "x"}, "My data (v1)", "{}")
+    """Of two audits of the regions, in either folder, the later one counts; its notes are read back from the file."""
+    folder, regions = sinks.scratch(spark), _regions(spark, sf_dir)
+    first = [r.r_name for r in _read(spark, sf_dir, "region").where("r_regionkey < 3").orderBy(F.desc("r_name")).collect()]  # three
+    for place, kept in ((f"{folder}/pairwise", regions), (folder, first)):
+        row = ([f"model_{k}" for k in range(len(kept))], kept, {}, {m: f"about {m}" for m in kept}, "My data (v1)", "{}")
         path = sinks.write_audit(spark.createDataFrame([row], schemas.AUDIT), place)
         if not path.endswith("/My_data_v1_second_round.json"):
             raise AssertionError(path)
-    return spark.createDataFrame([(m,) for m in files.read_audit(spark, folder)], "model string")
+    kept = spark.createDataFrame(list(enumerate(files.read_audit(spark, folder))), "pos int, model string")
+    notes = spark.read.schema(schemas.AUDIT).json(path).select(F.explode("per_model_notes").alias("model", "note"))
+    return kept.join(notes, "model").select("model", "pos", "note")
 
 
 @query("""
@@ -190,17 +203,21 @@ _CHOICES = [(1, "first\n"), (2, "\tsecond"), (3, " First "), (4, " second\r\n")
 
 
 @query(rf"""
-    SELECT n, CASE WHEN c IN ('first', 'second') THEN c ELSE 'tie' END AS verdict
-    FROM (SELECT n, lower(regexp_replace(coalesce(c, ''), '^[\x09-\x0D\x1C-\x20\x85\p{{Z}}]+|[\x09-\x0D\x1C-\x20\x85\p{{Z}}]+$', '', 'g')) AS c FROM {_values(_CHOICES)} t(n, c))
+    SELECT event_id, CASE WHEN c IN ('first', 'second') THEN c ELSE 'tie' END AS verdict
+    FROM (SELECT event_id, lower(regexp_replace(coalesce(c, ''), '^[\x09-\x0D\x1C-\x20\x85\p{{Z}}]+|[\x09-\x0D\x1C-\x20\x85\p{{Z}}]+$', '', 'g')) AS c
+          FROM events JOIN {_values(_CHOICES)} t(n, c) ON n = event_id % 9 + 1)
 """)
 def verdict_spelling(spark, sf_dir):
-    return _literal(spark, _CHOICES, "n int, c string").select("n", text.canonical_choice(F.col("c")).alias("verdict"))
+    """Every event says its choice in one of nine ways of writing."""
+    ways = F.create_map(*[F.lit(x) for n, c in _CHOICES for x in (n, c or "")])
+    said = _read(spark, sf_dir, "events").select("event_id", F.element_at(ways, (F.col("event_id") % 9 + 1).cast("int")).alias("c"))
+    return said.select("event_id", text.canonical_choice(F.col("c")).alias("verdict"))
 
 
-@query("SELECT 'p_brand' AS label")
+@query("SELECT p_partkey, p_brand AS label FROM part")
 def label_column(spark, sf_dir):
-    found = labels.label_column(_read(spark, sf_dir, "part"), "p_partkey", "p_name")
-    return _literal(spark, [(found,)], "label string")
+    parts = _read(spark, sf_dir, "part")
+    return parts.select("p_partkey", F.col(labels.label_column(parts, "p_partkey", "p_name")).alias("label"))
 
 
 _QUOTED = {m: t.replace("'", "''") for m, t in (("simple", audit.COMPARE), ("complex", audit.STRICT))}
@@ -271,23 +288,26 @@ def ground_truth_ari(spark, sf_dir):
     return pipeline.agreement(found, truth, "doc_id", "quality")
 
 
-_MODELS, _COLUMNS = ["GraphST", "spa_gcn", "STAGATE"], ["id2", "Spa-GCN", "graph_st", "stagate"]
-
-
-@query("SELECT * FROM (VALUES ('GraphST', 'graph_st'), ('spa_gcn', 'Spa-GCN'), ('STAGATE', 'stagate')) t(model, col)")
+@query("SELECT n_name AS model, lower(replace(n_name, ' ', '_')) || '-' AS col FROM nation")
 def fuzzy_columns(spark, sf_dir):
-    return _literal(spark, list(labels.match_columns(_MODELS, _COLUMNS).items()), "model string, col string")
+    names = [r.n_name for r in _read(spark, sf_dir, "nation").select("n_name").collect()]  # 25
+    wide = _read(spark, sf_dir, "nation").groupBy().pivot("n_name", names).agg(F.first("n_nationkey"))
+    wide = wide.select(F.lit(1).alias("id"), *[F.col(f"`{n}`").alias(n.lower().replace(" ", "_") + "-") for n in names])
+    return _literal(spark, list(labels.match_columns(names, wide.columns).items()), "model string, col string")
 
 
-_ALIKE = [("Graph-ST", 0.9, 1), ("graph_st", 0.8, 2), ("STAGATE", 0.7, 3), ("stagate", 0.6, 5), ("Stagate!", 0.5, 4)]
-
-
-@query("SELECT 'graphst' AS normalized, 'graph_st' AS model UNION ALL SELECT 'stagate', 'stagate'")
+@query("""
+    WITH r AS (SELECT n_name AS model, n_nationkey AS pos FROM nation UNION ALL SELECT lower(replace(n_name, ' ', '-')), 24 - n_nationkey + 0.5 FROM nation)
+    SELECT lower(regexp_replace(model, '[^0-9A-Za-z]+', '', 'g')) AS normalized, arg_max(model, pos) AS model FROM r GROUP BY ALL
+""")
 def ranked_by_normalized(spark, sf_dir):
     """Of ranked names that normalise alike the last counts."""
+    nation = _read(spark, sf_dir, "nation")
+    other = nation.select(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))).alias("model"), (24 - F.col("n_nationkey") + 0.5).alias("pos"))
+    rows = nation.select(F.col("n_name").alias("model"), F.col("n_nationkey").cast("double").alias("pos")).unionByName(other)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return selection.by_normalized(_literal(spark, _ALIKE, "model string, win_rate double, pos int"))
+        return selection.by_normalized(rows.select("model", F.lit(0.5).alias("win_rate"), "pos"))
 
 
 @query(f"""
@@ -433,3 +453,57 @@ def full_run(spark, sf_dir):
     rows = _read(spark, sf_dir, "part").orderBy("p_partkey").coalesce(1)
     rows.select("p_partkey", *[F.expr(e).alias(m.replace("-", "_").upper()) for m, e in _PARTS.items()]).write.option("header", True).csv(f"{out}/parts.csv")
     return pipeline.run_all(spark, f"{out}/images", f"{out}/parts.csv", "p_partkey", f"{out}/run", _longer)
+
+
+@query(f"""
+    WITH RECURSIVE mat AS (SELECT p_partkey, {", ".join(f"({e})::VARCHAR AS m{k + 1}" for k, e in enumerate(_PARTS.values()))}, (p_size % 4)::VARCHAR AS truth FROM part),
+    sig AS (SELECT row_number() OVER (ORDER BY o) - 1 AS sid, m1, m2, m3, w FROM (SELECT m1, m2, m3, count(*) AS w, min(p_partkey) AS o FROM mat GROUP BY ALL)),
+    pair AS (SELECT a.sid AS i, b.sid AS j, a.w AS wi, b.w AS wj, ((a.m1 <> b.m1)::INT + (a.m2 <> b.m2)::INT + (a.m3 <> b.m3)::INT) AS disagree FROM sig a JOIN sig b ON a.sid < b.sid),
+    {_tree_sql(3)}, c AS ({_cut_sql("3")}), scored AS (SELECT p_partkey, cluster AS consensus_label, truth FROM mat JOIN sig USING (m1, m2, m3) JOIN c USING (sid)),
+    x AS ({_ari_sql("consensus_label", "truth", "scored")})
+    SELECT p_partkey::VARCHAR AS p_partkey, consensus_label, ari FROM scored CROSS JOIN x
+""")
+def full_run_separate(spark, sf_dir):
+    """The whole run with a file for each model, one of which has the ground truth."""
+    out = sinks.scratch(spark)
+    for m in _PARTS:
+        sinks.put(spark, f"{out}/images/{m}.png", m.encode())
+    rows = _read(spark, sf_dir, "part").orderBy("p_partkey")
+    for (m, e), end in zip(_PARTS.items(), (".csv", "_pred_label.csv", "_labels.csv")):
+        rows.select("p_partkey", (F.col("p_size") % 4).alias("truth"), F.expr(e).alias("cluster")).write.option("header", True).csv(f"{out}/parts/{m}{end}")
+    found = pipeline.run_all(spark, f"{out}/images", f"{out}/parts", None, f"{out}/run", _longer, separate=True, truth="truth")
+    ari = spark.read.schema("ari double").json(f"{out}/run/agreement")
+    return found.crossJoin(F.broadcast(ari))  # one row
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_ORDERS_SQL}, {_TALLY_SQL} SELECT model, games, wins, losses, ties, points, win_rate FROM ranked")
+def streaming_tally(spark, sf_dir):
+    """The tally kept up to date over verdict files that come in one by one."""
+    folder, rows = sinks.scratch(spark), _order_verdicts(spark, sf_dir)
+    rows.repartition(4, "repetition").write.option("ignoreNullFields", False).json(f"{folder}/verdicts")
+    stream = stream_ranking.read_stream(spark, f"{folder}/verdicts", 1)
+    return stream_ranking.settled(stream, f"{folder}/log", f"{folder}/tally")
+
+
+@query(f"WITH {_ORDERS_SQL} SELECT m1 AS model1_label, m2 AS model2_label, rep AS repetition, nullif(choice, 'tie') AS gpt_choice FROM verdict")
+def tournament_resumed(spark, sf_dir):
+    """A tournament whose driver stops after a batch; started again, it judges the rest."""
+    folder, known = sinks.scratch(spark), _order_verdicts(spark, sf_dir)
+    recorded = known.select(F.col("model1_label").alias("model1"), F.col("model2_label").alias("model2"), "repetition", "gpt_output")
+    stream_tournament.put_games(_keyed_games(spark, sf_dir), f"{folder}/games", 20)
+
+    def stop(number: int) -> None:
+        if number == 1:
+            raise KeyboardInterrupt("stopped")
+
+    try:
+        stream_tournament.play_games(spark, f"{folder}/games", f"{folder}/out", judges.replay_judge(recorded), f"{folder}/cache", stop)
+    except Exception:  # noqa: BLE001
+        pass
+    else:
+        raise AssertionError("the first run was not stopped")
+    rows = stream_tournament.play_games(spark, f"{folder}/games", f"{folder}/out", judges.replay_judge(recorded), f"{folder}/cache")
+    return rows.select("model1_label", "model2_label", "repetition", "gpt_choice")

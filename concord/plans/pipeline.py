@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from collections.abc import Callable
@@ -13,6 +14,7 @@ from concord import schemas
 from concord.config import DEFAULTS
 from concord.functions import text
 from concord.operators import audit, judges, labels, linkage, selection, tournament
+from concord.sources import cache as store
 from concord.sources import files, sinks
 
 
@@ -70,28 +72,46 @@ def run_tournament(
     verdicts, fresh = play(models, ask, repetitions, cache, mode)
     sinks.write_verdicts(verdicts, f"{out.rstrip('/')}/verdicts")
     if cache is None or not fresh.isEmpty():
-        sinks.append_cache(fresh, cached)
+        store.append(fresh, cached)
     ranked = tournament.ranking(files.read_verdicts(spark, f"{out.rstrip('/')}/verdicts"))
     sinks.write_ranking(ranked, stored)
     return files.read_ranking(spark, stored)
 
 
 def run_all(
-    spark: SparkSession, images: str, assignments: str, id_col: str, out: str, judge: judges.Judge, manual: list[str] | None = None, top_k: int = DEFAULTS.top_k,
-    choice: KChoice = KChoice(), repetitions: int = DEFAULTS.repetitions, skip: bool = False,
+    spark: SparkSession, images: str, assignments: str | list[str], id_col: str | None, out: str, judge: judges.Judge, manual: list[str] | None = None, top_k: int = DEFAULTS.top_k,
+    choice: KChoice = KChoice(), repetitions: int = DEFAULTS.repetitions, skip: bool = False, separate: bool = False, truth: str | None = None, audited: bool = True,
 ) -> DataFrame:
-    """Images and a file of assignments to a consensus, which is written to ``out/consensus`` too.
+    """Images and assignments to a consensus, which is written to ``out/consensus`` too.
 
-    The models are those given, else those that a stored audit kept, else the best ``top_k``.
+    The models are those given, else (if ``audited``) those that a stored audit kept, else the best
+    ``top_k``.  Assignments are one file with the column ``id_col``, or, with ``separate``, a file for each
+    model, whose first column is the id: a list of them, or their folder.  With ``truth``, a column of
+    the one file or of the first, the agreement with it goes to ``out/agreement``.
     """
-    ranked = run_tournament(spark, images, out, judge, repetitions=repetitions, skip=skip)
-    audited = None if manual else files.read_audit(spark, out)
-    names = selection.resolve(ranked, manual, audited, top_k)
-    matrix = files.read_combined(spark, assignments, id_col)
-    columns = labels.match_columns(names, [c for c in matrix.columns if c not in (id_col, "pos")])
+    ranked, base = run_tournament(spark, images, out, judge, repetitions=repetitions, skip=skip), out.rstrip("/")
+    names = selection.resolve(ranked, manual, files.read_audit(spark, out) if audited and not manual else None, top_k)
+    if separate:
+        paths = assignments if isinstance(assignments, list) else files.locate(spark, assignments, names)
+        frames = files.read_separate(spark, paths, names)
+        given = frames[names[0]]
+        key, models = given.columns[0], [f"label_{k}" for k in range(len(names))]
+        matrix = labels.align(dict(zip(models, (frames[n] for n in names))), ground_truth=truth).withColumnRenamed("id", key)
+    else:
+        if id_col is None:
+            raise ValueError("a file of all assignments needs its id column")
+        given = matrix = files.read_combined(spark, assignments, id_col)
+        columns = labels.match_columns(names, [c for c in matrix.columns if c not in (id_col, "pos", truth)])
+        key, models = id_col, [columns[n] for n in names]
     # File order numbers the tuples; the id stands beside it.
-    found = run_consensus(matrix, [columns[n] for n in names], ["pos", id_col], choice)
-    sinks.write_consensus(found, f"{out.rstrip('/')}/consensus", id_col, "consensus_label")
+    found = run_consensus(matrix, models, ["pos", key], choice)
+    sinks.write_consensus(found, f"{base}/consensus", key, "consensus_label")
+    if truth:
+        scored = agreement(found, given, key, truth)
+        if scored is None:
+            warnings.warn(f"no column {truth!r} to compare with", stacklevel=2)
+        else:
+            scored.write.mode("overwrite").json(f"{base}/agreement")
     return found.drop("pos")
 
 

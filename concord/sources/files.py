@@ -13,6 +13,7 @@ from concord import schemas
 from concord.config import DEFAULTS
 from concord.functions import text
 from concord.operators.selection import columns_of
+from concord.sources import cache
 from concord.sources.records import read_records
 
 #: Image extensions in order of preference, with their rank.
@@ -186,10 +187,10 @@ def read_run(spark: SparkSession, directory: str) -> DataFrame:
     return read_verdicts(spark, f"{directory.rstrip('/')}/pairwise_results_rep*.jsonl")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """``cache_key, gpt_choice, gpt_output``; None if there is no cache or it cannot be read."""
+def read_cache(spark: SparkSession, path: str, games: DataFrame | None = None) -> DataFrame | None:
+    """``cache_key, gpt_choice, gpt_output`` of the store, of ``games`` only if these are given; None if there is no cache or it cannot be read."""
     try:
-        rows = spark.read.schema("cache_key string, gpt_choice string, gpt_output string").parquet(path)
+        rows = cache.read(spark, path, games)
         rows.limit(1).collect()
     except Exception as e:  # noqa: BLE001
         warnings.warn(f"cannot read the cache {path}: {str(e)[:200]}", stacklevel=2)

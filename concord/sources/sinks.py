@@ -17,9 +17,9 @@ def write_verdicts(verdicts: DataFrame, path: str) -> None:
     writer.partitionBy("repetition").option("ignoreNullFields", False).json(path)
 
 
-def append_cache(rows: DataFrame, path: str) -> None:
-    """New cache entries."""
-    rows.write.mode("append").parquet(path)
+def write_batch(verdicts: DataFrame, path: str, number: int) -> None:
+    """The verdicts of one batch as JSON lines; writing it again replaces it."""
+    verdicts.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{number}")
 
 
 def write_ranking(ranked: DataFrame, path: str) -> None:
