@@ -22,6 +22,7 @@ from __future__ import annotations
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import merge
 from itertools import combinations, groupby
 from string import ascii_lowercase, ascii_uppercase
@@ -56,8 +57,10 @@ def counted_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_COUNT)
 
 
-def grams(word: str) -> list[str]:
-    return [word[i : i + Q] for i in range(len(word) - Q + 1)]
+@lru_cache(100_000)
+def grams(word: str) -> tuple[tuple[int, str], ...]:
+    """The q-grams of a word with their positions."""
+    return tuple((i, word[i : i + Q]) for i in range(len(word) - Q + 1))
 
 
 def _ranks(words: DataFrame) -> dict[str, int]:
@@ -69,14 +72,14 @@ def _ranks(words: DataFrame) -> dict[str, int]:
 
 def keys_of(word: str, ranks: dict[str, int]) -> tuple[list[int], list[int]]:
     """The keys under which a word is posted, as hashes: those of its own length, and those of the next."""
-    first = sorted((ranks[g], p) for p, g in enumerate(grams(word)))[: Q + SHARED]
-    first = sorted((p, r) for r, p in first)
-    home, guest = [], []
-    for some in combinations(first, SHARED):
-        flat = lambda moved: (x for k, (p, r) in enumerate(some) for x in (p + (k >= moved), r))  # noqa: B023, E731
-        key = lambda n, moved: xxhash.xxh64_intdigest(struct.pack(f"<{2 * SHARED + 1}q", n, *flat(moved))) - (1 << 63)  # noqa: B023, E731
-        home.append(key(len(word), SHARED))
-        guest += [key(len(word) + 1, moved) for moved in range(SHARED + 1)]
+    first = sorted(sorted((ranks[g], p) for p, g in grams(word))[: Q + SHARED], key=lambda x: x[1])
+    still, moved = ([struct.pack("<2q", p + d, r) for r, p in first] for d in (0, 1))
+    own, longer = struct.pack("<q", len(word)), struct.pack("<q", len(word) + 1)
+    key, home, guest = xxhash.xxh64_intdigest, [], []
+    for some in combinations(range(len(first)), SHARED):
+        here, there = [still[k] for k in some], [moved[k] for k in some]
+        home.append(key(own + b"".join(here)) - (1 << 63))
+        guest += [key(longer + b"".join(here[:k] + there[k:])) - (1 << 63) for k in range(SHARED + 1)]
     return home, guest
 
 
@@ -112,21 +115,30 @@ def near_members(words: list[str], homes: list[bool], owns: list[int], across: b
     """Pairs of words within one edit, one of them at home; ``across`` pairs only different blocks."""
     length = max((len(w) for w, home in zip(words, homes) if home), default=0)
     index: dict[tuple[int, str], list[int]] = defaultdict(list)
-    for k, word in enumerate(words):
-        if homes[k] and len(word) == length:
-            for p, g in enumerate(grams(word)):
-                index[p, g].append(k)
     least = length - 2 * Q + 1
-    for k, word in enumerate(words):
-        if homes[k] and len(word) != length or not homes[k] and len(word) != length - 1:
+
+    def often_met(lists: list[list[int]]) -> Iterator[int]:
+        # A word is in each list once at most, so fewer lists than matches needed give none.
+        if len(lists) >= least:
+            for other, hits in groupby(merge(*lists)):
+                if sum(1 for _ in hits) >= least:
+                    yield other
+
+    # Words at home look up those before them, guests all of them.
+    for k in sorted(range(len(words)), key=lambda k: not homes[k]):
+        own, word = grams(words[k]), words[k]
+        if homes[k] and len(word) == length:
+            found = often_met([index[x] for x in own if x in index])
+        elif not homes[k] and len(word) == length - 1:
+            found = often_met([index[x] for p, g in own for x in ((p, g), (p + 1, g)) if x in index])
+        else:
             continue
-        places = [(p + moved, g) for p, g in enumerate(grams(word)) for moved in ((0,) if homes[k] else (0, 1))]
-        lists = [index[x] for x in places if x in index]
-        for other, hits in groupby(merge(*lists)):
-            if sum(1 for _ in hits) < least or homes[k] and other <= k or across and owns[k] == owns[other]:
-                continue
-            if one_edit(word, words[other]):
+        for other in found:
+            if not (across and owns[k] == owns[other]) and one_edit(word, words[other]):
                 yield word, words[other]
+        if homes[k]:
+            for x in own:
+                index[x].append(k)
 
 
 def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
