@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -32,7 +33,7 @@ from concord.llm.common import others, portions, small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; without an end tag it goes on to the page's end.
 RAW = frozenset("script style title textarea".split())
-#: Their content is no text of the page; without an end tag only the tag itself is passed over.
+#: Their content is read apart from the block they stand in; without an end tag only the tag itself is passed over.
 HIDDEN_PARTS = frozenset("noscript template iframe svg select button canvas audio video".split())
 BLOCK = frozenset(
     "html body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure "
@@ -50,22 +51,26 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _PART = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
-#: Path tokens that count as features: so many outermost and so many innermost ones.
-ENDS = 32
-#: Quoted values that a tag may have.
-QUOTED = 32
 N_TAGS, N_WORDS, TAG_DIM, WORD_DIM, HIDDEN, COUNTS = 2048, 4096, 24, 12, 24, 8
 #: Steps of all pages in one pass, and steps whose inputs are multiplied at once.
 CELLS, STRETCH = 16_384, 4096
 
 
+class Path:
+    """The tags over a block: the innermost one's tokens (its name, classes and ids), and the path above it."""
+
+    __slots__ = ("above", "tokens", "depth")
+
+    def __init__(self, above: Path | None, tokens: tuple[str, ...]):
+        self.above, self.tokens, self.depth = above, tokens, (above.depth if above else 0) + len(tokens)
+
+
 @dataclass
 class Block:
-    """A leaf: its text, the tag-path tokens over it (``depth`` in all), and how much of it stands in links."""
+    """A leaf: its text, the path of tags over it, and how much of it stands in links."""
 
     text: str
-    path: tuple[str, ...]
-    depth: int
+    path: Path | None
     linked: int
 
 
@@ -81,64 +86,90 @@ class _Finder:
             found = self.known[what] = self.page.find(what, at)
         return found
 
-    def end_tag(self, name: str, at: int) -> int:
-        """Where the next end tag of this name is over; -1 if there is none."""
+    def end_tag(self, name: str, at: int) -> tuple[int, int]:
+        """Where the next end tag of this name begins and is over; -1 if there is none."""
         key = "</" + name
         start, stop = self.known.get(key, (-2, -2))
         if start != -1 and start < at:
             m = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.page, at)
             start, stop = self.known[key] = m.span() if m else (-1, -1)
-        return stop
+        return start, stop
 
 
-def _tag_end(page: str, at: int, find: _Finder, last: dict[str, int]) -> int:
-    """Where the tag whose name ends at ``at`` is over; -1 if it is not.
+class _Tags:
+    """Where tags end: behind the first ``>`` outside quotes, or behind the first of all if a quote is not closed.
 
-    That is behind the first ``>`` outside quotes, or behind the first of all if a quote is not
-    closed or more than ``QUOTED`` of them come before.
+    What follows an opening quote does not depend on the tag, so it is found out once for each.
     """
-    first, k = find(">", at), at
-    for _ in range(QUOTED if first >= 0 else 0):
-        m = _STOP.search(page, k)
-        if not m or m[0] != ">" and last[m[0]] < m.end():
-            break
-        if m[0] == ">":
-            return m.end()
-        k = page.find(m[0], m.end()) + 1
-    return first + 1
+
+    def __init__(self, page: str, find: _Finder):
+        self.page, self.find, self.last, self.known = page, find, {q: page.rfind(q) for q in "\"'"}, {}
+
+    def end(self, at: int) -> int:
+        """For the tag whose name ends at ``at``; -1 if it is not over."""
+        first, k, passed, end = self.find(">", at), at, [], -1
+        while first >= 0:
+            m = _STOP.search(self.page, k)
+            if not m:
+                break
+            if m[0] == ">":
+                end = m.end()
+                break
+            if m.start() in self.known:
+                end = self.known[m.start()]
+                break
+            passed.append(m.start())
+            if self.last[m[0]] < m.end():
+                break
+            k = self.page.find(m[0], m.end()) + 1
+        self.known |= dict.fromkeys(passed, end)
+        return end if end >= 0 else first + 1 if first >= 0 else -1
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page.  White space inside one is a single blank; ``br`` counts as white space.
+    """Leaf blocks of a page in the order in which they begin.  White space inside one is a single blank; ``br`` counts as white space.
 
     Time and memory grow with the page's length, however its tags are nested, left open or cut off.
     """
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], tuple[str, ...], int]] = []
+    out: list[tuple[int, Block]] = []
+    _read(page, None, out, count())
+    return [b for _, b in sorted(out, key=lambda x: x[0])]
+
+
+def _tokens(name: str, rest: str) -> tuple[str, ...]:
+    return (name, *(x.lower() for _, *v in _NAMED.findall(rest) for x in _PART.findall("".join(v))))
+
+
+def _read(page: str, above: Path | None, out: list[tuple[int, Block]], order: Iterator[int]) -> None:
+    """Add the blocks of a page, or of a part that is read apart, with the place where each begins."""
+    stack: list[tuple[str, Path]] = []
     opened: Counter[str] = Counter()
     held: list[str] = []
-    find, last = _Finder(page), {q: page.rfind(q) for q in "\"'"}
-    at, links, linked = 0, 0, 0
+    find = _Finder(page)
+    tags = _Tags(page, find)
+    at, links, linked, began = 0, 0, 0, -1
+
+    def path() -> Path | None:
+        return stack[-1][1] if stack else above
 
     def close_block() -> None:
-        nonlocal linked
-        if held:
-            text = _SPACE.sub(" ", "".join(held)).strip()
-            if text:
-                _, head, tail, depth = stack[-1] if stack else ("", (), (), 0)
-                out.append(Block(text, head + tail, depth, linked))
-            held.clear()
-        linked = 0
+        nonlocal linked, began
+        if began >= 0:
+            out.append((began, Block(_SPACE.sub(" ", "".join(held)).strip(), path(), linked)))
+        held.clear()
+        linked, began = 0, -1
 
     def leave(k: int) -> None:
         close_block()
-        opened.subtract(x[0] for x in stack[k:])
+        opened.subtract(x for x, _ in stack[k:])
         del stack[k:]
 
     def say(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, began
         held.append(text)
         linked += len(text) if links else 0
+        if began < 0 and text and not text.isspace():
+            began = next(order)
 
     while at < len(page):
         cut = find("<", at)
@@ -153,7 +184,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if page.startswith("<![CDATA[", cut):
             end = find("]]>", cut + 9)
-            held.append(page[cut + 9 : end if end >= 0 else len(page)])
+            say(page[cut + 9 : end if end >= 0 else len(page)])
             at = end + 3 if end >= 0 else len(page)
             continue
         if page.startswith(("<!", "<?"), cut):
@@ -164,7 +195,7 @@ def blocks(page: str) -> list[Block]:
             continue
         closing = page.startswith("</", cut)
         named = _NAME.match(page, cut + 1 + closing)
-        end = _tag_end(page, named.end(), find, last) if named else 0
+        end = tags.end(named.end()) if named else 0
         if end <= 0:
             say("<")
             at = cut + 1
@@ -180,7 +211,10 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in RAW or name in HIDDEN_PARTS:
             if not rest.endswith("/"):
-                end = find.end_tag(name, at)
+                start, end = find.end_tag(name, at)
+                if name in HIDDEN_PARTS and end >= 0:
+                    # Up to the first end tag of its name, so parts of one name are not nested, and others few times.
+                    _read(page[at:start], Path(path(), _tokens(name, rest)), out, order)
                 at = end if end >= 0 else len(page) if name in RAW else at
             continue
         if name == "a":
@@ -200,13 +234,9 @@ def blocks(page: str) -> list[Block]:
             close_block()
             links = 0
             if name not in VOID:
-                tokens = (name, *(x.lower() for _, *v in _NAMED.findall(rest) for x in _PART.findall("".join(v))))
-                _, head, tail, depth = stack[-1] if stack else ("", (), (), 0)
-                room = max(0, ENDS - len(head)) if not tail else 0
-                stack.append((name, head + tokens[:room], (tail + tokens[room:])[-ENDS:], depth + len(tokens)))
+                stack.append((name, Path(path(), _tokens(name, rest))))
                 opened[name] += 1
     close_block()
-    return out
 
 
 _hashed: dict[str, int] = {}
@@ -221,20 +251,57 @@ def _number(token: str) -> int:
     return _hashed[token]
 
 
-def encode(found: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Per block: rows of the tag table, rows of the word table, and counts."""
-    tags, words, counts = [], [], np.zeros((len(found), COUNTS))
+@dataclass
+class Page:
+    """What the network reads of a page: rows of the tag table for each part of a path, under the part above it; each block's part; rows of the word table and counts for each block."""
+
+    above: list[int]
+    parts: list[list[int]]
+    at: list[int]
+    depths: np.ndarray
+    words: list[np.ndarray]
+    counts: np.ndarray
+
+    def tags(self, k: int) -> np.ndarray:
+        """Rows of the tag table of the whole path of a block: a mark, every token, and the last of them apart."""
+        rows, part = [], self.at[k]
+        last = [_last(self.parts[part][-1])] if part >= 0 else []
+        while part >= 0:
+            rows.append(self.parts[part])
+            part = self.above[part]
+        return np.array([_MARK, *(x for r in reversed(rows) for x in r), *last])
+
+
+_MARK = crc32(b"t:") % N_TAGS
+
+
+def _last(row: int) -> int:
+    """The row that stands for a token as the last one of its path."""
+    return (row * 0x9E3779B1 + 0x85EBCA6B & 0xFFFFFFFF) >> 21
+
+
+def encode(found: list[Block]) -> Page:
+    """A page's blocks as rows of the tables and counts; every part of a path is looked up once."""
+    numbers: dict[int, int] = {}
+    page = Page([], [], [], np.array([b.path.depth if b.path else 0 for b in found]), [], np.zeros((len(found), COUNTS)))
     for k, b in enumerate(found):
-        # The innermost tag and the one above it count apart from where else they stand in the path.
-        tags.append(np.array([_number("t:" + x) % N_TAGS for x in ("", *b.path, *(f"last:{x}" for x in b.path[-1:]))]))
+        new, part = [], b.path
+        while part and id(part) not in numbers:
+            new.append(part)
+            part = part.above
+        for part in reversed(new):
+            page.above.append(numbers[id(part.above)] if part.above else -1)
+            page.parts.append([_number("t:" + x) % N_TAGS for x in part.tokens])
+            numbers[id(part)] = len(numbers)
+        page.at.append(numbers[id(b.path)] if b.path else -1)
         own = b.text.lower().split()
-        words.append(np.array([_number(w) for w in own], np.int64) % N_WORDS)
+        page.words.append(np.array([_number(w) for w in own], np.int64) % N_WORDS)
         n = len(b.text)
-        counts[k] = (
+        page.counts[k] = (
             np.log1p(n) / 8, np.log1p(len(own)) / 6, min(1.0, b.linked / n), b.text[-1] in ".!?:…\"'”’", k / len(found),
-            sum(map(b.text.count, ".,;")) / n * 10, b.depth / 20, 1.0,
+            sum(map(b.text.count, ".,;")) / n * 10, page.depths[k] / 20, 1.0,
         )
-    return tags, words, counts
+    return page
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -252,16 +319,33 @@ class Network:
             self.p |= {f"{way}x": rng.normal(0, d**-0.5, (d, 4 * HIDDEN)), f"{way}h": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 4 * HIDDEN)), f"{way}b": np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)}
         self.p |= {"out": rng.normal(0, 0.3, 2 * HIDDEN), "skip": np.zeros(d), "bias": np.zeros(1)}
 
-    def _inputs(self, pages: list) -> tuple[np.ndarray, np.ndarray, list]:
+    def _tag_means(self, page: Page) -> np.ndarray:
+        """The mean vector of each block's whole path, as a running sum along the paths."""
+        table, at = self.p["tags"], np.array(page.at)
+        mean = np.tile(table[_MARK], (len(at), 1))
+        if page.parts:
+            n = np.array([len(r) for r in page.parts])
+            sums = np.add.reduceat(table[np.concatenate(page.parts)], np.cumsum(n) - n, axis=0)
+            for k, above in enumerate(page.above):
+                if above >= 0:
+                    sums[k] += sums[above]
+            last = table[[_last(r[-1]) for r in page.parts]]
+            mean[at >= 0] += (sums + last)[at[at >= 0]]
+        return mean / (page.depths + 1 + (at >= 0))[:, None]
+
+    def _inputs(self, pages: list[Page], learn: bool) -> tuple[np.ndarray, np.ndarray, list]:
         """Input vectors (steps, pages, d), which steps exist, and what the gradient needs of the tables."""
-        lengths = np.array([len(c) for *_, c in pages])
+        lengths = np.array([len(p.counts) for p in pages])
         x = np.zeros((lengths.max(), len(pages), TAG_DIM + WORD_DIM + COUNTS))
         at = np.arange(lengths.max())[:, None] < lengths
         step = np.concatenate([np.arange(n) for n in lengths])
         page = np.repeat(np.arange(len(pages)), lengths)
         kept = []
-        for name, k, lo, hi in (("tags", 0, 0, TAG_DIM), ("words", 1, TAG_DIM, TAG_DIM + WORD_DIM)):
-            rows = [r for p in pages for r in p[k]]
+        for name, lo, hi in (("tags", 0, TAG_DIM), ("words", TAG_DIM, TAG_DIM + WORD_DIM)):
+            if name == "tags" and not learn:
+                x[step, page, lo:hi] = np.concatenate([self._tag_means(p) for p in pages])
+                continue
+            rows = [p.tags(k) if name == "tags" else p.words[k] for p in pages for k in range(len(p.counts))]
             n = np.array([len(r) for r in rows])
             flat, block = np.concatenate(rows), np.repeat(np.arange(len(rows)), n)
             mean = np.zeros((len(rows), hi - lo))
@@ -270,7 +354,7 @@ class Network:
             mean[some] = np.add.reduceat(self.p[name][flat], starts, axis=0) / n[some, None]
             x[step, page, lo:hi] = mean
             kept.append((name, flat, block, n, lo, hi))
-        x[step, page, TAG_DIM + WORD_DIM :] = np.concatenate([c for *_, c in pages])
+        x[step, page, TAG_DIM + WORD_DIM :] = np.concatenate([p.counts for p in pages])
         return x, at, [step, page, kept]
 
     def _pass(self, way: str, x: np.ndarray, at: np.ndarray, learn: bool = True) -> tuple[np.ndarray, list]:
@@ -297,8 +381,8 @@ class Network:
             hs[t] = h
         return hs, memory
 
-    def forward(self, pages: list, learn: bool = True) -> tuple[np.ndarray, tuple]:
-        x, at, where = self._inputs(pages)
+    def forward(self, pages: list[Page], learn: bool = True) -> tuple[np.ndarray, tuple]:
+        x, at, where = self._inputs(pages, learn)
         f, fm = self._pass("f", x, at, learn)
         b, bm = self._pass("b", x, at, learn)
         p = _sigmoid(f @ self.p["out"][:HIDDEN] + b @ self.p["out"][HIDDEN:] + x @ self.p["skip"] + self.p["bias"])
@@ -339,15 +423,16 @@ class Network:
         Pages of like length go together, at most 64 and ``CELLS`` steps of all in a pass.
         """
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if len(pages[k][2])), key=lambda k: len(pages[k][2]))
+        size = [len(p.counts) for p in pages]
+        order = sorted((k for k in range(len(pages)) if size[k]), key=lambda k: size[k])
         while order:
             n = 1
-            while n < min(64, len(order)) and len(pages[order[n]][2]) * (n + 1) <= CELLS:
+            while n < min(64, len(order)) and size[order[n]] * (n + 1) <= CELLS:
                 n += 1
             part, order = order[:n], order[n:]
             p, _ = self.forward([pages[k] for k in part], learn=False)
             for col, k in enumerate(part):
-                out[k] = p[: len(pages[k][2]), col]
+                out[k] = p[: size[k], col]
         return out
 
 
@@ -374,6 +459,7 @@ STOCK = {
     "advert": ("Advertisement", "Sponsored content", "Buy now and save 20%", "Limited offer", "Click here"),
     "form": ("Your email", "Subscribe", "Search", "Name", "Send", "Password", "Leave this field empty"),
     "share": ("Share this", "Tweet", "Share on Facebook", "Print", "Email this"),
+    "part": ("Please enable JavaScript to view this page.", "Your browser does not support this element.", "Choose a language", "English", "Loading", "Submit", "OK", "Play", "Close menu", "Icon"),
     "comments": ("Comments", "Leave a reply", "Great article!", "Thanks for sharing.", "says:", "3 comments", "Reply", "I do not agree with this."),
 }
 
@@ -407,12 +493,23 @@ def synthetic_page(rnd: random.Random) -> tuple[str, list[int]]:
             return f"<p><b>{body}<br>"
         return f"<{tag}>{body}</{tag}>" if style < 0.8 or tag != "p" else f"<p>{body}"
 
+    def part() -> str:
+        # Of what stands in elements that are no text flow, now and then prose.
+        tag = rnd.choice(sorted(HIDDEN_PARTS))
+        labels.append(0)
+        text = rnd.choice(STOCK["part"]) if rnd.random() < 0.7 else sentence(1, 12)
+        inner = f"<p>{text}</p>" if tag in ("noscript", "template", "iframe") and rnd.random() < 0.5 else text
+        return f"<{tag}{attribute(('fallback', 'btn', 'icon', 'picker', 'player'))}>{inner}</{tag}>"
+
     def main_part() -> str:
         parts = [leaf("h1", sentence(2, 10), 1)] if rnd.random() < 0.85 else []
         for _ in range(rnd.choice([1, 2, 4, 8, 14, 25])):
             kind = rnd.random()
             if kind < 0.82:
                 parts.append(leaf("p", prose() if rnd.random() < 0.85 else word().capitalize() + ".", 1))
+                if rnd.random() < 0.04:
+                    labels.append(1)
+                    parts.append(f"<p>{sentence()} {part()} {sentence()}</p>")
             elif kind < 0.88:
                 parts.append(leaf("h2", sentence(1, 7), 1))
             elif kind < 0.92:
@@ -420,7 +517,7 @@ def synthetic_page(rnd: random.Random) -> tuple[str, list[int]]:
             elif kind < 0.95:
                 parts.append("<blockquote>" + leaf("p", prose(), 1) + "</blockquote>")
             else:
-                parts.append(around(rnd.choice(["advert", "share", "notice", "sidebar", "form"])))
+                parts.append(around(rnd.choice(["advert", "share", "notice", "sidebar", "form"])) if rnd.random() < 0.8 else part())
         return "".join(parts)
 
     def around(kind: str) -> str:
@@ -452,6 +549,8 @@ def synthetic_page(rnd: random.Random) -> tuple[str, list[int]]:
         html_parts.append(around("header"))
     for kind in rnd.sample(["menu", "menu", "advert", "notice", "form", "share", "sidebar"], rnd.randint(1, 4)):
         html_parts.append(around(kind))
+    if rnd.random() < 0.3:
+        html_parts.append(part())
     if semantic:
         tag = rnd.choice(["article", "article", "article", "main", "section"])
     else:
@@ -459,10 +558,17 @@ def synthetic_page(rnd: random.Random) -> tuple[str, list[int]]:
     # Half of the articles stand inside further containers.
     name = attribute(INSIDE) if tag in ("div", "section") or rnd.random() < 0.5 else ""
     outer = rnd.random() < 0.5
-    html_parts.append((f"<div{attribute(('container', 'wrapper', 'page', 'row', 'site'))}>" if outer else "") + f"<{tag}{name}>" + main_part())
+    body = f"<{tag}{name}>" + main_part()
     if rnd.random() < 0.15:
-        html_parts.append(around("comments"))
-    html_parts.append(f"</{tag}>")
+        body += around("comments")
+    body += f"</{tag}>"
+    # Some articles stand in what browsers show without scripts.
+    shell = rnd.choice(["noscript", "template"]) if rnd.random() < 0.06 else ""
+    if shell and f"</{shell}" not in body:
+        body = f"<{shell}>{body}</{shell}>"
+    html_parts.append((f"<div{attribute(('container', 'wrapper', 'page', 'row', 'site'))}>" if outer else "") + body)
+    if rnd.random() < 0.3:
+        html_parts.append(part())
     for kind in rnd.sample(["comments", "comments", "comments", "share", "sidebar", "advert", "form", "notice", "menu"], rnd.randint(0, 4)):
         html_parts.append(around(kind))
     html_parts.append("</div>" if outer else "")
