@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_texts, free, others, sized, small_batches
+from concord.llm.common import Table, byte_texts, free, others, sized, small_batches
 
 WINDOW = 3
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -79,12 +79,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = dict(zip(docs.columns, names))
     t = F.coalesce(F.col(own[text_col]).cast("string"), F.lit(""))
     rows = kept.withColumns({"id": F.col(own[id_col]).cast("long"), "t": t, "digest": F.unhex(F.md5(t))})
-    seen = _windows(rows, size)
+    # Written once: what repeats is looked up in it, and then where.
+    windows = Table(_windows(rows, size), "windows")
+    seen = windows.df
     place = F.struct(F.col("id").isNull().alias("a"), "id", "digest", "n")
     first = seen.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     repeats = seen.join(first, "key").where(place > F.col("first")).select("id", "digest", "n")
     by_doc = repeats.groupBy("id", "digest").agg(F.collect_set("n").alias("starts"))
-    by_doc = by_doc.select(F.col("id").alias("id2"), F.col("digest").alias("digest2"), "starts").hint("shuffle_hash")
+    by_doc = Table(by_doc.select(F.col("id").alias("id2"), F.col("digest").alias("digest2"), "starts"), "starts").df.hint("shuffle_hash")
+    windows.drop()
     joined = rows.join(by_doc, rows["id"].eqNullSafe(by_doc["id2"]) & (rows["digest"] == by_doc["digest2"]), "left")
     done = joined.withColumn("cut", _cutter(size)(F.col("t"), F.col("starts")))
     return done.select(*[F.col(own[c]).alias(c) for c in others(docs.columns, out)], F.col("cut").alias(out))

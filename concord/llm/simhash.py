@@ -27,9 +27,12 @@ one.  The sets themselves are then compared.  A pair of likeness 0.8 can fail to
 the README gives the measured share.
 
 A group of many near copies would give the square of its size in pairs.  Each list first compares its
-members with one of them, its hub, chosen by ``HUBS`` different orders; then with the member that is in
-most lists, and with the one in fewest; then all pairs of a list that are not connected yet are
-compared, so every link counts that joins two components.
+members with one of them, its hub, which is the member in most lists; of its lists' hubs each member
+takes the ``EACH`` that it meets most often.  ``HUBS`` times in all, members that are not connected with
+all of their lists yet do so with other hubs.  In lists of up to ``SHORT`` members all pairs that are not connected yet are compared then.
+The members of longer ones are compared if they share one of their rarest shingles, by the prefix
+filter for sets, which finds every pair alike enough and leaves what all copies share unread.  So
+every link counts that joins two components.
 """
 
 from __future__ import annotations
@@ -53,7 +56,7 @@ BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0
 MIN_LISTS = 3
 SIXES = list(combinations(range(8), 6))
 
-WIDE_SHINGLE, LIKENESS, WIDE, CLASSES, MIN_SHARED, HUBS = 5, 0.8, 192, 3, 24, 4
+WIDE_SHINGLE, LIKENESS, WIDE, CLASSES, MIN_SHARED, HUBS, EACH, SHORT = 5, 0.8, 192, 3, 24, 3, 4, 4
 _EPS = 1e-9
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Which bits are set in each byte value, least significant first.
@@ -205,16 +208,25 @@ def _sharing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return pairs.join(wide.toDF("u", "x"), "u").join(wide.toDF("v", "y"), "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float) -> DataFrame:
-    """Those of the pairs ``(u, v)`` of nodes that share enough bytes and whose sets are as alike as ``likeness``."""
-    pairs = Table(_sharing(pairs, nodes, MIN_SHARED), "pairs").df
-    ends = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    wanted = nodes.select("key", F.col("tag").alias("tag2"), F.col("first").alias("id2")).join(ends, "key", "left_semi")
+def _sets(keys: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int) -> Table:
+    """``key, own``: the sorted shingle hashes of the nodes in ``keys(key)``, from one row of each."""
+    wanted = nodes.select("key", F.col("tag").alias("tag2"), F.col("first").alias("id2")).join(keys.distinct(), "key", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches, 64):
             yield pa.record_batch([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in byte_texts(b, "t")], pa.binary())], names=["key", "own"])
 
+    # One row of each node, so that its copies stay where they are.
+    own = (F.col("tag") == F.col("tag2")) & F.col("id").eqNullSafe(F.col("id2"))
+    texts = rows.join(wanted, own).select("key", "t").dropDuplicates(["key"])
+    return Table(texts.mapInArrow(cut, "key long, own binary"), "sets")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float) -> Table:
+    """Those of the pairs ``(u, v)`` of nodes that share enough bytes and whose sets are as alike as ``likeness``."""
+    near = Table(_sharing(pairs, nodes, MIN_SHARED), "pairs")
+    sets = _sets(near.df.select(F.col("u").alias("key")).union(near.df.select("v")), rows, nodes, shingle)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches):
             alike = []
@@ -224,52 +236,89 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
                 alike.append(both >= likeness * (x.size + y.size - both) - _EPS)
             yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    # One row of each node, so that its copies stay where they are.
-    own = (F.col("tag") == F.col("tag2")) & F.col("id").eqNullSafe(F.col("id2"))
-    texts = rows.join(wanted, own).select("key", "t").dropDuplicates(["key"])
-    sets = Table(texts.mapInArrow(cut, "key long, own binary"), "sets")
     a, b = sets.df.toDF("u", "a"), sets.df.toDF("v", "b")
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+    edges = Table(near.df.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long"), "edges")
+    near.drop()
+    sets.drop()
+    return edges
+
 
+def _rarest(members: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float) -> Table:
+    """``(u, v)``: all pairs of ``members(key, root)`` of different roots that can be as alike as ``likeness``, by their rarest shingles.
 
-def _wide_links(rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float, classes: int) -> DataFrame:
+    Sets of sizes s and t so alike share ``o = likeness / (1 + likeness) * (s + t)`` members or more.  With
+    all sets in one order, the first ``s - o + 1`` of one and the first ``t - o + 1`` of the other have one in
+    common.  The order is by rarity among these members, so what a large group of copies shares
+    comes last and is hardly ever looked up.
+    """
+    sets = _sets(members.select("key"), rows, nodes, shingle)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sized(batches, 64):
+            own = [np.frombuffer(x, "<i8") for x in byte_texts(b, "own")]
+            sizes = np.array([len(x) for x in own], np.int64)
+            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.concatenate(own)), pa.array(np.repeat(sizes, sizes))], names=["key", "gram", "size"])
+
+    grams = sets.df.mapInArrow(spread, "key long, gram long, size long")
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("often", "gram"))
+    first = grams.join(often, "gram").withColumn("place", place).where((F.col("place") <= F.col("size") * F.lit(1 - likeness) + F.lit(1 + _EPS)) & (F.col("often") > 1))
+    posts = Table(first.join(members, "key").select("gram", "key", "root", "size", "place"), "posts")
+    shared = F.ceil((F.col("size") + F.col("size2")) * F.lit(likeness / (1 + likeness)) - F.lit(_EPS))
+    reach = (F.col("place") <= F.col("size") - shared + 1) & (F.col("place2") <= F.col("size2") - shared + 1)
+    met = posts.df.join(posts.df.toDF("gram", "key2", "root2", "size2", "place2"), "gram").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & reach)
+    pairs = Table(met.select(F.col("key").alias("u"), F.col("key2").alias("v")).distinct(), "pairs")
+    sets.drop()
+    posts.drop()
+    return pairs
+
+
+def _wide_links(rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float, classes: int, short: int) -> DataFrame:
     """``(u, v)`` edges between nodes that connect those of likeness ``likeness`` or more which meet in a list."""
     posts = _wide_postings(nodes, classes)
-    # Keys are hashes, so flipping some of their bits gives another order; an integer is aggregated in place.
-    flips = F.get(F.lit([int(x) for x in _FACTORS[:HUBS].view(np.int64)]).cast("array<bigint>"), F.pmod("list", F.lit(HUBS)).cast("int"))
-    hubs = posts.withColumn("turned", F.col("key").bitwiseXOR(flips)).groupBy("list").agg(F.min("turned").alias("hub"), F.max("turned").alias("top"))
-    hubs = hubs.where("hub < top").select("list", F.col("hub").bitwiseXOR(flips).alias("hub"))
-    hubs = Table(hubs, "hubs")
-    lists = Table(posts.join(hubs.df, "list"), "lists")
-    hubs.drop()
+    shared = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list")
+    lists = Table(posts.join(shared, "list"), "lists")
     ends = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
-    met = [Table(lists.df.where("key != hub").select(*ends("key", "hub")).distinct(), "pairs")]
-    edges = [Table(_verified(met[0].df, rows, nodes, shingle, likeness), "edges")]
-    # Members in most lists are the middle of their group, those in fewest its rim: both are hubs once.
-    for order in (F.desc, F.asc, None):
-        roots = components(reduce(DataFrame.union, [x.df for x in edges])).withColumnRenamed("node", "key")
-        placed = lists.df.join(roots, "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
-        # Lists of two members have met already; of longer ones those in more than one component are left.
-        split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2")
-        left = Table(placed.join(split.select("list"), "list", "left_semi"), "left")
-        other = left.df.toDF("list", "key2", "root2")
-        if order:
-            often = left.df.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("often"))
-            rank = F.struct(F.col("often") if order is F.desc else -F.col("often"), "key2", "root2")
-            other = other.join(often, "key2").groupBy("list").agg(F.max(rank).alias("h")).select("list", "h.key2", "h.root2")
-            pairs = left.df.join(other, "list").where("root != root2")
+    left, met, edges, found = lists.df.withColumn("root", F.col("key")), [], None, None
+    for last in (*[False] * HUBS, True):
+        if edges is not None:
+            found = components(edges)
+            placed = lists.df.join(found.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
+            # Lists whose members are in more than one component are left.
+            split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+            table = Table(placed.join(split.select("list", "n"), "list"), "left")
+            left = table.df
+        if not last:
+            # The member in most lists is the middle of its group.
+            often = left.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("often"))
+            other = left.select("list", F.col("key").alias("key2"), F.col("root").alias("root2"))
+            middle = other.join(often, "key2").groupBy("list").agg(F.max(F.struct("often", "key2", "root2")).alias("h")).select("list", "h.key2", "h.root2")
+            hubs = left.join(middle, "list").where("root != root2").groupBy("key", "key2").agg(F.count(F.lit(1)).alias("lists")).select("key", "lists", "key2", *ends("key", "key2"))
+            if met:
+                hubs = hubs.join(reduce(DataFrame.union, [x.df for x in met]), ["u", "v"], "left_anti")
+            # Of its hubs a member is compared with those that it meets most often.
+            turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("lists"), "key2"))
+            pairs = hubs.withColumn("turn", turn).where(F.col("turn") <= EACH).select("u", "v")
         else:
-            pairs = left.df.join(other, "list").where("key < key2 AND root != root2")
-        pairs = pairs.select(*ends("key", "key2")).distinct().join(reduce(DataFrame.union, [x.df for x in met]), ["u", "v"], "left_anti")
+            other = left.select("list", F.col("key").alias("key2"), F.col("root").alias("root2"))
+            pairs = left.where(F.col("n") <= short).join(other, "list").where("key < key2 AND root != root2").select(*ends("key", "key2"))
+            far = _rarest(left.where(F.col("n") > short).select("key", "root").distinct(), rows, nodes, shingle, likeness)
+            pairs = pairs.union(far.df)
+        pairs = pairs.distinct()
+        if met:
+            pairs = pairs.join(reduce(DataFrame.union, [x.df for x in met]), ["u", "v"], "left_anti")
         met.append(Table(pairs, "pairs"))
-        left.drop()
-        edges.append(Table(_verified(met[-1].df, rows, nodes, shingle, likeness), "edges"))
-    for x in (*met, lists):
+        new = _verified(met[-1].df, rows, nodes, shingle, likeness).df
+        if found is not None:
+            table.drop()
+        # What is connected already stays so as stars, which takes few rounds to connect again.
+        edges = new if found is None else found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new)
+    for x in (*met, lists, far):
         x.drop()
-    return reduce(DataFrame.union, [x.df for x in edges])
+    return edges
 
 
-def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, likeness: float = LIKENESS, classes: int = CLASSES) -> DataFrame:
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, likeness: float = LIKENESS, classes: int = CLASSES, short: int = SHORT) -> DataFrame:
     """One row per input row: ``id, tag`` and ``component_id``, the least id reachable by links of likeness ``likeness``.
 
     Words, null and repeated ids, null texts and texts without a word are treated as in
@@ -281,7 +330,7 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     rows = rows.select("id", F.xxhash64("t").alias("tag"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sized(batches):
+        for b in sized(batches, 128):
             found = [shingles(t, shingle) for t in byte_texts(b, "t")]
             keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], dtype=np.uint64).view(np.int64)
             wide = pa.array([wide_fingerprint(x) for x in found], pa.binary())
@@ -292,7 +341,7 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))
     nodes = prints.df.groupBy("key").agg(least.alias("m"), F.min("wide").alias("wide"))
     nodes = Table(nodes.select("key", F.col("m.id").alias("first"), F.col("m.tag").alias("tag"), "wide"), "nodes")
-    found = components(_wide_links(rows, nodes.df, shingle, likeness, classes))
+    found = components(_wide_links(rows, nodes.df, shingle, likeness, classes, short))
     by_key = Table(least_ids(nodes.df.select("key", "first"), found), "roots")
     nodes.drop()
     return prints.df.select("id", "tag", "key").join(by_key.df, "key").select("id", "tag", "component_id")

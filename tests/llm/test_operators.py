@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from concord.llm import bpe, extract, linededup, minhash, mixing, quality, queries, simhash, substring
 from concord.llm.components import components
@@ -126,16 +127,47 @@ def test_unclosed_elements_lose_nothing():
     text = lambda page: [b.text for b in extract.blocks(page)]
     for name in sorted(extract.HIDDEN_PARTS):
         assert text(f"<article><p>one</p><{name}>x<p>two is long text</p></article>") == ["one", "x", "two is long text"]
-        assert text(f"<p>one <{name}>x</{name}> two</p>") == ["one two"]
+        assert text(f"<p>one <{name}>x</{name}> two</p>") == ["one two", "x"]
+        assert text(f"<{name}><p>a</p>b</{name}><p>c <{name}/>d") == ["a", "b", "c d"]
     for name in sorted(extract.RAW):
         assert text(f"<p>one</p><{name}>x<p>two</p>") == ["one"]
     assert text("E = <math>mc</math> holds") == ["E = mc holds"] and text("a <object>b</object>") == ["a b"]
     assert text("<p title='a > b'>x</p><p title=\"it's>y</p><p>z") == ["x", "y", "z"]
 
 
+def test_tags_of_many_quoted_values():
+    many = " ".join(f"data-{k}='a > {k}'" for k in range(40))
+    page = f"<body><div {many} class='x'><p {many}>one</p>two</div></body>"
+    found = extract.blocks(page)
+    assert [b.text for b in found] == ["one", "two"] and "x" in found[1].path.tokens
+    assert [b.text for b in extract.blocks('<p a="1" b=">" c=">>x</p>y')] == ['" c=">>x', "y"]
+
+
+def test_whole_paths_count():
+    """Deep paths differ in what the network reads wherever their tokens differ."""
+    deep = lambda k: "".join(f"<div class='{'odd' if j == k else 'even'}'>" for j in range(200)) + "text"
+    net = extract.Network(3)
+    read = [net._inputs([extract.encode(extract.blocks(deep(k)))], learn)[0] for k in (0, 100, 250) for learn in (False, True)]
+    assert all(np.allclose(a, b) for a, b in zip(read[::2], read[1::2]))
+    assert np.allclose(read[0], read[2]) and not np.allclose(read[0], read[4])
+
+
+def test_an_article_shown_without_scripts(spark):
+    prose = "This is a long sentence of the story, which goes on for some time. And there is another one, of the same kind, to read."
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{k}'>Item {k}</a></li>" for k in range(6)) + "</ul></nav>"
+    parts = "".join(f"<p>{prose} {k}.</p>" for k in range(8))
+    page = f"<html><body>{menu}<noscript><article><h1>The title of it</h1>{parts}</article></noscript><button>Subscribe</button><footer>All rights reserved</footer></body></html>"
+    want = "\n".join(["The title of it", *(f"{prose} {k}." for k in range(8))])
+    assert extract.main_text(extract.trained(), [page]) == [want]
+    plain = page.replace("<noscript>", "").replace("</noscript>", "").replace("<footer>", "<noscript>Please enable JavaScript.</noscript><select><option>English</option></select><footer>")
+    assert extract.main_text(extract.trained(), [plain]) == [want]
+
+
 HOSTILE = {
     "open tags": "<a " * 333_000, "deep": "<div>x" * 20_000, "items": "<ul>" + "<li>item text here" * 100_000 + "</ul>", "quotes": '<a ">" ' * 100_000,
     "buttons": "<button>" * 100_000, "stray ends": "<div>" * 20_000 + "</p>" * 50_000 + "<li>x" * 20_000, "angles": "<" * 1_000_000,
+    "parts": "<svg>x</svg><button>" * 50_000 + "</button>" * 50_000, "nested parts": "<button><select><canvas><svg>" * 20_000 + "</svg></canvas></select></button>" * 20_000,
+    "classes": "".join(f"<div class='c{k} {chr(97 + k % 26) * 9}'>x" for k in range(20_000)), "mixed quotes": "<a '\">\"' " * 60_000,
 }
 
 
@@ -147,7 +179,7 @@ def test_hostile_pages_take_bounded_time_and_memory(name):
         "page, net = sys.stdin.read(), extract.Network(3)\n"
         "start = time.process_time()\n"
         "net.predict([extract.encode(extract.blocks(p)) for p in [page] + ['<p>one</p>'] * 63])\n"
-        "print(time.process_time() - start, int(re.search('VmHWM: *\\t*([0-9]+)', open('/proc/self/status').read())[1]) / 1024)"
+        "print(time.process_time() - start, int(re.search('VmHWM:[^0-9]*([0-9]+)', open('/proc/self/status').read())[1]) / 1024)"
     )
     env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(extract.__file__.rsplit("/", 1)[0])), "OPENBLAS_NUM_THREADS": "1"}
     out = subprocess.run([sys.executable, "-c", code], input=HOSTILE[name], capture_output=True, text=True, env=env, check=True)
@@ -188,7 +220,8 @@ def test_network_gradient_and_accuracy():
 
 def probabilities_by_hand(net, blocks):
     """One page, block by block and gate by gate."""
-    tags, words, counts = extract.encode(blocks)
+    page = extract.encode(blocks)
+    tags, words, counts = [page.tags(k) for k in range(len(blocks))], page.words, page.counts
     mean = lambda t, rows: net.p[t][rows].mean(0) if len(rows) else np.zeros(net.p[t].shape[1])
     xs = [np.concatenate([mean("tags", t), mean("words", w), c]) for t, w, c in zip(tags, words, counts)]
     sides = []
@@ -564,6 +597,60 @@ def test_pairs_of_any_likeness_meet(spark):
     assert all(r.component_id in (r.id, group[r.id]) for r in out)
 
 
+def spread_texts(n, seed, most, length=150):
+    """Copies of one text in which any share of the words, up to ``most``, is replaced by words of their own."""
+    rnd, base = random.Random(seed), [f"b{k}" for k in range(length)]
+    texts = []
+    for k in range(n):
+        own = list(base)
+        for at in rnd.sample(range(length), rnd.randrange(most + 1)):
+            own[at] = f"own{k}x{at}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def likeness_of(texts):
+    """Jaccard likeness of texts of five-word shingles of which only those of the common base can be shared."""
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    common = {g: k for k, g in enumerate(sorted({g for s in sets for g in s if not any("own" in w for w in g)}))}
+    rows = np.zeros((len(texts), len(common)), np.float32)
+    for k, s in enumerate(sets):
+        rows[k, [common[g] for g in s if g in common]] = 1
+    both, size = rows @ rows.T, np.array([len(s) for s in sets])
+    return both / (size[:, None] + size - both)
+
+
+@pytest.mark.parametrize("short", [2, 16, 10**6])
+def test_a_large_group_around_the_threshold(spark, short):
+    """Of a group whose members are 0.2 to 1 alike, what the stage joins is what all pairs join, however long lists are treated."""
+    texts = spread_texts(700, 3, 30)
+    near = likeness_of(texts) >= 0.8 - 1e-6
+    group = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in np.flatnonzero(near[j, :j]):
+            a, b = sorted((group[i], group[j]))
+            if a != b:
+                group = [a if g == b else g for g in group]
+    got = [r.component_id for r in simhash.alike(table(spark, texts), short=short).orderBy("id").collect()]
+    right = sum(g == w for g, w in zip(got, group))
+    assert right >= 0.99 * len(texts) and all(group[g] == w for g, w in zip(got, group))
+
+
+def test_a_list_of_thousands_makes_few_pairs(spark):
+    """All pairs alike enough are among those compared, and these are few, though all texts are one long list."""
+    n = 5000
+    texts = spread_texts(n, 5, 40)
+    near = likeness_of(texts)
+    rows = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "id long, tag long, t string").withColumn("tag", F.xxhash64("t")).repartition(8)
+    nodes = rows.select(F.col("id").alias("key"), F.col("id").alias("first"), "tag")
+    far = [k for k in range(n) if near[k].argsort()[-2] != k and (near[k] >= 0.8).sum() <= 2]  # what hubs leave
+    members = spark.createDataFrame([(k, k) for k in far], "key long, root long")
+    got = {(r.u, r.v) for r in simhash._rarest(members, rows, nodes, 5, 0.8).df.collect()}
+    left = set(far)
+    want = {(i, j) for j in far for i in map(int, np.flatnonzero(near[j, :j] >= 0.8 + 1e-6)) if i in left}
+    assert len(far) > 1500 and want <= got and len(got) < 3 * len(far)
+
+
 def test_lists_in_which_fingerprints_meet():
     for n in range(5):
         for gone in combinations(range(8), n):
