@@ -26,13 +26,13 @@ to 168 differing bits and is under half of what a likeness of 0.8 leads to expec
 one.  The sets themselves are then compared.  A pair of likeness 0.8 can fail to meet in any list;
 the README gives the measured share.
 
-A group of many near copies would give the square of its size in pairs.  Each list first compares its
-members with one of them, its hub, which is the member in most lists; of its lists' hubs each member
-takes the ``EACH`` that it meets most often.  ``HUBS`` times in all, members that are not connected with
-all of their lists yet do so with other hubs.  In lists of up to ``SHORT`` members all pairs that are not connected yet are compared then.
-The members of longer ones are compared if they share one of their rarest shingles, by the prefix
-filter for sets, which finds every pair alike enough and leaves what all copies share unread.  So
-every link counts that joins two components.
+A group of many near copies would give the square of its size in pairs.  Each list has a hub, any one
+of its members, and each member is compared with those ``EACH`` of its lists' hubs that it meets most
+often; then, if it is not connected with all its lists yet, with so many of their members in most
+lists.  In lists of up to ``SHORT`` members all pairs that are not connected yet are compared then.  The
+members of longer ones are compared if they share one of their rarest shingles, by the prefix filter
+for sets, which finds every pair alike enough and leaves what all copies share unread; so it stands
+for their short lists too.  So every link counts that joins two components.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0
 MIN_LISTS = 3
 SIXES = list(combinations(range(8), 6))
 
-WIDE_SHINGLE, LIKENESS, WIDE, CLASSES, MIN_SHARED, HUBS, EACH, SHORT = 5, 0.8, 192, 3, 24, 3, 4, 4
+WIDE_SHINGLE, LIKENESS, WIDE, CLASSES, MIN_SHARED, EACH, SHORT = 5, 0.8, 192, 3, 24, 8, 16
 _EPS = 1e-9
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Which bits are set in each byte value, least significant first.
@@ -257,13 +257,14 @@ def _rarest(members: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
         for b in sized(batches, 64):
             own = [np.frombuffer(x, "<i8") for x in byte_texts(b, "own")]
             sizes = np.array([len(x) for x in own], np.int64)
-            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.concatenate(own)), pa.array(np.repeat(sizes, sizes))], names=["key", "gram", "size"])
+            keys, roots = (np.repeat(b.column(k).to_numpy(), sizes) for k in (0, 2))
+            yield pa.record_batch([pa.array(keys), pa.array(roots), pa.array(np.concatenate(own)), pa.array(np.repeat(sizes, sizes))], names=["key", "root", "gram", "size"])
 
-    grams = sets.df.mapInArrow(spread, "key long, gram long, size long")
+    grams = sets.df.join(members, "key").select("key", "own", "root").mapInArrow(spread, "key long, root long, gram long, size long")
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("key").orderBy("often", "gram"))
     first = grams.join(often, "gram").withColumn("place", place).where((F.col("place") <= F.col("size") * F.lit(1 - likeness) + F.lit(1 + _EPS)) & (F.col("often") > 1))
-    posts = Table(first.join(members, "key").select("gram", "key", "root", "size", "place"), "posts")
+    posts = Table(first.select("gram", "key", "root", "size", "place"), "posts")
     shared = F.ceil((F.col("size") + F.col("size2")) * F.lit(likeness / (1 + likeness)) - F.lit(_EPS))
     reach = (F.col("place") <= F.col("size") - shared + 1) & (F.col("place2") <= F.col("size2") - shared + 1)
     met = posts.df.join(posts.df.toDF("gram", "key2", "root2", "size2", "place2"), "gram").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & reach)
@@ -276,48 +277,48 @@ def _rarest(members: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
 def _wide_links(rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float, classes: int, short: int) -> DataFrame:
     """``(u, v)`` edges between nodes that connect those of likeness ``likeness`` or more which meet in a list."""
     posts = _wide_postings(nodes, classes)
-    shared = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list")
-    lists = Table(posts.join(shared, "list"), "lists")
-    ends = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
-    left, met, edges, found = lists.df.withColumn("root", F.col("key")), [], None, None
-    for last in (*[False] * HUBS, True):
-        if edges is not None:
-            found = components(edges)
-            placed = lists.df.join(found.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
-            # Lists whose members are in more than one component are left.
-            split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-            table = Table(placed.join(split.select("list", "n"), "list"), "left")
-            left = table.df
+    hubs = posts.groupBy("list").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub < top").select("list", "hub")
+    hubs = Table(hubs, "hubs")
+    lists = Table(posts.join(hubs.df, "list"), "lists")
+    hubs.drop()
+    # Keys are hashes, so the least of a list is any of its members.
+    met = [Table(_most_met(lists.df.where("key != hub").select("key", F.col("hub").alias("other"))), "pairs")]
+    edges = _verified(met[0].df, rows, nodes, shingle, likeness).df
+    for last in (False, True):
+        found = components(edges)
+        placed = lists.df.join(found.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
+        # Lists whose members are in more than one component are left.
+        split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+        table = Table(placed.join(split.select("list", "n"), "list"), "left")
+        # Members of a long list, wherever else they are.
+        left = table.df.withColumn("long", F.max("n").over(Window.partitionBy("key")) > short)
+        other = left.select("list", F.col("key").alias("key2"), F.col("root").alias("root2"), F.col("long").alias("long2"))
         if not last:
             # The member in most lists is the middle of its group.
             often = left.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("often"))
-            other = left.select("list", F.col("key").alias("key2"), F.col("root").alias("root2"))
             middle = other.join(often, "key2").groupBy("list").agg(F.max(F.struct("often", "key2", "root2")).alias("h")).select("list", "h.key2", "h.root2")
-            hubs = left.join(middle, "list").where("root != root2").groupBy("key", "key2").agg(F.count(F.lit(1)).alias("lists")).select("key", "lists", "key2", *ends("key", "key2"))
-            if met:
-                hubs = hubs.join(reduce(DataFrame.union, [x.df for x in met]), ["u", "v"], "left_anti")
-            # Of its hubs a member is compared with those that it meets most often.
-            turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("lists"), "key2"))
-            pairs = hubs.withColumn("turn", turn).where(F.col("turn") <= EACH).select("u", "v")
+            pairs = _most_met(left.join(middle, "list").where("root != root2").select("key", F.col("key2").alias("other")))
         else:
-            other = left.select("list", F.col("key").alias("key2"), F.col("root").alias("root2"))
-            pairs = left.where(F.col("n") <= short).join(other, "list").where("key < key2 AND root != root2").select(*ends("key", "key2"))
-            far = _rarest(left.where(F.col("n") > short).select("key", "root").distinct(), rows, nodes, shingle, likeness)
-            pairs = pairs.union(far.df)
-        pairs = pairs.distinct()
-        if met:
-            pairs = pairs.join(reduce(DataFrame.union, [x.df for x in met]), ["u", "v"], "left_anti")
-        met.append(Table(pairs, "pairs"))
-        new = _verified(met[-1].df, rows, nodes, shingle, likeness).df
-        if found is not None:
-            table.drop()
+            pairs = left.where(F.col("n") <= short).join(other, "list").where("key < key2 AND root != root2 AND NOT (long AND long2)").select(F.col("key").alias("u"), F.col("key2").alias("v"))
+            far = _rarest(left.where("long").select("key", "root").distinct(), rows, nodes, shingle, likeness)
+            pairs = pairs.union(far.df).distinct()
+        met.append(Table(pairs.join(reduce(DataFrame.union, [x.df for x in met]), ["u", "v"], "left_anti"), "pairs"))
+        table.drop()
         # What is connected already stays so as stars, which takes few rounds to connect again.
-        edges = new if found is None else found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new)
+        new = _verified(met[-1].df, rows, nodes, shingle, likeness).df
+        edges = found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new)
     for x in (*met, lists, far):
         x.drop()
     return edges
 
 
+def _most_met(hubs: DataFrame) -> DataFrame:
+    """``(u, v)``: every member ``key`` with those ``EACH`` of its lists' hubs ``other`` that it meets most often."""
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("lists"), "other"))
+    few = hubs.groupBy("key", "other").agg(F.count(F.lit(1)).alias("lists")).withColumn("turn", turn).where(F.col("turn") <= EACH)
+    return few.select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v")).distinct()
+
+
 def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, likeness: float = LIKENESS, classes: int = CLASSES, short: int = SHORT) -> DataFrame:
     """One row per input row: ``id, tag`` and ``component_id``, the least id reachable by links of likeness ``likeness``.
 
