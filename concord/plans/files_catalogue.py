@@ -497,7 +497,7 @@ def tournament_resumed(spark, sf_dir):
 
     def stop(number: int) -> None:
         if number == 1:
-            raise KeyboardInterrupt("stopped")
+            raise RuntimeError("stopped")
 
     try:
         stream_tournament.play_games(spark, f"{folder}/games", f"{folder}/out", judges.replay_judge(recorded), f"{folder}/cache", stop)
