@@ -103,7 +103,7 @@ _PATHS = """
 
 @query(f"""
     WITH f AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS file FROM (SELECT DISTINCT {_PATHS} AS path FROM part WHERE p_size > 25)),
-    e AS (SELECT *, regexp_extract(file, '^(.*)\.([^.]*)$', 1) AS stem, regexp_extract(file, '\.([^.]*)$', 1) AS ext FROM f),
+    e AS (SELECT *, regexp_extract(file, '^(.*)[.]([^.]*)$', 1) AS stem, regexp_extract(file, '[.]([^.]*)$', 1) AS ext FROM f),
     r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY CASE ext WHEN 'png' THEN 0 WHEN 'jpg' THEN 1 ELSE 2 END, path) AS n
           FROM e WHERE ext IN ('png', 'jpg', 'jpeg') AND file <> 'he.png')
     SELECT path, stem FROM r WHERE n = 1
