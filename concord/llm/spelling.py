@@ -8,9 +8,10 @@ The index is dealt out by several grams at once, since lists of one gram hold a
 words.  In the order of their rarity, then of their positions, at least ``SHARED`` of the first ``Q + SHARED``
 grams of either word are among those that the edit spares, and the spared ones have the same order
 in both.  A word is therefore posted under each ``SHARED`` of its first ``Q + SHARED`` grams with their
-positions: under its own length (home), and under the next length for the words that have one code
-point more (guest), with the later of the positions moved by one.  Words within one edit meet under
-at least one key.
+positions and its own length (home).  For the words that have one code point more it is posted under the
+next length, with the later of the positions moved by one (guest); a code point put in destroys
+``Q - 1`` of its grams at most, so the first ``Q - 1 + SHARED`` do.  Words within one edit meet under at
+least one key.
 
 Under a key, the members' grams are an inverted index again.  The postings of a word's grams, at the
 positions that a spared gram can have, are merged from a heap; what comes up often enough is
@@ -72,14 +73,16 @@ def _ranks(words: DataFrame) -> dict[str, int]:
 
 def keys_of(word: str, ranks: dict[str, int]) -> tuple[list[int], list[int]]:
     """The keys under which a word is posted, as hashes: those of its own length, and those of the next."""
-    first = sorted(sorted((ranks[g], p) for p, g in grams(word))[: Q + SHARED], key=lambda x: x[1])
-    still, moved = ([struct.pack("<2q", p + d, r) for r, p in first] for d in (0, 1))
+    rarest = sorted((ranks[g], p) for p, g in grams(word))[: Q + SHARED]
+    here, there = ({x: struct.pack("<2q", x[1] + d, x[0]) for x in rarest} for d in (0, 1))
     own, longer = struct.pack("<q", len(word)), struct.pack("<q", len(word) + 1)
+    by_place = lambda some: sorted(some, key=lambda x: x[1])
     key, home, guest = xxhash.xxh64_intdigest, [], []
-    for some in combinations(range(len(first)), SHARED):
-        here, there = [still[k] for k in some], [moved[k] for k in some]
-        home.append(key(own + b"".join(here)) - (1 << 63))
-        guest += [key(longer + b"".join(here[:k] + there[k:])) - (1 << 63) for k in range(SHARED + 1)]
+    for some in combinations(by_place(rarest), SHARED):
+        home.append(key(own + b"".join([here[x] for x in some])) - (1 << 63))
+    for some in combinations(by_place(rarest[: Q - 1 + SHARED]), SHARED):
+        still, moved = [here[x] for x in some], [there[x] for x in some]
+        guest += [key(longer + b"".join(still[:k] + moved[k:])) - (1 << 63) for k in range(SHARED + 1)]
     return home, guest
 
 
