@@ -27,8 +27,8 @@ one.  The sets themselves are then compared.  A pair of likeness 0.8 can fail to
 the README gives the measured share.
 
 A group of many near copies would give the square of its size in pairs.  Each list has a hub, any one
-of its members, and each member is compared with those ``EACH`` of its lists' hubs that it meets most
-often; then, if it is not connected with all its lists yet, with so many of their members in most
+of its members.  The two members of a list of two are compared; in longer ones each member is, with
+those ``EACH`` of its lists' hubs that it meets most often; then, if it is not connected with all its lists yet, with so many of their members in most
 lists.  In lists of up to ``SHORT`` members all pairs that are not connected yet are compared then.  The
 members of longer ones are compared if they share one of their rarest shingles, by the prefix filter
 for sets, which finds every pair alike enough and leaves what all copies share unread; so it stands
@@ -277,26 +277,28 @@ def _rarest(members: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
 def _wide_links(rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float, classes: int, short: int) -> DataFrame:
     """``(u, v)`` edges between nodes that connect those of likeness ``likeness`` or more which meet in a list."""
     posts = _wide_postings(nodes, classes)
-    hubs = posts.groupBy("list").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub < top").select("list", "hub")
+    hubs = posts.groupBy("list").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hubs = Table(hubs, "hubs")
     lists = Table(posts.join(hubs.df, "list"), "lists")
     hubs.drop()
     # Keys are hashes, so the least of a list is any of its members.
-    met = [Table(_most_met(lists.df.where("key != hub").select("key", F.col("hub").alias("other"))), "pairs")]
+    away = lists.df.where("key != hub")
+    twos = away.where("n = 2").select(F.col("hub").alias("u"), F.col("key").alias("v"))
+    met = [Table(_most_met(away.where("n > 2").select("key", F.col("hub").alias("other"))).union(twos).distinct(), "pairs")]
     edges = _verified(met[0].df, rows, nodes, shingle, likeness).df
     for last in (False, True):
         found = components(edges)
         placed = lists.df.join(found.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
-        # Lists whose members are in more than one component are left.
-        split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+        # Lists of two members have met already; of longer ones those in more than one component are left.
+        split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2")
         table = Table(placed.join(split.select("list", "n"), "list"), "left")
         # Members of a long list, wherever else they are.
         left = table.df.withColumn("long", F.max("n").over(Window.partitionBy("key")) > short)
         other = left.select("list", F.col("key").alias("key2"), F.col("root").alias("root2"), F.col("long").alias("long2"))
         if not last:
             # The member in most lists is the middle of its group.
-            often = left.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("often"))
-            middle = other.join(often, "key2").groupBy("list").agg(F.max(F.struct("often", "key2", "root2")).alias("h")).select("list", "h.key2", "h.root2")
+            often = other.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("key2")))
+            middle = often.groupBy("list").agg(F.max(F.struct("often", "key2", "root2")).alias("h")).select("list", "h.key2", "h.root2")
             pairs = _most_met(left.join(middle, "list").where("root != root2").select("key", F.col("key2").alias("other")))
         else:
             pairs = left.where(F.col("n") <= short).join(other, "list").where("key < key2 AND root != root2 AND NOT (long AND long2)").select(F.col("key").alias("u"), F.col("key2").alias("v"))
