@@ -26,11 +26,17 @@ to 168 differing bits and is under half of what a likeness of 0.8 leads to expec
 one.  The sets themselves are then compared.  A pair of likeness 0.8 can fail to meet in any list;
 the README gives the measured share.
 
-A group of many near copies would give the square of its size in pairs.  Each list has a hub, any one
-of its members, and each member is compared with those ``EACH`` of its lists' hubs that it meets most
-often; then, if it is not connected with all its lists yet, with so many of their members in most
-lists.  In lists of up to ``SHORT`` members all pairs that are not connected yet are compared then.  The
-members of longer ones are compared if they share one of their rarest shingles, by the prefix filter
+Three bytes are also shared by chance and by texts that are half alike, more often the more texts there
+are.  A posting therefore carries 64 bits of its fingerprint, and two members of a list count as met
+only if ``LEAST_BITS`` = 40 of these agree or more; a likeness of 0.8 leads to expect 54.  Lists are sorted and
+compared where they lie, so only those who meet become rows.
+
+A group of many near copies would give the square of its size in pairs.  Some first lists of each
+document link what is most alike.  From then on only members of different components count as met.
+Each list has hubs, and each member is compared with those ``EACH`` of its lists' hubs that it meets most
+often: first with any member of the first lists, then, in all of them, with those closest to the
+middle.  Where members of a list of up to ``SHORT`` are still not connected, all their pairs are compared.
+Those of longer ones are compared if they share one of their rarest shingles, by the prefix filter
 for sets, which finds every pair alike enough and leaves what all copies share unread; so it stands
 for their short lists too.  So every link counts that joins two components.
 """
@@ -47,6 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.llm.blocks import whole_runs
 from concord.llm.common import Table, byte_texts, sized, small_batches, text_of
 from concord.llm.components import components, least_ids
 
@@ -57,6 +64,8 @@ MIN_LISTS = 3
 SIXES = list(combinations(range(8), 6))
 
 WIDE_SHINGLE, LIKENESS, WIDE, CLASSES, MIN_SHARED, EACH, SHORT = 5, 0.8, 192, 3, 24, 8, 16
+#: Of a posting's 64 bits, how many agree in a pair; how many lists come first; of how many others each member of a longer list is compared with.
+LEAST_BITS, FIRST_LISTS, FEW = 40, 16, 32
 _EPS = 1e-9
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Which bits are set in each byte value, least significant first.
@@ -182,18 +191,134 @@ def _threes(classes: int) -> np.ndarray:
     return np.concatenate(ways[:classes])
 
 
-def _wide_postings(nodes: DataFrame, classes: int) -> DataFrame:
-    """``(list, key)``: every node in its lists; the list's number is above its three bytes."""
-    at = _threes(classes)
+def _wide_postings(nodes: DataFrame, at: np.ndarray) -> DataFrame:
+    """``(list, bits)`` and all columns of ``nodes`` but ``wide``: every node in its lists; the list's number is above its three bytes."""
     above = np.arange(len(at), dtype=np.int64) << 24
+    names = [c for c in nodes.columns if c != "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized(batches):
-            rows = np.frombuffer(b"".join(byte_texts(b, "wide")), np.uint8).reshape(-1, WIDE).astype(np.int64)
+            own = np.frombuffer(b"".join(byte_texts(b, "wide")), np.uint8).reshape(-1, WIDE)
+            rows, bits = own.astype(np.int64), np.ascontiguousarray(own[:, -8:]).view("<i8").ravel()
             lists = rows[:, at[:, 0]] << 16 | rows[:, at[:, 1]] << 8 | rows[:, at[:, 2]] | above
-            yield pa.record_batch([pa.array(lists.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), len(at)))], names=["list", "key"])
+            carried = [np.repeat(b.column(k).to_numpy(zero_copy_only=False), len(at)) for k in range(len(names))]
+            yield pa.record_batch([pa.array(x) for x in (lists.ravel(), np.repeat(bits, len(at)), *carried)], names=["list", "bits", *names])
 
-    return nodes.select("key", "wide").mapInArrow(run, "list long, key long")
+    types = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in names)
+    return nodes.select(*names, "wide").mapInArrow(run, f"list bigint, bits bigint, {types}")
+
+
+def _edges_of(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal numbers start, and how long each is."""
+    starts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(runs)))
+
+
+def _mixed(at: np.ndarray, runs: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Those of the places ``at``, in order of ``runs``, in whose run there is more than one root."""
+    if not len(at):
+        return at
+    starts, sizes = _edges_of(runs[at])
+    more = np.minimum.reduceat(root[at], starts) < np.maximum.reduceat(root[at], starts)
+    return at[np.repeat(more, sizes)]
+
+
+def _close(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits[a] ^ bits[b]) <= 64 - LEAST_BITS
+
+
+def _hubs(key: np.ndarray, root: np.ndarray, bits: np.ndarray, runs: np.ndarray, middle: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members and hubs of other roots that are close to each other.
+
+    A run's hub is its first member or, if ``middle``, the one closest to the majority of each bit.  Those
+    that are close to it are done; the others, if there are any, have a hub of their own.
+    """
+    at = np.arange(len(key))
+    while len(at):
+        starts, sizes = _edges_of(runs[at])
+        if middle:
+            each = np.unpackbits(bits[at].view(np.uint8).reshape(-1, 8), axis=1)
+            most = np.packbits(2 * np.add.reduceat(each, starts, axis=0, dtype=np.int64) > sizes[:, None], axis=1).view(np.uint64).ravel()
+            at = at[np.lexsort((key[at], np.bitwise_count(bits[at] ^ np.repeat(most, sizes)), runs[at]))]
+        hub = np.repeat(at[starts], sizes)
+        close = _close(bits, at, hub)
+        apart = close & (root[at] != root[hub])
+        yield at[apart], hub[apart]
+        at = _mixed(at[~close], runs, root)
+
+
+def _all_close(root: np.ndarray, bits: np.ndarray, runs: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of other roots that are close to each other, in runs of up to ``longest``."""
+    starts, sizes = _edges_of(runs)
+    at = np.flatnonzero(np.repeat(sizes <= longest, sizes))
+    for step in range(1, int(sizes[sizes <= longest].max(initial=0))):
+        a, b = at[:-step], at[step:]
+        same = runs[a] == runs[b]
+        a, b = a[same], b[same]
+        found = (root[a] != root[b]) & _close(bits, a, b)
+        yield a[found], b[found]
+
+
+def _apart(root: np.ndarray, bits: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Whether each member can be close to one of another root in its run; more than ``FEW`` outside a run's largest root all can."""
+    marked = np.zeros(len(runs), bool)
+    for a, b in _all_close(root, bits, runs, FEW):
+        marked[a] = marked[b] = True
+    starts, sizes = _edges_of(runs)
+    for start, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
+        own = np.arange(start, start + n)
+        roots, counts = np.unique(root[own], return_counts=True)
+        rest = own[root[own] != roots[counts.argmax()]]
+        if len(rest) > FEW:
+            marked[own] = True
+            continue
+        for k in rest:
+            found = own[(root[own] != root[k]) & _close(bits, own, np.full(n, k))]
+            marked[found] = True
+            marked[k] |= len(found) > 0
+    return marked
+
+
+def _met(nodes: DataFrame, at: np.ndarray, ways: tuple[str, ...], short: int = SHORT) -> DataFrame:
+    """``(key, other, long)`` of the members of ``nodes(key, wide, root)`` that meet members of other roots in a list.
+
+    ``first`` and ``middle`` give a row for each member and hub, ``pairs`` for each two members of a list of up
+    to ``short``, less pairs of two that ``nodes`` calls ``long``.  ``apart`` gives a row without ``other`` for each
+    member that can meet any, with whether that is in a longer list.
+    """
+
+    def found(b: pa.RecordBatch, cuts: np.ndarray) -> Iterator[tuple]:
+        column = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+        runs = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        rows = _mixed(np.arange(len(runs)), runs, column("root"))
+        rows = rows[np.lexsort((column("key")[rows], runs[rows]))]
+        key, root, bits, runs = column("key")[rows], column("root")[rows], column("bits")[rows].view(np.uint64), runs[rows]
+        if not len(rows):
+            return
+        for way in ways:
+            if way == "apart":
+                sizes = _edges_of(runs)[1]
+                marked, many = _apart(root, bits, runs), np.repeat(sizes > short, sizes)
+                for is_long in (False, True):
+                    own = np.unique(key[marked & (many == is_long)])
+                    yield own, None, np.full(len(own), is_long)
+                continue
+            for x, y in _all_close(root, bits, runs, short) if way == "pairs" else _hubs(key, root, bits, runs, way == "middle"):
+                if way == "pairs":
+                    both = column("long")[rows]
+                    both = both[x] & both[y]
+                    x, y = x[~both], y[~both]
+                yield key[x], key[y], np.zeros(len(x), bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, cuts in whole_runs(batches, "list"):
+            for key, other, is_long in found(b, cuts):
+                if len(key):
+                    other = pa.nulls(len(key), pa.int64()) if other is None else pa.array(other)
+                    yield pa.record_batch([pa.array(key), other, pa.array(is_long)], names=["key", "other", "long"])
+
+    posts = _wide_postings(nodes, at).repartition("list").sortWithinPartitions("list")
+    return posts.mapInArrow(run, "key long, other long, long boolean")
 
 
 def _sharing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
@@ -276,38 +401,32 @@ def _rarest(members: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
 
 def _wide_links(rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float, classes: int, short: int) -> DataFrame:
     """``(u, v)`` edges between nodes that connect those of likeness ``likeness`` or more which meet in a list."""
-    posts = _wide_postings(nodes, classes)
-    hubs = posts.groupBy("list").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub < top").select("list", "hub")
-    hubs = Table(hubs, "hubs")
-    lists = Table(posts.join(hubs.df, "list"), "lists")
-    hubs.drop()
-    # Keys are hashes, so the least of a list is any of its members.
-    met = [Table(_most_met(lists.df.where("key != hub").select("key", F.col("hub").alias("other"))), "pairs")]
-    edges = _verified(met[0].df, rows, nodes, shingle, likeness).df
-    for last in (False, True):
+    at, wide = _threes(classes), nodes.select("key", "wide")
+
+    def rooted(some: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = components(edges)
-        placed = lists.df.join(found.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
-        # Lists whose members are in more than one component are left.
-        split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        table = Table(placed.join(split.select("list", "n"), "list"), "left")
-        # Members of a long list, wherever else they are.
-        left = table.df.withColumn("long", F.max("n").over(Window.partitionBy("key")) > short)
-        other = left.select("list", F.col("key").alias("key2"), F.col("root").alias("root2"), F.col("long").alias("long2"))
-        if not last:
-            # The member in most lists is the middle of its group.
-            often = left.groupBy(F.col("key").alias("key2")).agg(F.count(F.lit(1)).alias("often"))
-            middle = other.join(often, "key2").groupBy("list").agg(F.max(F.struct("often", "key2", "root2")).alias("h")).select("list", "h.key2", "h.root2")
-            pairs = _most_met(left.join(middle, "list").where("root != root2").select("key", F.col("key2").alias("other")))
-        else:
-            pairs = left.where(F.col("n") <= short).join(other, "list").where("key < key2 AND root != root2 AND NOT (long AND long2)").select(F.col("key").alias("u"), F.col("key2").alias("v"))
-            far = _rarest(left.where("long").select("key", "root").distinct(), rows, nodes, shingle, likeness)
-            pairs = pairs.union(far.df).distinct()
+        return found, some.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    def joined(found: DataFrame, pairs: DataFrame) -> DataFrame:
         met.append(Table(pairs.join(reduce(DataFrame.union, [x.df for x in met]), ["u", "v"], "left_anti"), "pairs"))
-        table.drop()
         # What is connected already stays so as stars, which takes few rounds to connect again.
-        new = _verified(met[-1].df, rows, nodes, shingle, likeness).df
-        edges = found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new)
-    for x in (*met, lists, far):
+        return found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_verified(met[-1].df, rows, nodes, shingle, likeness).df)
+
+    first = _met(wide.withColumn("root", F.col("key")), at[:FIRST_LISTS], ("first",))
+    met = [Table(_most_met(first), "pairs")]
+    found, roots = rooted(wide, _verified(met[0].df, rows, nodes, shingle, likeness).df)
+    tables = [Table(_met(roots, at, ("middle", "apart"), short), "met")]
+    edges = joined(found, _most_met(tables[0].df.where("other IS NOT NULL")))
+    # Only these can meet members of other components still.
+    some = tables[0].df.where("other IS NULL").select("key").distinct()
+    found, roots = rooted(wide.join(some, "key", "left_semi"), edges)
+    tables.append(Table(_met(roots, at, ("apart",), short).groupBy("key").agg(F.max("long").alias("long")), "left"))
+    tables.append(Table(roots.join(tables[-1].df, "key"), "left"))
+    left = tables[-1].df.select("key", "root", "long", "wide")
+    near = _met(left, at, ("pairs",), short).select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v"))
+    tables.append(_rarest(left.where("long").select("key", "root"), rows, nodes, shingle, likeness))
+    edges = joined(found, near.union(tables[-1].df).distinct())
+    for x in (*met, *tables):
         x.drop()
     return edges
 

@@ -652,6 +652,30 @@ def test_a_list_of_thousands_makes_few_pairs(spark):
     assert len(far) > 1500 and want <= got and len(got) < 3 * len(far)
 
 
+def test_only_what_is_alike_meets_in_a_list(spark):
+    """Lists of two fingerprints 15 % apart and four strangers: the two meet unless they are connected already, strangers hardly ever."""
+    rnd = np.random.default_rng(7)
+    prints = rnd.integers(0, 256, (200, simhash.WIDE), dtype=np.uint8)
+    near = prints[:40] ^ np.packbits(rnd.random((40, 8 * simhash.WIDE)) < 0.15, axis=1)
+    rows = np.concatenate([prints, near])
+    rows[:, 0] = np.arange(240) % 40
+    rows[:, 1:3] = 77
+    at, want = simhash._threes(1)[:1], {(k, 200 + k) for k in range(40)}
+
+    def met(root, way):
+        nodes = [(k, bytes(x), root(k), False) for k, x in enumerate(rows)]
+        df = spark.createDataFrame(nodes, "key long, wide binary, root long, long boolean").repartition(5)
+        return simhash._met(df, at, (way,)).collect()
+
+    for way in ("first", "middle", "pairs"):
+        got = {tuple(sorted((r.key, r.other))) for r in met(lambda k: k, way)}
+        assert len(want & got) >= (40 if way == "pairs" else 34) and len(got) < 80
+        assert met(lambda k: 0, way) == []
+    marked = {r.key for r in met(lambda k: k, "apart")}
+    assert {x for pair in want for x in pair} <= marked and len(marked) < 160
+    assert not want & {(r.key, r.other) for r in met(lambda k: k % 200, "pairs")}
+
+
 def test_lists_in_which_fingerprints_meet():
     for n in range(5):
         for gone in combinations(range(8), n):
