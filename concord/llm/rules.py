@@ -5,6 +5,8 @@ Everything is a DataFrame expression over one row, so nothing is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,10 @@ def line_fails(line: Column, words: Column, min_words: int = 3) -> Column:
     Boilerplate: it is short and holds a stock phrase.
     """
     bare = (words < min_words) & ~line.rlike(ENDS)
-    decorated = F.regexp_count(line, F.lit(DECORATED)) * 5 >= words
-    menu = F.regexp_count(line, F.lit(SEPARATOR)) * 6 >= words
+    # Looking for single characters is cheap, and most lines have none.
+    has = lambda marks: reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in marks])
+    decorated = has([*"#*$%&<>", "!!"]) & (F.regexp_count(line, F.lit(DECORATED)) * 5 >= words)
+    menu = has("|>»·•") & (F.regexp_count(line, F.lit(SEPARATOR)) * 6 >= words)
     stock = (words <= 20) & F.lower(line).rlike(STOCK)
     return bare | decorated | menu | stock
 
@@ -75,27 +79,32 @@ def measured(docs: DataFrame, text_col: str = "text", lost: float = 0.5, min_wor
     rows = rows.withColumn("t", t).withColumn("w", words_of(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD)))
     n, w = F.size("w"), F.col("w")
     windows = F.greatest(n - 2, F.lit(0))
-    zipped = F.arrays_zip(
-        F.slice(w, 1, windows).alias("a"), F.slice(w, 2, windows).alias("b"), F.slice(w, 3, windows).alias("c"),
-        F.when(n > 2, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")).alias("n"),
-    )
-    zipped = zipped.cast("array<struct<a:string,b:string,c:string,n:int>>")
-    rows = rows.withColumn("sorted", F.sort_array(zipped))
+    parts = [F.slice(w, k, windows).alias(c) for k, c in enumerate("abc", 1)]
+    rows = rows.withColumn("parts", F.arrays_zip(*parts).cast("array<struct<a:string,b:string,c:string>>"))
+    rows = rows.withColumn("hashes", F.transform("parts", lambda x: F.xxhash64(x["a"], x["b"], x["c"])))
+    # Equal windows have equal hashes, so texts in which all differ need no more; the words still decide between equal ones.
+    zipped = F.zip_with("parts", "hashes", lambda x, h: F.struct(h.alias("h"), x["a"].alias("a"), x["b"].alias("b"), x["c"].alias("c")))
+    zipped = F.transform(zipped, lambda x, k: F.struct(x["h"].alias("h"), x["a"].alias("a"), x["b"].alias("b"), x["c"].alias("c"), k.alias("n")))
+    rows = rows.withColumn("sorted", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(zipped)))
     s = F.col("sorted")
 
     def same(x, k):
         y = F.get(s, k)
-        return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+        return F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
 
+    # Null where no window is found twice.
     twice = F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
-    good = F.filter("lines", lambda x: ~line_fails(x, F.regexp_count(x, F.lit(WORD))))
-    rows = rows.withColumn("twice", twice).withColumn("good", good)
+    # A line's words are counted once, not in each rule.
+    counted = F.transform("lines", lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    rows = rows.withColumn("twice", twice).withColumn("counted", counted)
+    good = F.filter("counted", lambda x: ~line_fails(x["line"], x["words"]))
+    rows = rows.withColumn("good", F.transform(good, lambda x: x["line"]))
     chars = lambda c: F.length(F.regexp_replace(c, SPACE, "")).cast("long")
     found = rows.select(
         *names,
         F.array_join("good", "\n").alias("clean"),
         n.cast("long").alias("n_words"),
-        chars(F.col("t")).alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("twice")).alias("n_repeat_words"),

@@ -137,3 +137,12 @@ def test_phrases_are_whole_words(spark):
     frame = spark.createDataFrame([(x, len(x.split())) for x in lines + stock], "l string, n int")
     got = frame.select("l", rules.line_fails(F.col("l"), F.col("n")).alias("bad")).collect()
     assert [r.l for r in got if r.bad] == stock
+
+
+def test_a_lines_words_are_counted_once(spark):
+    """The count of a line's words stands once in the plan of the rules, not in each rule; windows found twice still count."""
+    docs = spark.createDataFrame([(1, "a b c a b c"), (2, "a b c d")], "doc_id long, text string")
+    out = rules.measured(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {rules.WORD}, 0)") == 1
+    assert [r.rules.n_repeat_words for r in out.orderBy("doc_id").collect()] == [6, 0]
