@@ -284,7 +284,8 @@ def _met(nodes: DataFrame, at: np.ndarray, ways: tuple[str, ...], short: int = S
 
     ``first`` and ``middle`` give a row for each member and hub, ``pairs`` for each two members of a list of up
     to ``short``, less pairs of two that ``nodes`` calls ``long``.  ``apart`` gives a row without ``other`` for each
-    member that can meet any, with whether that is in a longer list.
+    member that can meet any, with whether that is in a longer list; members that ``nodes`` calls ``seen``
+    give one only if that tells more: 1, in a list that is not longer, 2, in a longer one.
     """
 
     def found(b: pa.RecordBatch, cuts: np.ndarray) -> Iterator[tuple]:
@@ -299,8 +300,10 @@ def _met(nodes: DataFrame, at: np.ndarray, ways: tuple[str, ...], short: int = S
             if way == "apart":
                 sizes = _edges_of(runs)[1]
                 marked, many = _apart(root, bits, runs), np.repeat(sizes > short, sizes)
-                for is_long in (False, True):
-                    own = np.unique(key[marked & (many == is_long)])
+                if "seen" in b.schema.names:
+                    marked &= column("seen")[rows] < np.where(many, 2, 1)
+                longer = np.unique(key[marked & many])
+                for own, is_long in (longer, True), (np.setdiff1d(key[marked], longer), False):
                     yield own, None, np.full(len(own), is_long)
                 continue
             for x, y in _all_close(root, bits, runs, short) if way == "pairs" else _hubs(key, root, bits, runs, way == "middle"):
@@ -321,6 +324,18 @@ def _met(nodes: DataFrame, at: np.ndarray, ways: tuple[str, ...], short: int = S
     return posts.mapInArrow(run, "key long, other long, long boolean")
 
 
+def _in_turns(nodes: DataFrame, at: np.ndarray, ways: tuple[str, ...], short: int = SHORT) -> list[Table]:
+    """The rows of ``_met``, of the first lists and then of the others.
+
+    A member of a large group can meet others in many of its lists.  Those that the first lists show give no
+    row again in the others, unless it tells more.
+    """
+    first = Table(_met(nodes, at[:FIRST_LISTS], ways, short), "met")
+    seen = first.df.where("other IS NULL").groupBy("key").agg((F.max(F.col("long").cast("int")) + 1).alias("seen"))
+    nodes = nodes.join(seen, "key", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    return [first, Table(_met(nodes, at[FIRST_LISTS:], ways, short), "met")]
+
+
 def _sharing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """Those of the pairs ``(u, v)`` whose fingerprints share at least ``least`` positional bytes."""
 
@@ -415,13 +430,15 @@ def _wide_links(rows: DataFrame, nodes: DataFrame, shingle: int, likeness: float
     first = _met(wide.withColumn("root", F.col("key")), at[:FIRST_LISTS], ("first",))
     met = [Table(_most_met(first), "pairs")]
     found, roots = rooted(wide, _verified(met[0].df, rows, nodes, shingle, likeness).df)
-    tables = [Table(_met(roots, at, ("middle", "apart"), short), "met")]
-    edges = joined(found, _most_met(tables[0].df.where("other IS NOT NULL")))
+    # In which lists is not asked yet, so all count as longer ones.
+    tables = _in_turns(roots, at, ("middle", "apart"), 0)
+    some = tables[0].df.union(tables[1].df)
+    edges = joined(found, _most_met(some.where("other IS NOT NULL")))
     # Only these can meet members of other components still.
-    some = tables[0].df.where("other IS NULL").select("key").distinct()
-    found, roots = rooted(wide.join(some, "key", "left_semi"), edges)
-    tables.append(Table(_met(roots, at, ("apart",), short).groupBy("key").agg(F.max("long").alias("long")), "left"))
-    tables.append(Table(roots.join(tables[-1].df, "key"), "left"))
+    found, roots = rooted(wide.join(some.where("other IS NULL").select("key").distinct(), "key", "left_semi"), edges)
+    tables += _in_turns(roots, at, ("apart",), short)
+    marks = tables[-2].df.union(tables[-1].df).groupBy("key").agg(F.max("long").alias("long"))
+    tables.append(Table(roots.join(marks, "key"), "left"))
     left = tables[-1].df.select("key", "root", "long", "wide")
     near = _met(left, at, ("pairs",), short).select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v"))
     tables.append(_rarest(left.where("long").select("key", "root"), rows, nodes, shingle, likeness))

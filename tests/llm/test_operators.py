@@ -676,6 +676,47 @@ def test_only_what_is_alike_meets_in_a_list(spark):
     assert not want & {(r.key, r.other) for r in met(lambda k: k % 200, "pairs")}
 
 
+def test_turns_tell_what_one_pass_tells(spark):
+    """Lists in turns show the same hubs, members and kinds of lists as all at once, with few rows for each member of a group."""
+    rnd = np.random.default_rng(9)
+    prints = rnd.integers(0, 256, (300, simhash.WIDE), dtype=np.uint8)
+    prints[:250] = prints[0] ^ np.packbits(rnd.random((250, 8 * simhash.WIDE)) < 0.08, axis=1)
+    prints[260:] = prints[220:260] ^ np.packbits(rnd.random((40, 8 * simhash.WIDE)) < 0.1, axis=1)
+    nodes = spark.createDataFrame([(k, bytes(x), k) for k, x in enumerate(prints)], "key long, wide binary, root long")
+    at = simhash._threes(simhash.CLASSES)
+
+    def told(rows):
+        marks = {}
+        for r in rows:
+            if r.other is None:
+                marks[r.key] = max(r.long, marks.get(r.key, False))
+        return marks, sorted((r.key, r.other) for r in rows if r.other is not None)
+
+    for short in (0, 16):
+        whole = simhash._met(nodes, at, ("middle", "apart"), short).collect()
+        turns = [r for x in simhash._in_turns(nodes, at, ("middle", "apart"), short) for r in x.df.collect()]
+        assert told(turns) == told(whole) and len(told(turns)[0]) > 250
+
+
+def test_members_of_a_large_group_give_few_rows(spark, monkeypatch):
+    """Of a group that the first hubs leave in parts, a member gives a row or two a pass that say it can meet others, not one a list."""
+    texts, made, met = spread_texts(400, 11, 40), [], simhash._met
+
+    def counted(nodes, at, ways, *more):
+        out = met(nodes, at, ways, *more)
+        if "apart" in ways:
+            made.append(out.where("other IS NULL").count())
+        return out
+
+    monkeypatch.setattr(simhash, "_met", counted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    try:
+        simhash.alike(table(spark, texts)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made and sum(made) < 4 * len(texts)
+
+
 def test_lists_in_which_fingerprints_meet():
     for n in range(5):
         for gone in combinations(range(8), n):
